@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, quartile_digest, sentencepiece_codec
+from somaframe.llm import chat_examples, quartile_digest, sentencepiece_codec, source_mix
 from somaframe.llm._common import read
 
 
@@ -16,6 +16,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(read(spark, sf_dir, "documents"), sentencepiece_codec.load_model(model_path()))
 
@@ -35,7 +39,7 @@ def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.digests(chat_examples.examples(rows.unionByName(tricky)))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_quartile_digest, op9_prefix_targets)}
+QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op9_prefix_targets)}
 
 #: DuckDB SQL for those queries that SQL can express.
 ORACLES = {
