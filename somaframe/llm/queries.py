@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, quartile_digest, sentencepiece_codec, source_mix
+from somaframe.llm import chat_examples, quartile_digest, sentencepiece_codec, simhash_trie, source_mix
 from somaframe.llm._common import read
 
 
@@ -28,6 +28,10 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quartile_digest.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -39,7 +43,7 @@ def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.digests(chat_examples.examples(rows.unionByName(tricky)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op9_prefix_targets)}
+QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op7_simhash_trie, op9_prefix_targets)}
 
 #: DuckDB SQL for those queries that SQL can express.
 ORACLES = {
