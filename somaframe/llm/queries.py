@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, quartile_digest, sentencepiece_codec, simhash_trie, source_mix
+from somaframe.llm import chat_examples, collision_counting, quartile_digest, sentencepiece_codec, simhash_trie, source_mix
 from somaframe.llm._common import read
 
 
@@ -43,7 +43,11 @@ def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.digests(chat_examples.examples(rows.unionByName(tricky)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op7_simhash_trie, op9_prefix_targets)}
+def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_counting.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op7_simhash_trie, op9_prefix_targets, op10_collision_counting)}
 
 #: DuckDB SQL for those queries that SQL can express.
 ORACLES = {
