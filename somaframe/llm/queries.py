@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, collision_counting, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix
+from somaframe.llm import chat_examples, collision_counting, language_mixture, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix
 from somaframe.llm._common import read
 
 
@@ -32,6 +32,10 @@ def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.identify(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.classes(read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_counting.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op5_quality_ftrl, op7_simhash_trie, op9_prefix_targets, op10_collision_counting)}
+QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op5_quality_ftrl, op6_language_mixture, op7_simhash_trie, op9_prefix_targets, op10_collision_counting)}
 
 #: DuckDB SQL for those queries that SQL can express.
 ORACLES = {
