@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, collision_counting, language_mixture, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix
+from somaframe.llm import chat_examples, collision_counting, language_mixture, line_templates, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix
 from somaframe.llm._common import read
 
 
@@ -40,6 +40,12 @@ def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.classes(read(spark, sf_dir, "documents"))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines dropped, characters left and the SHA-256 of the text left (null text: empty)."""
+    left = F.coalesce("text", F.lit(""))
+    return line_templates.drop_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.length(left).cast("long").alias("chars_left"), F.sha2(left, 256).alias("left_sha256"))
+
+
 def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -55,7 +61,7 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_counting.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op5_quality_ftrl, op6_language_mixture, op7_simhash_trie, op9_prefix_targets, op10_collision_counting)}
+QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op5_quality_ftrl, op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting)}
 
 #: DuckDB SQL for those queries that SQL can express.
 ORACLES = {
