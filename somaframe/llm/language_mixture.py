@@ -36,6 +36,8 @@ PENALTY = 3.0
 STEPS = 12
 TEMPER = 4.0
 UNKNOWN = "und"
+#: Below this score a document is rejected where one is filtered by language.
+LEAST_SCORE = 0.3
 #: Languages that the driver takes up at most; more distinct values are an error in the data.
 MOST_LANGUAGES = 2000
 BATCH_BYTES = 1 << 19
@@ -152,8 +154,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     return langs, total / total.sum(axis=0)
 
 
-def detect(docs: DataFrame, langs: list[str], model: np.ndarray, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keys`, lang_pred, score, and shares (map of the selected languages' proportions)."""
+def detect(docs: DataFrame, langs: list[str], model: np.ndarray, keys: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """Columns `keys`, lang_pred, score, and shares (map of the selected languages' proportions); the text too if asked for."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((langs, model))
@@ -175,9 +177,20 @@ def detect(docs: DataFrame, langs: list[str], model: np.ndarray, keys: tuple[str
                 else:
                     rows = [(UNKNOWN, 0.0, [])] * part.num_rows
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.map_(pa.string(), pa.float64()))], names=[*keys, "lang_pred", "score", "shares"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.map_(pa.string(), pa.float64())), *([texts] if with_text else [])], names=[*keys, "lang_pred", "score", "shares", *(["text"] if with_text else [])])
 
-    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "lang_pred string, score double, shares map<string,double>"]))
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "lang_pred string, score double, shares map<string,double>", *(["text string"] if with_text else [])]))
+
+
+def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """docs without those that are `und` or whose score is below least_score; a null lang becomes the prediction."""
+    langs, model = train(docs, per_language)
+    others = [c for c in docs.columns if c != "text"]
+    names = [f"_{i}" for i in range(len(others))]  # whatever the columns are called
+    found = detect(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)), "text"), langs, model, tuple(names), with_text=True)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    back = dict(zip(others, names, strict=True)) | {"text": "text"}
+    return kept.select(*((F.coalesce(F.col(back[c]), "lang_pred") if c == "lang" else F.col(back[c])).alias(c) for c in docs.columns))
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

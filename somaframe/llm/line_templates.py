@@ -13,7 +13,8 @@ never gathered. Tokens are only exploded for leaves with several distinct lines,
 Defined cases: a null text stays null and has no lines; lines of fewer than MIN_TOKENS tokens stay; lines
 repeated inside one document count once; a null doc_id comes after all others; rows equal in doc_id and
 text are one document here and get equal results; an empty table gives an empty result; further columns are
-passed on.
+passed on (n_lines and n_dropped are
+replaced).
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def templates(lines: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """KEY and lines (array of line numbers that go). docs: with the columns of KEY."""
+    """KEY and _lines (array of line numbers that go). docs: with the columns of KEY."""
     lines = lines_of(docs)
     narrow = checkpoint(lines.drop("masked"))
     kinds = checkpoint(narrow.groupBy("leaf", "exact").agg(F.count("*").alias("n")))
@@ -85,20 +86,20 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     first = F.min(F.struct(*KEY)).alias("first")
     recurring = held.select("template", *KEY).distinct().groupBy("template").agg(F.count("*").alias("docs"), first).where(F.col("docs") >= min_docs)
     gone = held.join(recurring, "template").where(F.struct(*KEY) != F.col("first"))
-    return gone.groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
+    return gone.groupBy(*KEY).agg(F.collect_set("line").alias("_lines"))
 
 
 def drop_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the text left after dropping, n_lines and n_dropped."""
     keyed = _keyed(docs)
-    gone = dropped_lines(keyed, min_docs).select(*(F.col(c).alias(f"_of{c}") for c in KEY), "lines")
+    gone = dropped_lines(keyed, min_docs).select(*(F.col(c).alias(f"_of{c}") for c in KEY), "_lines")
     same = [keyed[c] == gone[f"_of{c}"] for c in KEY]
     split = F.split("text", "\n")
-    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains(F.col("lines"), p.i)).x, "\n")
+    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains(F.col("_lines"), p.i)).x, "\n")
     found = keyed.join(gone, same, "left").withColumns({
         "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
-        "n_dropped": F.coalesce(F.size("lines"), F.lit(0)).cast("long"),
+        "n_dropped": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
     })
     found = found.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    found = found.withColumn("n_dropped", F.when(F.col("lines").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
-    return found.withColumn("text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)).select(*docs.columns, "n_lines", "n_dropped")
+    found = found.withColumn("n_dropped", F.when(F.col("_lines").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
+    return found.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)).select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, collision_counting, language_mixture, line_templates, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix
+from somaframe.llm import chat_examples, collision_counting, language_mixture, line_templates, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix, suffix_merge
 from somaframe.llm._common import read
 
 
@@ -28,6 +28,16 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quartile_digest.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_merge.dedup(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -61,7 +71,13 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_counting.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op5_quality_ftrl, op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op4_suffix_merge, op5_quality_ftrl,
+        op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting,
+    )
+}
 
 #: DuckDB SQL for those queries that SQL can express.
 ORACLES = {

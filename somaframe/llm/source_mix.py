@@ -120,3 +120,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     end = F.col("begin") + F.col("_rest")  # past the circle's end the run goes on from its beginning
     rest = overlap(F.col("begin"), F.least(end, F.col("shard_size"))) + overlap(F.lit(0), end - F.col("shard_size"))
     return at.select("doc_id", "source", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + rest).cast("long").alias("taken"), "text_hash")
+
+
+def mixed(docs: DataFrame, **how: int | tuple[int, ...]) -> DataFrame:
+    """docs as the mix takes them: each document as often as it is taken, a partly taken one counting from half on.
+
+    Rows equal in doc_id, source and text share what they are taken evenly, rounded."""
+    taken = mix(docs, **how).groupBy("doc_id", "source", "text_hash").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times"))
+    taken = taken.withColumn("_times", F.round("_times").cast("int")).where("_times > 0").select(*(F.col(c).alias(f"_of_{c}") for c in ("doc_id", "source", "text_hash")), "_times")
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(taken["_of_doc_id"]) & keyed["source"].eqNullSafe(taken["_of_source"]) & (keyed["_text_hash"] == taken["_of_text_hash"])
+    return keyed.join(taken.hint("shuffle_hash"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
