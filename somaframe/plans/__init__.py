@@ -1 +1,6 @@
-"""See the README for what this part holds."""
+"""Queries over the sample tables, by area. Importing this package fills the registry."""
+
+from somaframe.plans import window_queries  # noqa: F401
+from somaframe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
