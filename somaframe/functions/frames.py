@@ -33,3 +33,10 @@ def median(value: Column | str) -> Column:
 def finite(value: Column) -> Column:
     """NaN and infinities as null."""
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into the session's number of partitions. Work in grouped functions is not seen by adaptive
+    execution, which would put small inputs into one task; a number that is asked for stays. Windows and groups by
+    the same keys need no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -36,7 +36,9 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct form II, transposed."""
+    """Direct form II, transposed; sample by sample, as powers of the recursion lose all digits at low bands."""
+    if len(b) == 7:
+        return _run_seven(b.tolist(), a.tolist(), x.tolist(), state.tolist())
     b0, bs, as_, z = float(b[0]), b[1:].tolist(), a[1:].tolist(), [*state.tolist(), 0.0]
     out, n = [], len(bs)
     for v in x.tolist():
@@ -47,6 +49,23 @@ def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -
     return np.array(out)
 
 
+def _run_seven(b: list[float], a: list[float], x: list[float], state: list[float]) -> np.ndarray:
+    """run_filter() for third-order band-passes, without an inner loop."""
+    b0, b1, b2, b3, b4, b5, b6 = b
+    _, a1, a2, a3, a4, a5, a6 = a
+    z1, z2, z3, z4, z5, z6 = state
+    out = [0.0] * len(x)
+    for i, v in enumerate(x):
+        out[i] = y = b0 * v + z1
+        z1 = z2 + b1 * v - a1 * y
+        z2 = z3 + b2 * v - a2 * y
+        z3 = z4 + b3 * v - a3 * y
+        z4 = z5 + b4 * v - a4 * y
+        z5 = z6 + b5 * v - a5 * y
+        z6 = b6 * v - a6 * y
+    return np.array(out)
+
+
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward, the ends mirrored about their values."""
     pad = 3 * max(len(a), len(b))
@@ -88,17 +107,23 @@ def peaks(x: np.ndarray, distance: int = 1, prominence: float | None = None) ->
     return found
 
 
+def _lowest_before_higher(x: np.ndarray, height: float) -> float:
+    """The lowest value before the first above height; x is read in growing pieces."""
+    low, at, size = height, 0, 64
+    while at < len(x):
+        part = x[at : at + size]
+        higher = part > height
+        if higher.any():
+            first = int(higher.argmax())
+            return min(low, float(part[:first].min())) if first else low
+        low = min(low, float(part.min()))
+        at, size = at + size, 2 * size
+    return low
+
+
 def prominences(x: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Height over the higher of the two lowest points on the way to a higher sample (or an end)."""
-    out = np.empty(len(found))
-    for k, p in enumerate(found):
-        left, right = x[: p + 1][::-1], x[p:]
-        sides = []
-        for side in (left, right):
-            higher = np.flatnonzero(side > x[p])
-            sides.append(side[: higher[0]].min() if len(higher) else side.min())
-        out[k] = x[p] - max(sides)
-    return out
+    return np.array([x[p] - max(_lowest_before_higher(x[p::-1], x[p]), _lowest_before_higher(x[p:], x[p])) for p in found])
 
 
 def spectrum(x: np.ndarray, rate: float, segment: int) -> tuple[np.ndarray, np.ndarray]:

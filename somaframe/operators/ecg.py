@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from somaframe.functions import kernels as K
+from somaframe.functions.frames import spread
 
 BAND, ORDER = (5.0, 20.0), 3
 LEAST_SECONDS, PROMINENCE = 0.30, 0.20
@@ -34,7 +35,7 @@ def peaks(ecg: DataFrame, keys: Sequence[str] = ("subject_id",)) -> DataFrame:
             at = t[K.peaks(v, max(1, round(LEAST_SECONDS * rate)), max(1e-3, PROMINENCE * (hi - lo)))]
         return pd.DataFrame({**{k: series[k].iloc[0] if len(series) else None for k in keys}, "t_s": at})
 
-    return ecg.select(*keys, "time_s", "value").groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "t_s double"]))
+    return spread(ecg.select(*keys, "time_s", "value"), *keys).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "t_s double"]))
 
 
 def to_beats(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), gap_factor: float | None = 5.0) -> DataFrame:

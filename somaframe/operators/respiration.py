@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from somaframe.config import BreathRules
 from somaframe.functions import kernels as K
-from somaframe.functions.frames import islands, median
+from somaframe.functions.frames import islands, median, spread
 from somaframe.operators.time_domain import KEY
 
 RULES = BreathRules()
@@ -30,30 +30,56 @@ def split(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RULES
     Samples at a break have none."""
     order = _order(keys)
     step = F.col("time_s") - F.lag("time_s").over(order)
-    rows = resp.withColumn("_d", step)
+    rows = spread(resp, *keys).withColumn("_d", step)
     typical = rows.where("_d > 0").groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(median("_d").alias("_dt"))
     rows = rows.join(typical, [F.col(k) == F.col(f"_{k}") for k in keys], "left").drop(*(f"_{k}" for k in keys))
     broken = F.col("value").isNull() | F.isnan("value") | F.coalesce((F.col("_d") <= 0) | (F.col("_d") > rules.gap_factor * F.col("_dt")), F.lit(False))
     return islands(rows.withColumn("_b", broken), ~F.col("_b"), order, "span").drop("_d", "_dt", "_b")
 
 
+def _stretches(window: pd.DataFrame, rate: float, rules: BreathRules) -> np.ndarray:
+    """Numbers (from 1) of the stretches of a window that neither break nor collapse; 0 elsewhere.
+
+    Inside a span, samples whose rolling range is small for collapse_least seconds go, and so do rests of under
+    five samples. (Frames of seconds hold hundreds of rows here, so they are slid over arrays.)"""
+    span, value = window["span"].to_numpy(float), window["value"].to_numpy(float)
+    size = max(1, round(rules.collapse_seconds * rate))
+    before, after = size // 2, (size - 1) // 2
+    flat = np.zeros(len(span), bool)
+    for number in np.unique(span[~np.isnan(span)]):
+        at = np.flatnonzero(span == number)
+        v = value[at]
+        high = np.lib.stride_tricks.sliding_window_view(np.pad(v, (before, after), constant_values=-np.inf), size).max(axis=1)
+        low = np.lib.stride_tricks.sliding_window_view(np.pad(v, (before, after), constant_values=np.inf), size).min(axis=1)
+        k = np.arange(len(v))
+        there = np.minimum(k + after, len(v) - 1) - np.maximum(k - before, 0) + 1
+        flat[at] = (there >= max(1, size // 4)) & (high - low <= rules.collapse_range)
+    left = ~np.isnan(span) & ~_long_runs(flat, round(rules.collapse_least * rate))
+    alive = _long_runs(left, 5)
+    return np.where(alive, np.cumsum(alive & ~np.append(False, alive[:-1])), 0)
+
+
+def _long_runs(flag: np.ndarray, least: int) -> np.ndarray:
+    """flag without its runs of under `least`."""
+    starts = np.flatnonzero(flag & ~np.append(False, flag[:-1]))
+    ends = np.flatnonzero(flag & ~np.append(flag[1:], False)) + 1
+    out = np.zeros(len(flag), bool)
+    for a, b in zip(starts, ends, strict=True):
+        out[a:b] = b - a >= least
+    return out
+
+
 def trimmed(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RULES, rate: float | None = None) -> DataFrame:
-    """split() rows with `alive`: false in stretches of collapse_least seconds where the rolling range is small, and
-    in what is left shorter than five samples."""
+    """keys, seq, time_s, value, span, and `alive`: whether the sample is in a stretch that has not collapsed."""
+    rows = split(resp, keys, rules).select(*keys, "seq", "time_s", "value", "span")
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in rows.dtypes), "alive boolean"])
     rate = rate or rules.rate
-    rows = max(1, round(rules.collapse_seconds * rate))
-    spanned = [*keys, "span"]
-    frame = _order(spanned).rowsBetween(-(rows // 2), (rows - 1) // 2)
-    inside = split(resp, keys, rules)
-    size = F.max("value").over(frame) - F.min("value").over(frame)
-    enough = F.count("value").over(frame) >= max(1, rows // 4)
-    flat = inside.withColumn("_flat", F.col("span").isNotNull() & enough & (size <= rules.collapse_range))
-    flat = islands(flat, F.col("_flat"), _order(keys), "_f")
-    n = F.count("*").over(Window.partitionBy(*keys, "_f"))
-    flat = flat.withColumn("_dead", F.col("_f").isNotNull() & (n >= round(rules.collapse_least * rate)))
-    left = islands(flat, F.col("span").isNotNull() & ~F.col("_dead"), _order(keys), "_left")
-    m = F.count("*").over(Window.partitionBy(*keys, "_left"))
-    return left.withColumn("alive", F.col("_left").isNotNull() & (m >= 5)).drop("_flat", "_f", "_dead", "_left")
+
+    def run(window: pd.DataFrame) -> pd.DataFrame:
+        window = window.sort_values("seq").reset_index(drop=True)
+        return window.assign(alive=_stretches(window, rate, rules) > 0)
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 def _gate(t: np.ndarray, v: np.ndarray, rules: BreathRules) -> tuple[str, dict[str, float]]:
@@ -135,14 +161,15 @@ def cleaned(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RUL
     is rejected and all null; from kept_share on it is ok, below partial."""
     if policy not in ("multi", "longest"):
         raise ValueError("policy is multi or longest")
-    rows = trimmed(resp, keys, rules, rate)
-    rows = islands(rows, F.col("alive"), _order(keys), "stretch").select(*keys, "seq", "time_s", "value", "stretch")
+    rows = split(resp, keys, rules).select(*keys, "seq", "time_s", "value", "span")
+    rate = rate or rules.rate
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(window: pd.DataFrame) -> pd.DataFrame:
         window = window.sort_values("seq").reset_index(drop=True)
+        window["stretch"] = _stretches(window, rate, rules)
         kept, tried, reasons = [], [], []
-        for number, part in window.dropna(subset=["stretch"]).groupby("stretch"):
+        for number, part in window[window["stretch"] > 0].groupby("stretch"):
             t, v = part["time_s"].to_numpy(float), part["value"].to_numpy(float)
             reason, found = _gate(t, v, rules)
             reasons.append(reason)
@@ -171,17 +198,20 @@ def cleaned(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RUL
             out[name] = float(np.median([f[name] for f in tried])) if tried else None
         return out[[*keys, "seq", "time_s", "value", "stretch", "status", "reason", "peak_hz", "ratio", "prominence", "cv", "cycles", "bpm"]]
 
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*keys, "seq")), "time_s double, value double", f"stretch {kinds['stretch']}", REPORT])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*keys, "seq")), "time_s double, value double, stretch long", REPORT])
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 def report(cleaned: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """One row per window: status, figures, share kept, and the kept spans as array<struct<t0, t1>>."""
     names = ["status", "reason", "peak_hz", "ratio", "prominence", "cv", "cycles", "bpm"]
-    spans = cleaned.where("value IS NOT NULL").groupBy(*keys, "stretch").agg(F.min("time_s").alias("t0"), F.max("time_s").alias("t1"))
-    spans = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t0", "t1"))).alias("kept_spans"))
-    whole = cleaned.groupBy(*keys).agg(*(F.first(n).alias(n) for n in names), F.avg(F.col("value").isNotNull().cast("double")).alias("kept_share"))
-    return whole.join(spans, list(keys), "left")
+    there = F.col("value").isNotNull()
+    # by stretch first, so that the grouped function before runs once
+    parts = cleaned.groupBy(*keys, "stretch").agg(
+        *(F.first(n).alias(n) for n in names), F.min(F.when(there, F.col("time_s"))).alias("t0"), F.max(F.when(there, F.col("time_s"))).alias("t1"), F.count("value").alias("_kept"), F.count("*").alias("_n")
+    )
+    spans = F.sort_array(F.collect_list(F.when(F.col("_kept") > 0, F.struct("t0", "t1"))))
+    return parts.groupBy(*keys).agg(*(F.first(n).alias(n) for n in names), (F.sum("_kept") / F.sum("_n")).alias("kept_share"), spans.alias("kept_spans"))
 
 
 def masked(resp: DataFrame, report: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -246,7 +276,7 @@ def sinus_arrhythmia(breaths: DataFrame, beats: DataFrame, resp: DataFrame | Non
 
 def rate_series(resp: DataFrame, keys: Sequence[str] = ("subject_id",), hz: float = 5.0, smooth: int = 5) -> DataFrame:
     """keys, t, bpm: breathing rate between peaks of the thinned (medians of 1 / hz seconds), smoothed signal."""
-    thin = resp.where("value IS NOT NULL").groupBy(*keys, F.floor(F.col("time_s") * hz).alias("seq")).agg(median("value").alias("v"))
+    thin = spread(resp.where("value IS NOT NULL"), *keys).groupBy(*keys, F.floor(F.col("time_s") * hz).alias("seq")).agg(median("value").alias("v"))
     order = Window.partitionBy(*keys).orderBy("seq")
     thin = thin.withColumn("v", median("v").over(order.rowsBetween(-2, 2)))
     thin = thin.withColumn("v", F.avg("v").over(order.rowsBetween(-(smooth // 2), (smooth - 1) // 2)))

@@ -120,8 +120,7 @@ def breath_rate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spiked_ecg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten seconds at 100 Hz per subject with a spike every 0.7 to 0.9 s."""
-    subjects = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id")).distinct()
-    grid = subjects.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    grid = V.subjects(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(999))))
     period = 70 + (F.col("subject_id") % 3) * 10
     wave = F.exp(-((F.pmod(F.col("i") + 35, period) - 35) / 1.5) ** 2)
     return grid.select("subject_id", (F.col("i") / 100).alias("time_s"), wave.alias("value"))

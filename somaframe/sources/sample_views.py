@@ -58,9 +58,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.join(lines, taken["o_orderkey"] == lines["l_orderkey"], "left").groupBy(F.col("o_custkey").alias("subject_id"), F.col("time").cast("bigint").alias("time"), (F.col("o_custkey") % 2).cast("int").alias("task")).agg(*answer)
 
 
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few rows from which signals are generated, dealt to all partitions first."""
+    few = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id")).distinct()
+    return few.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def resp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated breathing at 10 Hz for two minutes per subject, with holes: subject_id, seq, time_s, value."""
-    subjects = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id")).distinct()
-    grid = subjects.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(1199))))
+    grid = subjects(spark, sf_dir).withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(1199))))
     value = 100 * F.sin(2 * F.pi() * (F.lit(0.2) + (F.col("subject_id") % 5) * 0.03) * F.col("seq") / 10)
     return grid.select("subject_id", "seq", (F.col("seq") / 10).alias("time_s"), F.when(~(F.col("seq") % 400).between(0, 20), value).alias("value"))
