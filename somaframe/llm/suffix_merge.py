@@ -41,8 +41,10 @@ from pyspark.sql import functions as F
 from somaframe.llm._common import Rolling, checkpoint, chunks, mix64, ship, text_bytes
 
 LENGTH, GRAM = 400, 64
-BUCKET_ROWS = 20_000
-GRAM_ROWS = 20_000
+BUCKET_ROWS = 5_000
+GRAM_ROWS = 5_000
+#: Parts into which the anchors of a segment that occurs very often are dealt.
+SALTS = 32
 #: Suffixes of a run that one task sorts at once.
 RUN_ROWS = 50_000
 #: Windows looked at together; their positions fit into the low bits of a key.
@@ -340,9 +342,11 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     spans = _by_merge(_cut_out(docs, places.where(F.col("kinds") <= gram_rows), length), length, gram)
     if not open_.where(F.col("kinds") > gram_rows).isEmpty():
         spans = spans.unionByName(_by_window(_cut_out(docs, places.where(F.col("kinds") > gram_rows), length), length))
-    twice = segments.where("copies > 1").select("gram", "segment")
+    # a segment may hold a third of all anchors: they are dealt to parts, and its one row is repeated for each
+    twice = segments.where("copies > 1").select("gram", "segment", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt"))
+    found = found.withColumn("_salt", F.pmod(F.xxhash64(*KEY, "place"), F.lit(SALTS)))
     p = F.shiftright("place", 20)
-    whole = found.join(twice, ["gram", "segment"], "left_semi").select(*KEY, (p - F.shiftright("place", 10).bitwiseAND(1023)).alias("begin"), (p - F.col("place").bitwiseAND(1023) + length).alias("end"))
+    whole = found.join(twice, ["gram", "segment", "_salt"], "left_semi").select(*KEY, (p - F.shiftright("place", 10).bitwiseAND(1023)).alias("begin"), (p - F.col("place").bitwiseAND(1023) + length).alias("end"))
     return spans.unionByName(whole).groupBy(*KEY).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
 
