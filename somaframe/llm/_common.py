@@ -40,6 +40,13 @@ def ship(spark: SparkSession) -> None:
     sc._somaframe_shipped = True
 
 
+def safely_named(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but `keep` renamed, so that no column of the input clashes with one that an operator
+    adds; and the columns that restore the names."""
+    names = [c if c in keep else f"_other_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the folder that spark.checkpoint.dir names.
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from somaframe.llm._common import WORD, checkpoint
+from somaframe.llm._common import WORD, checkpoint, safely_named
 
 LEADING = 3
 MIN_TOKENS = 4
@@ -91,7 +91,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def drop_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the text left after dropping, n_lines and n_dropped."""
-    keyed = _keyed(docs)
+    named, back = safely_named(docs, "doc_id", "text")
+    keyed = _keyed(named)
     gone = dropped_lines(keyed, min_docs).select(*(F.col(c).alias(f"_of{c}") for c in KEY), "_lines")
     same = [keyed[c] == gone[f"_of{c}"] for c in KEY]
     split = F.split("text", "\n")
@@ -102,4 +103,4 @@ def drop_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     })
     found = found.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
     found = found.withColumn("n_dropped", F.when(F.col("_lines").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
-    return found.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)).select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+    return found.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)).select(*(b for b, c in zip(back, docs.columns, strict=True) if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somaframe.llm._common import checkpoint, chunks, ship
+from somaframe.llm._common import checkpoint, chunks, safely_named, ship
 from somaframe.llm._graph import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -251,7 +251,8 @@ def representatives(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET)
     """docs with one document of each class: the one of the lowest doc_id (null last), then of the lowest text hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = ["_nil", "_id", "_text"]
-    keyed = docs.withColumns({"_nil": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0).cast(kind)), "_text": F.xxhash64("text")})
+    named, back = safely_named(docs, "doc_id", "text")
+    keyed = named.withColumns({"_nil": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0).cast(kind)), "_text": F.xxhash64("text")})
     marked = fingerprints(keyed, tuple(key), size=size)
     firsts = checkpoint(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.struct(*key)).alias("first")))
     found = components(links(firsts, budget))
@@ -259,7 +260,7 @@ def representatives(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET)
     chosen = classed.groupBy("component").agg(F.min("first").alias("first")).select(*(F.col(f"first.{k}").alias(f"_of{k}") for k in key))
     kept = keyed.join(chosen.hint("shuffle_hash"), [keyed[k] == chosen[f"_of{k}"] for k in key])
     first = Window.partitionBy(*key).orderBy(F.lit(0))  # of rows equal in doc_id and text, any
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*back)
 
 
 def classes(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

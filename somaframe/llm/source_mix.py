@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from somaframe.llm._common import WORD, checkpoint
+from somaframe.llm._common import WORD, checkpoint, safely_named
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -128,6 +128,7 @@ def mixed(docs: DataFrame, **how: int | tuple[int, ...]) -> DataFrame:
     Rows equal in doc_id, source and text share what they are taken evenly, rounded."""
     taken = mix(docs, **how).groupBy("doc_id", "source", "text_hash").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times"))
     taken = taken.withColumn("_times", F.round("_times").cast("int")).where("_times > 0").select(*(F.col(c).alias(f"_of_{c}") for c in ("doc_id", "source", "text_hash")), "_times")
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    named, back = safely_named(docs, "doc_id", "text", "source")
+    keyed = named.withColumn("_text_hash", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(taken["_of_doc_id"]) & keyed["source"].eqNullSafe(taken["_of_source"]) & (keyed["_text_hash"] == taken["_of_text_hash"])
-    return keyed.join(taken.hint("shuffle_hash"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    return keyed.join(taken.hint("shuffle_hash"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*back)
