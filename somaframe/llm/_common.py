@@ -72,6 +72,14 @@ def joined(left: DataFrame, right: DataFrame, on: Column, how: str, rows: int =
     return left.join(F.broadcast(right) if small_enough(right, rows) else right, on, how)
 
 
+def salted_join(many: DataFrame, one: DataFrame, on: list[str], how: str, seed: list[str], salts: int = 16) -> DataFrame:
+    """Join where `many` may hold very many rows of a key and `one` has one: rows of a key are dealt to parts by a
+    hash of the columns `seed`, and the one row is repeated for each part."""
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*seed), F.lit(salts)))
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts, and where each begins and the last ends; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from somaframe.llm._common import WORD, checkpoint, safely_named
+from somaframe.llm._common import WORD, checkpoint, safely_named, salted_join
 
 LEADING = 3
 MIN_TOKENS = 4
@@ -81,11 +81,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     leaves = checkpoint(kinds.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("kinds")).where(F.col("lines") >= min_docs))
     several = leaves.where("kinds > 1").select("leaf")
     general = templates(lines.join(several, "leaf", "left_semi"), kinds, min_docs)
-    held = narrow.join(leaves.select("leaf"), "leaf", "left_semi").join(general, ["leaf", "exact"], "left")
+    held = salted_join(narrow, leaves.select("leaf"), ["leaf"], "left_semi", [*KEY, "line"])
+    held = salted_join(held, general, ["leaf", "exact"], "left", [*KEY, "line"])
     held = checkpoint(held.select(*KEY, "line", F.coalesce("template", F.xxhash64("leaf", "exact")).alias("template")))
     first = F.min(F.struct(*KEY)).alias("first")
     recurring = held.select("template", *KEY).distinct().groupBy("template").agg(F.count("*").alias("docs"), first).where(F.col("docs") >= min_docs)
-    gone = held.join(recurring, "template").where(F.struct(*KEY) != F.col("first"))
+    gone = salted_join(held, recurring, ["template"], "inner", [*KEY, "line"]).where(F.struct(*KEY) != F.col("first"))
     return gone.groupBy(*KEY).agg(F.collect_set("line").alias("_lines"))
 
 
