@@ -31,9 +31,9 @@ def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.spectrum(Q.tachogram(V.beats(spark, sf_dir), keys=WHOLE), keys=WHOLE)
 
 
-@query(f"{SQL_TACHO} SELECT subject_id, n, round(x, 6) AS x FROM grid")
+@query(f"{SQL_TACHO} SELECT subject_id, n, round(x, 5) AS x FROM grid")
 def tachogram_4hz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.tachogram(V.beats(spark, sf_dir), keys=WHOLE).withColumn("x", F.round("x", 6))
+    return Q.tachogram(V.beats(spark, sf_dir), keys=WHOLE).withColumn("x", F.round("x", 5))
 
 
 @query(f"{SQL_DENSITY} SELECT subject_id, k, round(hz, 6) AS hz, round(power, 3) AS power FROM psd")

@@ -76,9 +76,9 @@ def zero_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.zero_based(I.grouped(sids(spark, sf_dir).select(F.col("sid").alias("subject_id")), 9, 12, {"001": 1, "002": 2}), "task")
 
 
-@query("SELECT c_custkey AS id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 END AS task01 FROM customer")
+@query("SELECT c_custkey AS id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 END::DOUBLE AS task01 FROM customer")
 def binary_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.binary_codes(V.table(spark, sf_dir, "customer"), "c_mktsegment").select(F.col("c_custkey").alias("id"), "task01")
+    return I.binary_codes(V.table(spark, sf_dir, "customer"), "c_mktsegment").select(F.col("c_custkey").alias("id"), F.col("task01").cast("double").alias("task01"))
 
 
 @query(f"WITH {SQL_SID} SELECT sid, regexp_extract(sid, '^(P\\d+)', 1) AS short_subject, regexp_extract(sid, '(P\\d{{3}})', 1) AS short_label, CAST(nullif(regexp_extract(sid, '^[Pp]\\s*0*(\\d+)', 1), '') AS BIGINT) AS numeric_id FROM sids")
@@ -87,10 +87,10 @@ def short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sids(spark, sf_dir).select("sid", N.short_subject(s).alias("short_subject"), N.short_label(s).alias("short_label"), N.numeric_id(s).alias("numeric_id"))
 
 
-@query("SELECT o_orderkey AS id, CAST(trunc(TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE)) AS BIGINT) AS n FROM orders")
+@query("SELECT o_orderkey AS id, CAST(trunc(TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE)) AS BIGINT)::DOUBLE AS n FROM orders")
 def coerce_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise(F.col("o_totalprice").cast("string"))
-    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), N.coerce_int(v).alias("n"))
+    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), N.coerce_int(v).cast("double").alias("n"))
 
 
 @query(f"WITH {V.SQL_BEATS}, x AS (SELECT seq, CAST(round_even(t_s * 1000, 0) AS BIGINT) AS ms FROM beats) SELECT seq, format('{{:02d}}:{{:02d}}.{{:03d}}', ms // 60000, (ms // 1000) % 60, ms % 1000) AS minutes, format('{{}}:{{:02d}}:{{:02d}}.{{:03d}}', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS hours FROM x")
@@ -101,11 +101,11 @@ def clock_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {V.SQL_BEATS}, raw AS (SELECT subject_id, seq, CASE subject_id % 3 WHEN 0 THEN t_s * 1e6 WHEN 1 THEN floor(t_s) ELSE t_s / 100 END AS t FROM beats), d AS (SELECT *, abs(nullif(t - lag(t) OVER (PARTITION BY subject_id ORDER BY t), 0)) AS d FROM raw),
     k AS (SELECT subject_id, median(d) AS dt, max(t) AS mx, median(t) AS md, count(*) AS n FROM d GROUP BY 1)
-    SELECT raw.subject_id, seq, round(t / CASE WHEN n < 3 OR dt IS NULL THEN 1 WHEN dt >= 1e5 THEN 1e6 WHEN dt >= 10 AND mx < 1e5 AND md < 1e5 THEN 1000 ELSE 1 END, 4) AS t FROM raw JOIN k ON k.subject_id = raw.subject_id""")
+    SELECT raw.subject_id, seq, round(t / CASE WHEN n < 3 OR dt IS NULL THEN 1 WHEN dt >= 1e5 THEN 1e6 WHEN dt >= 10 AND mx < 1e5 AND md < 1e5 THEN 1000 ELSE 1 END, 7) AS t FROM raw JOIN k ON k.subject_id = raw.subject_id""")
 def seconds_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("subject_id") % 3
     raw = V.beats(spark, sf_dir).select("subject_id", "seq", F.when(s == 0, F.col("t_s") * 1e6).when(s == 1, F.floor("t_s").cast("double")).otherwise(F.col("t_s") / 100).alias("t"))
-    return I.in_seconds(raw, ["subject_id"], "t").withColumn("t", F.round("t", 4))
+    return I.in_seconds(raw, ["subject_id"], "t").withColumn("t", F.round("t", 7))
 
 
 @query(f"WITH {V.SQL_BEATS} SELECT seq, round(CASE WHEN v < 10 THEN v * 1000 ELSE v END, 6) AS rr_ms FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN rr_ms / 1000 ELSE rr_ms END AS v FROM beats)")

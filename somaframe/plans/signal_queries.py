@@ -90,14 +90,14 @@ def longest_valid_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{SQL_PEAKS}, bt AS (SELECT subject_id, rr_ms, sum(rr_ms) OVER (PARTITION BY subject_id ORDER BY t_s, seq ROWS UNBOUNDED PRECEDING) / 1000 AS t FROM beats),
     ea AS (SELECT bre.subject_id, bre.t0, max(rr_ms) - min(rr_ms) AS r FROM bre JOIN bt ON bt.subject_id = bre.subject_id AND t >= t0 AND t < t1 GROUP BY 1, 2 HAVING count(*) >= 2),
     rs AS (SELECT subject_id, avg(r) AS rsa, count(*) AS nb FROM ea GROUP BY 1 HAVING count(*) >= 2), rt AS (SELECT subject_id, 60 / median(t1 - t0) AS rate FROM bre GROUP BY 1)
-    SELECT rt.subject_id, round(rsa, 6) AS rsa_ms, round(ln(rsa), 6) AS rsa_log_ms, round(rate, 6) AS resp_rate_bpm, nb AS n_breaths_used FROM rt LEFT JOIN rs ON rs.subject_id = rt.subject_id""")
+    SELECT rt.subject_id, round(rsa, 6) AS rsa_ms, round(ln(rsa), 6) AS rsa_log_ms, round(rate, 6) AS resp_rate_bpm, nb::DOUBLE AS n_breaths_used FROM rt LEFT JOIN rs ON rs.subject_id = rt.subject_id""")
 def rsa_per_breath(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("subject_id").orderBy("t_s", "seq").rowsBetween(Window.unboundedPreceding, 0)
     beats = V.beats(spark, sf_dir).withColumn("t_s", F.sum("rr_ms").over(order) / 1000)
     found = R.sinus_arrhythmia(R.breaths(spaced_peaks(spark, sf_dir), KEYS), beats, keys=KEYS)
-    return rounded(found, "rsa_ms", "rsa_log_ms", "resp_rate_bpm").select("subject_id", "rsa_ms", "rsa_log_ms", "resp_rate_bpm", "n_breaths_used")
+    return rounded(found, "rsa_ms", "rsa_log_ms", "resp_rate_bpm").select("subject_id", "rsa_ms", "rsa_log_ms", "resp_rate_bpm", F.col("n_breaths_used").cast("double").alias("n_breaths_used"))
 
 
 @query()

@@ -103,11 +103,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TD.features(cut(spark, sf_dir), ["hr_bpm", "rmssd_ms"])
 
 
-@query(f"{SQL_FEATURES} SELECT subject_id, w_id, round(hr_bpm, 6) AS hr_bpm, CASE WHEN subject_id % 5 > 0 THEN CAST(subject_id % 2 AS INTEGER) END AS task FROM f")
+@query(f"{SQL_FEATURES} SELECT subject_id, w_id, round(hr_bpm, 6) AS hr_bpm, CASE WHEN subject_id % 5 > 0 THEN CAST(subject_id % 2 AS DOUBLE) END AS task FROM f")
 def physio_join_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
     groups = rows.where("subject_id % 5 > 0").select("subject_id", (F.col("subject_id") % 2).cast("int").alias("task"))
-    return rounded(T.with_groups(rows, groups), "hr_bpm").select("subject_id", "w_id", "hr_bpm", "task")
+    return rounded(T.with_groups(rows, groups), "hr_bpm").select("subject_id", "w_id", "hr_bpm", F.col("task").cast("double").alias("task"))
 
 
 @query(f"{ITEMS} SELECT subject_id, count(DISTINCT q1) AS n FROM items GROUP BY 1 HAVING count(DISTINCT q1) > 1")
@@ -142,15 +142,15 @@ SQL_LONG = """lg AS (SELECT subject_id, CAST(subject_id % 2 AS INTEGER) AS task,
     CASE w_id WHEN 1 THEN 'baseline' WHEN 3 THEN 'induction' WHEN 5 THEN 'intervention' END AS phase_level, CASE w_id WHEN 2 THEN 't1' WHEN 4 THEN 't2' END AS t_level, CASE w_id WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 END AS phase_level_code, hr_bpm FROM f)"""
 
 
-@query(f"{SQL_FEATURES}, {SQL_LONG} SELECT subject_id, task, w_id, t_id, role, phase_level, t_level, phase_level_code, round(hr_bpm, 6) AS hr_bpm FROM lg")
+@query(f"{SQL_FEATURES}, {SQL_LONG} SELECT subject_id, task, w_id, t_id::DOUBLE AS t_id, role, phase_level, t_level, phase_level_code::DOUBLE AS phase_level_code, round(hr_bpm, 6) AS hr_bpm FROM lg")
 def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.long_table(meant(spark, sf_dir), T.scheme(spark), ["hr_bpm"]), "hr_bpm").drop("meaning")
+    return rounded(T.long_table(meant(spark, sf_dir), T.scheme(spark), ["hr_bpm"]), "hr_bpm").drop("meaning").withColumns({c: F.col(c).cast("double") for c in ("t_id", "phase_level_code")})
 
 
-@query(f"{SQL_FEATURES}, {V.SQL_ITEMS}, {SQL_LONG} SELECT lg.subject_id, w_id, t_id, q1 FROM lg LEFT JOIN items i ON i.subject_id = lg.subject_id AND i.time = lg.t_id")
+@query(f"{SQL_FEATURES}, {V.SQL_ITEMS}, {SQL_LONG} SELECT lg.subject_id, w_id, t_id::DOUBLE AS t_id, q1 FROM lg LEFT JOIN items i ON i.subject_id = lg.subject_id AND i.time = lg.t_id")
 def psycho_merge_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.long_table(meant(spark, sf_dir), T.scheme(spark), ["hr_bpm"])
-    return T.with_questionnaires(rows, items(spark, sf_dir), ["q1"]).select("subject_id", "w_id", "t_id", "q1")
+    return T.with_questionnaires(rows, items(spark, sf_dir), ["q1"]).select("subject_id", "w_id", F.col("t_id").cast("double").alias("t_id"), "q1")
 
 
 @query(f"{ITEMS} SELECT subject_id, max(CASE WHEN time = 1 THEN q1 END) AS \"q1_T1\", max(CASE WHEN time = 2 THEN q1 END) AS \"q1_T2\", max(CASE WHEN time = 3 THEN q1 END) AS \"q1_T3\" FROM items GROUP BY 1")
@@ -226,9 +226,9 @@ def interval_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.slopes(items(spark, sf_dir), "q1", [1, 2, 3], "task", "time"), "grp_sl_12", "d_sl_12", "grp_sl_23", "d_sl_23")
 
 
-@query(f"{ITEMS}, e AS (SELECT task, subject_id, time, avg(q1) AS m FROM items GROUP BY 1, 2, 3) SELECT task, time, round(avg(m), 6) AS mean, count(m) AS n, CAST(grouping(task) AS INTEGER) AS overall FROM e GROUP BY GROUPING SETS ((time), (task, time))")
+@query(f"{ITEMS}, e AS (SELECT task, subject_id, time, avg(q1) AS m FROM items GROUP BY 1, 2, 3) SELECT task::DOUBLE AS task, time, round(avg(m), 6) AS mean, count(m) AS n, CAST(grouping(task) AS INTEGER) AS overall FROM e GROUP BY GROUPING SETS ((time), (task, time))")
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.trajectories(items(spark, sf_dir), "q1", "task", "time").withColumn("overall", F.col("overall").cast("int")), "mean")
+    return rounded(D.trajectories(items(spark, sf_dir), "q1", "task", "time").withColumns({"overall": F.col("overall").cast("int"), "task": F.col("task").cast("double")}), "mean")
 
 
 @query("""WITH v AS (SELECT 'l_quantity' AS name, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem)

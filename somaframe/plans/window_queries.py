@@ -16,12 +16,12 @@ SQL_DEFS = "defs(meaning, s, e, inset, def_order) AS (VALUES ('p_one','view','cl
 SQL_BOUNDS = "spans AS (SELECT subject_id, min(t_s) AS t0, max(t_s) AS t1 FROM beats GROUP BY 1)"
 SQL_SLIDE = """SELECT subject_id, t0 + i * {step}::DOUBLE AS t_start_s, t0 + i * {step}::DOUBLE + {length}::DOUBLE AS t_end_s, CAST(i AS INTEGER) AS def_order
     FROM (SELECT *, unnest(range(0, CAST(floor((t1 - t0 - {length}::DOUBLE + 1e-9) / {step}::DOUBLE) AS BIGINT) + 1)) AS i FROM {source})"""
-OUT = "subject_id, round(t_start_s, 3) AS t_start_s, round(t_end_s, 3) AS t_end_s"
+OUT = "subject_id, round(t_start_s, 6) AS t_start_s, round(t_end_s, 6) AS t_end_s"
 SQL_BEATS = f"WITH {V.SQL_BEATS}, {SQL_BOUNDS}"
 
 
 def shown(windows: DataFrame, *more: str) -> DataFrame:
-    return windows.select("subject_id", F.round("t_start_s", 3).alias("t_start_s"), F.round("t_end_s", 3).alias("t_end_s"), *more)
+    return windows.select("subject_id", F.round("t_start_s", 6).alias("t_start_s"), F.round("t_end_s", 6).alias("t_end_s"), *more)
 
 
 def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +33,12 @@ SQL_DAYS = f"""{V.SQL_BEATS}, {SQL_BOUNDS}, slid AS ({SQL_SLIDE.format(step=5 *
     wins AS (SELECT *, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY t_start_s) AS INTEGER) AS w_id FROM slid)"""
 
 
-@query(f"WITH {V.SQL_MARKERS} SELECT * FROM (SELECT subject_id, round(time_s, 3) AS t_start_s, round(lead(time_s) OVER w, 3) AS t_end_s, label || '->' || lead(label) OVER w AS meaning FROM markers WINDOW w AS (PARTITION BY subject_id ORDER BY time_s, seq)) WHERE t_end_s IS NOT NULL")
+@query(f"WITH {V.SQL_MARKERS} SELECT * FROM (SELECT subject_id, round(time_s, 6) AS t_start_s, round(lead(time_s) OVER w, 6) AS t_end_s, label || '->' || lead(label) OVER w AS meaning FROM markers WINDOW w AS (PARTITION BY subject_id ORDER BY time_s, seq)) WHERE t_end_s IS NOT NULL")
 def win_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(W.consecutive(V.markers(spark, sf_dir)), "meaning")
 
 
-@query(f"{SQL_BEATS} SELECT subject_id, round(t0 + 20, 3) AS t_start_s, round(least(t0 + 20 + 86400 * 10, t1), 3) AS t_end_s FROM spans")
+@query(f"{SQL_BEATS} SELECT subject_id, round(t0 + 20, 6) AS t_start_s, round(least(t0 + 20 + 86400 * 10, t1), 6) AS t_end_s FROM spans")
 def win_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(W.single(W.bounds(V.beats(spark, sf_dir)), 20, length=10 * DAY))
 
@@ -55,7 +55,7 @@ def win_sliding_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {V.SQL_MARKERS}, gaps AS (SELECT subject_id, time_s AS a, lead(time_s) OVER w AS b, row_number() OVER w AS n FROM markers WINDOW w AS (PARTITION BY subject_id ORDER BY time_s, seq)),
     sized AS (SELECT *, count(*) OVER (PARTITION BY subject_id) AS many FROM gaps WHERE b IS NOT NULL)
-    SELECT subject_id, round(a + CASE n WHEN 1 THEN 30 ELSE 60 END, 3) AS t_start_s, round(b - CASE n WHEN 1 THEN 30 ELSE 60 END, 3) AS t_end_s FROM sized WHERE many > 2 AND n <= 2""")
+    SELECT subject_id, round(a + CASE n WHEN 1 THEN 30 ELSE 60 END, 6) AS t_start_s, round(b - CASE n WHEN 1 THEN 30 ELSE 60 END, 6) AS t_end_s FROM sized WHERE many > 2 AND n <= 2""")
 def win_events_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(W.inset_gaps(V.markers(spark, sf_dir), {1: 30, 2: 60}))
 
@@ -75,7 +75,7 @@ def win_missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.missing_labels(V.markers(spark, sf_dir), [WindowDef("a", "view", "click", 0), WindowDef("b", "view", "refund", 0)])
 
 
-@query(f"WITH {V.SQL_MARKERS} SELECT subject_id, round(min(time_s) - 30, 3) AS t_start_s, round(min(time_s) - 30 + 3600, 3) AS t_end_s FROM markers WHERE label = 'error' GROUP BY 1")
+@query(f"WITH {V.SQL_MARKERS} SELECT subject_id, round(min(time_s) - 30, 6) AS t_start_s, round(min(time_s) - 30 + 3600, 6) AS t_end_s FROM markers WHERE label = 'error' GROUP BY 1")
 def win_events_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(W.around(V.markers(spark, sf_dir), "error", -30, 3600))
 
