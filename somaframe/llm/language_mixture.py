@@ -40,7 +40,7 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.3
 #: Languages that the driver takes up at most; more distinct values are an error in the data.
 MOST_LANGUAGES = 2000
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 
 _FOLD = np.full(256, 32, np.uint8)  # what is no letter separates words
 _FOLD[65:91] = np.arange(97, 123)

@@ -26,7 +26,7 @@ from somaframe.llm._common import chunks, ship
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
 SPACE = "▁"  # the mark that stands for a blank
 #: Entries that a worker's cache of merged words holds before it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 200_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
