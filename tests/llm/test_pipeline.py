@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline as C
 from somaframe.llm._common import checkpoint
 from somaframe.llm.queries import model_path
-from tests_llm_brute import roots_of
+from tests_llm_brute import check_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,8 +19,7 @@ def test_stages(spark, documents):
         docs = checkpoint(stage(spark, docs, SF))
         if name != "encode":
             assert docs.columns == documents.columns
-    before = sorted(seen["near_dedup"].collect(), key=lambda r: r.doc_id)
-    assert {r.doc_id for r in seen["mix_sources"].collect()} == {before[k].doc_id for k in roots_of([r.text for r in before])}
+    check_kept([(r.doc_id, r.text) for r in seen["near_dedup"].collect()], {r.doc_id for r in seen["mix_sources"].collect()})
     library = sentencepiece.SentencePieceProcessor(model_file=model_path())
     want = sorted((r.doc_id, hashlib.sha256(np.array(library.encode(r.text or "", add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest()) for r in seen["encode"].collect())
     assert sorted((r.doc_id, r.ids_sha256) for r in docs.collect()) == want
