@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from somaframe.functions.shipping import ship
+
 SUBJECT = "subject_id"
 
 
@@ -38,5 +40,6 @@ def finite(value: Column) -> Column:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys into the session's number of partitions. Work in grouped functions is not seen by adaptive
     execution, which would put small inputs into one task; a number that is asked for stays. Windows and groups by
-    the same keys need no further shuffle."""
+    the same keys need no further shuffle. The package is sent to the executors, whose workers look such functions up."""
+    ship(df.sparkSession)
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
