@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somaframe.functions.shipping import ship  # noqa: F401
+
 #: Word separators of the contracts: blank and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a numpy pass takes at once, so that its arrays stay in tens of MB.
@@ -22,24 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_somaframe_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(root):  # not when it already runs from a shipped archive
-        path = os.path.join(tempfile.mkdtemp(prefix="somaframe-"), "somaframe_ship.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(root):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        sc.addPyFile(path)
-    sc._somaframe_shipped = True
-
-
 def safely_named(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[Column]]:
     """docs with all columns but `keep` renamed, so that no column of the input clashes with one that an operator
     adds; and the columns that restore the names."""
@@ -62,16 +44,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; looks at no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def joined(left: DataFrame, right: DataFrame, on: Column, how: str, rows: int = 20_000) -> DataFrame:
-    """Join with right broadcast only if it has been counted to be small, else by Spark's own choice."""
-    return left.join(F.broadcast(right) if small_enough(right, rows) else right, on, how)
-
-
 def salted_join(many: DataFrame, one: DataFrame, on: list[str], how: str, seed: list[str], salts: int = 16) -> DataFrame:
     """Join where `many` may hold very many rows of a key and `one` has one: rows of a key are dealt to parts by a
     hash of the columns `seed`, and the one row is repeated for each part."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somaframe.llm._common import chunks, ship, small_enough, text_bytes
+from somaframe.llm._common import chunks, ship, text_bytes
 from somaframe.llm.quality_ftrl import in_test_part
 
 BITS = 16
@@ -38,8 +38,8 @@ TEMPER = 4.0
 UNKNOWN = "und"
 #: Below this score a document is rejected where one is filtered by language.
 LEAST_SCORE = 0.3
-#: Languages that the driver takes up at most; more distinct values are an error in the data.
-MOST_LANGUAGES = 2000
+#: Languages of a model; of more values of lang, the most frequent are learned (ties by code point order).
+MOST_LANGUAGES = 256
 BATCH_BYTES = 1 << 18
 
 _FOLD = np.full(256, 32, np.uint8)  # what is no letter separates words
@@ -128,9 +128,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     spark = docs.sparkSession
     ship(spark)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_test_part(F.col("doc_id"), 5, 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    if not small_enough(counts, MOST_LANGUAGES):
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
     drawn = counts.select("lang", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))).alias("_most"))
     rows = rows.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < F.col("_most"))
 
