@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from somaframe.llm._common import checkpoint, chunks, mix64, safely_named, ship
+from somaframe.llm._common import checkpoint, chunks, safely_named, ship
 from somaframe.llm._graph import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -106,7 +106,7 @@ def orders(fixed: int = 0) -> Tries:
     return first, second
 
 
-WHOLE, HALVES = orders(), orders(BITS // 2)
+WHOLE = orders()
 
 
 def reorder(values: np.ndarray, order: list[int]) -> np.ndarray:
@@ -257,53 +257,159 @@ def links(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS, trie
     return _joined(small, first, budget).unionByName(_joined(_dealt(divided, second, "trie"), second, budget))
 
 
-# --- similar texts: several short fingerprints ---
+# --- similar texts: an exact join of shingle sets ---
 
 WIDE_WORDS, WIDE_SHINGLE = 8, 5
-#: Texts whose shingle sets have at least this Jaccard similarity are linked, as their wide fingerprints tell.
+#: Texts whose shingle sets have at least this Jaccard similarity are linked.
 SIMILARITY = 0.8
-HALF = 32
-_SEEDS = mix64(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
+#: Texts (in expectation) that tell which shingles are frequent, and how many shingles are told. Both only set the order
+#: of shingles; the links are the same for any order.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 500_000
+#: Texts with one prefix shingle of which all pairs are compared at once.
+FEW = 32
+#: Texts to compare that are sent to all executors rather than shuffled.
+BROADCAST_ROWS = 100_000
+_EPS = 1e-9
 
 
 def most_bits(similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> int:
-    """Bits in which wide fingerprints of two such texts differ on average: the angle between them over pi."""
+    """Bits in which fingerprints of so many words differ on average for such texts: the angle between them over pi."""
     return round(BITS * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def wide_fingerprints(docs: DataFrame, keys: tuple[str, ...], size: int = WIDE_SHINGLE) -> DataFrame:
-    """Columns `keys` and wide (WIDE_WORDS longs, of independent hashes of the distinct shingles)."""
-    ship(docs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+def prefix_size(n: int, similarity: float = SIMILARITY) -> int:
+    """Shingles of a set of n (in one order for all sets) of which similar sets share one at least."""
+    return n - math.ceil(similarity * n - _EPS) + 1 if n else 0
+
+
+def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    return [np.unique(np.array(shingle_hashes(t.encode() if t else b"", size), np.uint64)) for t in texts.to_pylist()]
+
+
+def frequent_shingles(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a bounded sample, ascending, and how many of its texts hold each."""
+    share = min(1.0, ORDER_TEXTS / max(1, keyed.count()))
+    sample = keyed.where(F.pmod(F.xxhash64("_id", "_text", F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                lists = [list(set(shingle_hashes(t.encode() if t else b"", size))) for t in part.column(len(keys)).to_pylist()]
-                hashes, sizes = np.array([h for x in lists for h in x], np.uint64), np.array([len(x) for x in lists], np.int64)
-                found = np.stack([majority(mix64(hashes ^ s), sizes) for s in _SEEDS], axis=1)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * WIDE_WORDS, pa.int32()), pa.array(found.view(np.int64).ravel()))], names=[*keys, "wide"])
+                found = np.concatenate(_sets(part.column(0), size))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
-    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "wide array<long>"]))
+    counts = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.col("n").desc(), "h").limit(ORDER_SHINGLES).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def similar_links(wides: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
-    """a, b: links between ids (id, wide; distinct) whose wide fingerprints are as near as the similarity asks.
+def prefixes(keyed: DataFrame, keys: tuple[str, ...], size: int, similarity: float) -> DataFrame:
+    """Columns `keys`, digest (128 bits of the shingle set), n (its size), prefix (its rarest shingles, in the order of all)
+    and often (with the last of them, its place in that order)."""
+    ship(keyed.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
+    shared = keyed.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, size))
 
-    Each half word is a short fingerprint of its own table. Pairs within the budget in some table are found by the
-    tries (at a similarity of 0.8 a table finds every seventh pair, all 16 nine in ten; at 0.9 all but one in a
-    thousand), spanning links stand for them, and a link stays if the wide fingerprints bear it out."""
-    halves = F.flatten(F.transform("wide", lambda w: F.array(F.shiftrightunsigned(w, HALF), w.bitwiseAND(F.lit((1 << HALF) - 1)))))
-    keyed = wides.select("id", F.posexplode(halves).alias("t", "half")).select("id", (F.col("t").cast("long") * (1 << HALF) + F.col("half")).alias("fp"))
-    firsts = checkpoint(keyed.groupBy("fp").agg(F.min("id").alias("first")))
-    equal = keyed.join(firsts, "fp").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    near = links(firsts, budget, node_rows, HALVES)
-    by = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}"))
-    near = near.join(by("a"), "a").join(by("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    both = checkpoint(equal.unionByName(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    side = lambda n: wides.select(F.col("id").alias(n), F.col("wide").alias(f"_{n}"))
-    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits(similarity)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = shared.value
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                rows = []
+                for s in _sets(part.column(len(keys)), size):
+                    often = np.zeros(len(s), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        often = np.where(known[at] == s, times[at], 0)
+                    first = np.argsort(often, kind="stable")[: prefix_size(len(s), similarity)]  # s ascends: ties go by hash
+                    label = (s[first] ^ np.uint64(1 << 63)).view(np.int64)  # in the order of the hashes
+                    rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), label, int(often[first[-1]]) if len(first) else 0))
+                at = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([r[2] for r in rows])))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), lists, pa.array([r[3] for r in rows], pa.int64())], names=[*keys, "digest", "n", "prefix", "often"])
+
+    return keyed.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "digest binary, n int, prefix array<long>, often long"]))
+
+
+def _sets_of(keyed: DataFrame, wanted: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """id, shingles (array of distinct hashes); as often as a row of docs recurs. wanted: id and the key of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = _sets(part.column(1), size)
+                at = np.concatenate([[0], np.cumsum([len(s) for s in found])])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "shingles"])
+
+    own = wanted.select("id", *(F.col(f"first.{k}").alias(f"_of{k}") for k in keys))
+    own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own.hint("shuffle_hash")
+    rows = keyed.join(own, [keyed[k] == own[f"_of{k}"] for k in keys]).select("id", "text")
+    return rows.mapInArrow(run, "id long, shingles array<long>")
+
+
+def _with_both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of both as structs _a and _b."""
+    side = lambda n: rows.select(F.col("id").alias(n), F.struct(*columns).alias(f"_{n}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _similarities(pairs: DataFrame, marked: DataFrame, keyed: DataFrame, keys: list[str], similarity: float, size: int) -> DataFrame:
+    """a, b, s: the Jaccard similarity of the shingle sets, of those pairs (distinct) that may reach `similarity`.
+
+    Of the set whose prefix ends first, what it shares with the other is in both prefixes or behind its own."""
+    both = _with_both(pairs, marked, ["n", "prefix", "often"])
+    end = lambda c: F.struct(F.col(f"{c}.often"), F.element_at(f"{c}.prefix", -1))
+    behind = lambda c: F.col(f"{c}.n") - F.size(f"{c}.prefix")
+    most = F.size(F.array_intersect("_a.prefix", "_b.prefix")) + F.when(end("_a") <= end("_b"), behind("_a")).otherwise(behind("_b"))
+    pairs = checkpoint(both.where(most >= F.lit(similarity / (1 + similarity)) * (F.col("_a.n") + F.col("_b.n")) - _EPS).select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = checkpoint(_sets_of(keyed, checkpoint(marked.select("id", "first").join(wanted, "id", "left_semi")), keys, size))
+    common = F.size(F.array_intersect("_a.shingles", "_b.shingles"))
+    found = _with_both(pairs, sets, ["shingles"]).select("a", "b", (common / (F.size("_a.shingles") + F.size("_b.shingles") - common)).alias("s"))
+    return checkpoint(found.distinct())
+
+
+def similar_links(marked: DataFrame, keyed: DataFrame, keys: list[str], similarity: float = SIMILARITY, size: int = WIDE_SHINGLE, few: int = FEW) -> DataFrame:
+    """a, b: links that connect exactly what pairs of sets of at least the similarity connect.
+
+    marked: id, first (key of a text), n, prefix and often of distinct sets. In one order for all sets, rarest shingles first,
+    similar sets share a shingle of their prefixes, so no pair is missed. Where few sets have a prefix shingle, all their
+    pairs are candidates. Of more sets, each is compared with the lowest first; then those which that did not join to
+    the lowest with all others, but for pairs that are joined already, and for those that the triangle inequality
+    (1 - Jaccard is a metric) rules out: their similarities to the lowest differ by more than 1 - similarity."""
+    each = marked.select("id", "n", F.posexplode("prefix").alias("at", "h"))
+    of = Window.partitionBy("h")
+    shared = checkpoint(each.withColumns({"m": F.count("*").over(of), "low": F.min("id").over(of)}).where("m > 1"))
+
+    def may(x: str, y: str) -> Column:
+        """Whether two sets with that shingle at those places can be similar: by sizes, and by what is before and after it."""
+        n = F.col(f"{x}.n") + F.col(f"{y}.n")
+        most = F.least(F.col(f"{x}.at"), F.col(f"{y}.at")) + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+        return most >= F.lit(similarity / (1 + similarity)) * n - _EPS
+
+    def pairs(left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
+        found = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & also & may("x", "y"))
+        return found.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+    small, large = shared.where(F.col("m") <= few), shared.where(F.col("m") > few)
+    stars = large.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    one = checkpoint(pairs(small, small, F.col("x.id") < F.col("y.id")).unionByName(stars).distinct())
+    told = _similarities(one, marked, keyed, keys, similarity, size)
+    good = F.col("s") >= similarity - _EPS
+    links = told.where(good).select("a", "b")
+    if large.isEmpty():
+        return links
+    label = components(links)
+    named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    held = large.join(told.select(F.col("a").alias("id"), F.col("b").alias("low"), "s"), ["id", "low"], "left").join(named("id"), "id", "left").join(named("low"), "low", "left")
+    held = checkpoint(held.select("h", "id", "n", "at", F.when(F.col("id") == F.col("low"), 1.0).otherwise(F.col("s")).alias("s"), F.coalesce("_id", "id").alias("c"), F.coalesce("_low", "low").alias("low_c")))
+    rest = held.where("c <> low_c")
+    if rest.isEmpty():
+        return links
+    near = F.coalesce(F.abs(F.col("x.s") - F.col("y.s")) <= 1 - similarity + _EPS, F.lit(True))  # null: not computed
+    more = checkpoint(pairs(rest, held, (F.col("x.c") != F.col("y.c")) & near).join(one, ["a", "b"], "left_anti"))
+    return links.unionByName(_similarities(more, marked, keyed, keys, similarity, size).where(good).select("a", "b"))
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE) -> DataFrame:
@@ -313,9 +419,9 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     key = ["_nil", "_id", "_text"]
     named, back = safely_named(docs, "doc_id", "text")
     keyed = named.withColumns({"_nil": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0).cast(kind)), "_text": F.xxhash64("text")})
-    marked = wide_fingerprints(keyed, tuple(key), size).groupBy("wide").agg(F.min(F.struct(*key)).alias("first"))
-    marked = checkpoint(marked.withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed once written
-    found = components(similar_links(marked.select("id", "wide"), similarity))
+    marked = prefixes(keyed, tuple(key), size, similarity).groupBy("digest").agg(F.min(F.struct(*key)).alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("often").alias("often"))
+    marked = checkpoint(marked.drop("digest").withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed once written
+    found = components(similar_links(marked, keyed, key, similarity, size))
     classed = marked.join(found, marked["id"] == found["node"], "left").select("first", F.coalesce("component", "id").alias("component"))
     chosen = classed.groupBy("component").agg(F.min("first").alias("first")).select(*(F.col(f"first.{k}").alias(f"_of{k}") for k in key))
     kept = keyed.join(chosen.hint("shuffle_hash"), [keyed[k] == chosen[f"_of{k}"] for k in key])
