@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree of fixed depth (operator 8).
 
 A line's leaf in the tree is its number of tokens and its leading tokens; runs of digits are variable
-fields from the start. Inside a leaf, a token held at its position by fewer than `min_docs` lines is a
-variable field too and becomes a wildcard: what is left is the line's template. A template counts if at
-least SIMILARITY of its tokens are constant. Where it is held by `min_docs` documents or more it is
+fields from the start. Inside a leaf, a line's constant tokens are those that most lines hold at their
+positions: as few as make a share of SIMILARITY of its tokens, and all that equally many lines hold. The
+others are variable fields, whatever the leaf's size. These constants are the line's template; a line of
+which fewer tokens are held by `min_docs` lines each stands for itself. Where it is held by `min_docs` documents or more it is
 boilerplate: its lines are dropped from all documents but the first that holds it (by doc_id), so that a
 corpus of copies keeps one of each.
 
@@ -28,7 +29,6 @@ LEADING = 3
 MIN_TOKENS = 4
 MIN_DOCS = 3
 SIMILARITY = 0.6
-WILDCARD = "<*>"
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -59,18 +59,15 @@ def templates(lines: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
     """leaf, exact, template: for distinct lines of leaves that hold several; lines without enough constant tokens are missing.
 
     lines: as lines_of() gives them, of those leaves only. kinds: leaf, exact and n (how many lines)."""
-    texts = lines.select("leaf", "exact", "masked").distinct()
-    tokens = texts.join(kinds, ["leaf", "exact"]).select("leaf", "exact", "n", F.posexplode(_tokens(F.col("masked"))).alias("at", "token"))
-    tokens = checkpoint(tokens)
-    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("kept"))
-    marked = tokens.join(common, ["leaf", "at", "token"], "left")
-    one = F.when(F.col("kept"), F.col("token")).otherwise(WILDCARD)
-    found = marked.groupBy("leaf", "exact").agg(
-        F.bit_xor(F.xxhash64("at", one)).alias("_x"),  # a hash of the sequence that needs no gathering
-        F.sum(F.xxhash64(one, "at") % (1 << 40)).alias("_s"),
-        F.avg(F.coalesce(F.col("kept"), F.lit(False)).cast("double")).alias("_constant"),
-    )
-    return found.where(F.col("_constant") >= SIMILARITY).select("leaf", "exact", F.xxhash64("leaf", "_x", "_s").alias("template"))
+    texts = lines.select("leaf", "exact", "masked").distinct().withColumn("_tokens", _tokens(F.col("masked")))
+    tokens = texts.join(kinds, ["leaf", "exact"]).select("leaf", "exact", "n", F.size("_tokens").alias("of"), F.posexplode("_tokens").alias("at", "token"))
+    tokens = checkpoint(tokens.select("leaf", "exact", "n", "of", F.xxhash64("at", "token").alias("token")))
+    common = tokens.groupBy("leaf", "token").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs)
+    marked = tokens.join(common, ["leaf", "token"]).groupBy("leaf", "exact").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("_n", "token")), asc=False).alias("_held"))
+    least = F.ceil(F.col("of") * F.lit(SIMILARITY) - 1e-9).cast("int")
+    bound = F.element_at("_held", least)["_n"]
+    found = marked.where(F.size("_held") >= least).withColumn("_bound", bound)
+    return found.select("leaf", "exact", F.xxhash64("leaf", F.transform(F.filter("_held", lambda t: t["_n"] >= F.col("_bound")), lambda t: t["token"])).alias("template"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -20,6 +20,14 @@ def test_templates_go_from_all_but_the_first(pages):
         assert got[i].n_dropped == 3 and got[i].text == ""
 
 
+@pytest.mark.parametrize("times", [1, 12])
+def test_a_variable_field_whose_values_recur(spark, times):
+    """Each author stands in `times` lines of the leaf, but no line recurs."""
+    rows = [(a * 100 + c, f"Posted in category cat{'abcdefghijkl'[c]} by author{chr(97 + a % 26)}{chr(97 + a // 26)}") for a in range(60) for c in range(times)]
+    got = S.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_dropped = 0").count() == 1
+
+
 def test_fewer_documents_are_no_template(pages):
     assert S.drop_boilerplate(pages.where("doc_id < 2")).where("n_dropped > 0").count() == 0
 
