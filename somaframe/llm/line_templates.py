@@ -6,12 +6,13 @@ positions: as few as make a share of SIMILARITY of its tokens, and all that equa
 others are variable fields, whatever the leaf's size. These constants are the line's template; a line of
 which fewer tokens are held by `min_docs` lines each stands for itself. Where it is held by `min_docs` documents or more it is
 boilerplate: its lines are dropped from all documents but the first that holds it (by doc_id), so that a
-corpus of copies keeps one of each.
+corpus of copies keeps one of each. So are lines of LONG_TOKENS tokens or more that LONG_DOCS documents hold
+as they are, and lines of fewer than MIN_TOKENS tokens (as they are, but for blanks) that SHORT_DOCS hold.
 
 All of it is counting by key, combined before every shuffle; a leaf or a template, however frequent, is
 never gathered. Tokens are only exploded for leaves with several distinct lines, once per distinct line.
 
-Defined cases: a null text stays null and has no lines; lines of fewer than MIN_TOKENS tokens stay; lines
+Defined cases: a null text stays null and has no lines; lines without a token stay; lines
 repeated inside one document count once; a null doc_id comes after all others; rows equal in doc_id and
 text are one document here and get equal results; an empty table gives an empty result; further columns are
 passed on (n_lines and n_dropped are
@@ -28,6 +29,10 @@ from somaframe.llm._common import WORD, checkpoint, safely_named, salted_join
 LEADING = 3
 MIN_TOKENS = 4
 MIN_DOCS = 3
+#: A line of so many tokens or more that stands in LONG_DOCS documents character by character is a copy.
+LONG_TOKENS, LONG_DOCS = 20, 2
+#: A line of fewer than MIN_TOKENS tokens, digits and all, recurs if so many documents hold it.
+SHORT_DOCS = 10
 SIMILARITY = 0.6
 _BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -47,12 +52,16 @@ def _tokens(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """KEY, line (from 0), leaf, exact (hash of the line with digits masked) and masked, for lines of MIN_TOKENS tokens or more."""
-    masked = F.split(F.regexp_replace("text", "[0-9]+", "0"), "\n")
-    each = docs.select(*KEY, F.posexplode(masked).alias("line", "masked")).withColumn("n", F.regexp_count("masked", F.lit(WORD))).where(F.col("n") >= MIN_TOKENS)
+    """KEY, line (from 0), short, leaf, exact (hash of the line with digits masked), same (hash of a long line as it is) and
+    masked, for lines with tokens. A short line is its own leaf, digits and all."""
+    each = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("n", F.regexp_count("raw", F.lit(WORD))).where("n > 0")
+    each = each.withColumns({"short": F.col("n") < MIN_TOKENS, "masked": F.regexp_replace("raw", "[0-9]+", "0")})
     head = F.regexp_extract("masked", rf"^{_BLANKS[:-1]}*((?:{WORD}{_BLANKS}){{{LEADING - 1}}}{WORD})", 1)
-    leaf = F.xxhash64("n", F.regexp_replace(head, _BLANKS, " "))
-    return each.select(*KEY, "line", leaf.alias("leaf"), F.xxhash64("masked").alias("exact"), "masked")
+    own = F.xxhash64("n", _tokens(F.col("raw")))
+    leaf = F.when(F.col("short"), own).otherwise(F.xxhash64("n", F.regexp_replace(head, _BLANKS, " ")))
+    exact = F.when(F.col("short"), own).otherwise(F.xxhash64("masked"))
+    same = F.when(F.col("n") >= LONG_TOKENS, F.xxhash64("raw", F.lit(1)))
+    return each.select(*KEY, "line", "short", leaf.alias("leaf"), exact.alias("exact"), same.alias("same"), "masked")
 
 
 def templates(lines: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
@@ -75,15 +84,20 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lines = lines_of(docs)
     narrow = checkpoint(lines.drop("masked"))
     kinds = checkpoint(narrow.groupBy("leaf", "exact").agg(F.count("*").alias("n")))
+    enough = F.when(F.col("short"), max(min_docs, SHORT_DOCS)).otherwise(min_docs)
     leaves = checkpoint(kinds.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("kinds")).where(F.col("lines") >= min_docs))
     several = leaves.where("kinds > 1").select("leaf")
     general = templates(lines.join(several, "leaf", "left_semi"), kinds, min_docs)
     held = salted_join(narrow, leaves.select("leaf"), ["leaf"], "left_semi", [*KEY, "line"])
     held = salted_join(held, general, ["leaf", "exact"], "left", [*KEY, "line"])
-    held = checkpoint(held.select(*KEY, "line", F.coalesce("template", F.xxhash64("leaf", "exact")).alias("template")))
+    held = held.select(*KEY, "line", F.coalesce("template", F.xxhash64("leaf", "exact")).alias("template"), enough.alias("enough"))
+    long = narrow.where("same IS NOT NULL")
+    twice = long.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same")
+    copies = salted_join(long, twice, ["same"], "left_semi", [*KEY, "line"])
+    held = checkpoint(held.unionByName(copies.select(*KEY, "line", F.col("same").alias("template"), F.lit(min(min_docs, LONG_DOCS)).alias("enough"))))
     first = F.min(F.struct(*KEY)).alias("first")
-    recurring = held.select("template", *KEY).distinct().groupBy("template").agg(F.count("*").alias("docs"), first).where(F.col("docs") >= min_docs)
-    gone = salted_join(held, recurring, ["template"], "inner", [*KEY, "line"]).where(F.struct(*KEY) != F.col("first"))
+    recurring = held.select("template", "enough", *KEY).distinct().groupBy("template", "enough").agg(F.count("*").alias("docs"), first).where(F.col("docs") >= F.col("enough")).select("template", "enough", "first")
+    gone = salted_join(held, recurring, ["template", "enough"], "inner", [*KEY, "line"]).where(F.struct(*KEY) != F.col("first"))
     return gone.groupBy(*KEY).agg(F.collect_set("line").alias("_lines"))
 
 

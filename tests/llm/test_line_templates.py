@@ -32,6 +32,21 @@ def test_fewer_documents_are_no_template(pages):
     assert S.drop_boilerplate(pages.where("doc_id < 2")).where("n_dropped > 0").count() == 0
 
 
+def test_long_lines_in_two_documents_go(spark):
+    line = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    df = spark.createDataFrame([(1, f"a b c d\n{line}"), (2, f"{line}\ne f g h"), (3, f"{line} 1"), (4, f"{line} 2")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in S.drop_boilerplate(df.where("doc_id < 3")).collect()} == {1: f"a b c d\n{line}", 2: "e f g h"}
+    # these two differ in digits: not equal, and a template of two documents only
+    assert S.drop_boilerplate(df.where("doc_id > 2")).where("n_dropped > 0").count() == 0
+
+
+def test_short_lines_of_many_documents_go(spark):
+    rows = [(i, f"Read more\nAll  rights reserved\n{i} of them" + ("\nrare" if i < 9 else "") + "\n\n") for i in range(12)]
+    got = {r.doc_id: r for r in S.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_dropped == 0
+    assert all(got[i].n_dropped == 2 and got[i].text == f"{i} of them" + ("\nrare" if i < 9 else "") + "\n\n" for i in range(1, 12))
+
+
 def test_repeats_inside_one_document_stay(spark):
     df = spark.createDataFrame([(1, "one two three four\n" * 20)], "doc_id long, text string")
     assert S.drop_boilerplate(df).first().n_dropped == 0
