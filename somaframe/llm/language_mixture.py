@@ -10,7 +10,8 @@ The prediction is the language with the largest proportion; the score is that pr
 posterior of the language among single languages (from a tempered likelihood, as trigrams overlap).
 
 Rows learned from are a bounded sample: PER_LANGUAGE documents of each language in expectation, drawn by a
-hash of doc_id. Everything else covers all rows and whole texts. The model has 2^BITS numbers a language.
+hash of doc_id. Everything else covers all rows and whole texts. All languages are learned; the model holds
+their trigrams that occur (2^BITS at most), and a block of languages at a time is laid out in full.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; where nothing could be learned
 all are `und`; documents without a doc_id are predicted, never learned from; languages with equal
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somaframe.llm._common import chunks, ship, text_bytes
+from somaframe.llm._common import checkpoint, chunks, ship, text_bytes
 from somaframe.llm.quality_ftrl import in_test_part
 
 BITS = 16
@@ -38,8 +39,8 @@ TEMPER = 4.0
 UNKNOWN = "und"
 #: Below this score a document is rejected where one is filtered by language.
 LEAST_SCORE = 0.3
-#: Languages of a model; of more values of lang, the most frequent are learned (ties by code point order).
-MOST_LANGUAGES = 256
+#: Languages that are compared at once; there may be any number of blocks.
+BLOCK = 32
 BATCH_BYTES = 1 << 18
 
 _FOLD = np.full(256, 32, np.uint8)  # what is no letter separates words
@@ -81,78 +82,139 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def infer(bucket: np.ndarray, first: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (texts x languages) and log likelihoods of single languages. model: 2^BITS x languages."""
-    size, kinds = np.diff(first), model.shape[1]
-    single = np.stack([_sums(np.log(model[:, k])[bucket], first) for k in range(kinds)], axis=1)
-    share = np.zeros((len(size), kinds))
-    share[np.arange(len(size)), single.argmax(axis=1)] = 1.0
-    fit = single.max(axis=1)
-    member = share > 0
+class Languages:
+    """The learned languages, in blocks: counts of trigrams as they are (sparse), one block at a time as probabilities."""
+
+    def __init__(self, blocks: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.blocks = blocks  # languages of the block, cells (bucket * languages + language), counts
+        self.kinds = sum(b[0] for b in blocks)
+        self._only: np.ndarray | None = None
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of the block's first language, and 2^BITS x languages."""
+        lo = 0
+        for width, cell, n in self.blocks:
+            dense = self._only
+            if dense is None:
+                total = np.full((1 << BITS) * width, SMOOTHING)
+                total[cell] += n
+                total = total.reshape(-1, width)
+                dense = total / total.sum(axis=0)
+            if len(self.blocks) == 1:
+                self._only = dense
+            yield lo, dense
+            lo += width
+
+
+def mixtures(bucket: np.ndarray, first: np.ndarray, model: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its languages (-1: none) and their proportions, the posterior of the best single language among
+    all, and the log likelihood of the mixture."""
+    size, kinds = np.diff(first), model.kinds
+    texts, row = np.arange(len(size)), np.repeat(np.arange(len(size)), size)
+    fit, top, weight = np.full(len(size), -np.inf), np.zeros(len(size), np.int64), np.zeros(len(size))
+    like = np.zeros((len(bucket), 1))  # of each trigram, in each language of its text
+    for lo, block in model:
+        single = np.stack([_sums(np.log(block[:, k])[bucket], first) for k in range(block.shape[1])], axis=1)
+        best = single.argmax(axis=1)
+        now = np.maximum(fit, single[texts, best])
+        up = now > fit
+        weight = weight * np.exp((fit - now) / TEMPER) + np.exp((single - now[:, None]) / TEMPER).sum(axis=1)
+        top[up], fit, some = lo + best[up], now, up[row]
+        like[some, 0] = block[bucket[some], best[row[some]]]
+    who, share = top[:, None], np.ones((len(size), 1))
     todo = np.flatnonzero((size > 0) & (kinds > 1))
     while len(todo):
         n = size[todo]
         own = np.repeat(first[todo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        like = model[bucket[own]]
-        cuts = np.concatenate([[0], np.cumsum(n)])
-        row = np.repeat(np.arange(len(todo)), n)
-        mixed = np.einsum("ij,ij->i", like, share[todo][row])
-        slope = np.stack([_sums(like[:, k] / mixed, cuts) for k in range(kinds)], axis=1) - n[:, None]
-        slope[member[todo]] = -np.inf
-        best = slope.argmax(axis=1)
+        cuts, row = np.concatenate([[0], np.cumsum(n)]), np.repeat(np.arange(len(todo)), n)
+        mixed = np.einsum("ij,ij->i", like[own], share[todo][row])
+        steep, pick, add = np.full(len(todo), -np.inf), np.zeros(len(todo), np.int64), np.zeros(len(own))
+        for lo, block in model:
+            here = block[bucket[own]]
+            slope = np.stack([_sums(here[:, k] / mixed, cuts) for k in range(block.shape[1])], axis=1) - n[:, None]
+            at = who[todo] - lo
+            text, place = np.nonzero((at >= 0) & (at < block.shape[1]))
+            slope[text, at[text, place]] = -np.inf
+            best = slope.argmax(axis=1)
+            now = np.maximum(steep, slope[np.arange(len(todo)), best])
+            up = now > steep
+            pick[up], steep, some = lo + best[up], now, up[row]
+            add[some] = here[some, best[row[some]]]
         price = PENALTY * np.log(n + 1)
-        go = slope[np.arange(len(todo)), best] > price
+        go = steep > price
         if not go.any():
             break
         keep = go[row]
-        todo, best, price, n = todo[go], best[go], price[go], n[go]
-        like, row, cuts = like[keep], np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
-        trial = member[todo].copy()
-        trial[np.arange(len(todo)), best] = True
-        p = np.where(trial, np.where(share[todo] > 0, share[todo] * 0.8, 0.2), 0.0)
+        todo, pick, price, n, own = todo[go], pick[go], price[go], n[go], own[keep]
+        each_like = np.column_stack([like[own], add[keep]])
+        row, cuts = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
+        p = share[todo]
+        p = np.column_stack([np.where(p > 0, p * 0.8, 0.2), np.full(len(p), 0.2)])
         p /= p.sum(axis=1, keepdims=True)
         for _ in range(STEPS):
-            each = like * p[row]
+            each = each_like * p[row]
             each /= each.sum(axis=1, keepdims=True)
-            p = np.stack([_sums(each[:, k], cuts) for k in range(kinds)], axis=1) / n[:, None]
-        now = _sums(np.log(np.einsum("ij,ij->i", like, p[row])), cuts)
+            p = np.stack([_sums(each[:, k], cuts) for k in range(p.shape[1])], axis=1) / n[:, None]
+        now = _sums(np.log(np.einsum("ij,ij->i", each_like, p[row])), cuts)
         better = now - fit[todo] > price
-        todo = todo[better]
-        share[todo], fit[todo], member[todo] = p[better], now[better], trial[better]
-        todo = todo[member[todo].sum(axis=1) < kinds]
-    return share, single
+        some, todo = better[row], todo[better]
+        who, share, like = (np.column_stack([x, np.full(len(x), none, x.dtype)]) for x, none in ((who, -1), (share, 0), (like, 0)))
+        like[own[some]], who[todo, -1], share[todo], fit[todo] = each_like[some], pick[better], p[better], now[better]
+        if who.shape[1] == kinds:
+            break
+    return who, share, 1 / weight, fit
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages in code point order, and their trigram probabilities, 2^BITS x languages."""
+def infer(bucket: np.ndarray, first: np.ndarray, model: Languages) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (texts x languages) and log likelihoods of the mixtures."""
+    who, share, _, fit = mixtures(bucket, first, model)
+    out = np.zeros((len(who), model.kinds))
+    text, place = np.nonzero(who >= 0)
+    out[text, who[text, place]] = share[text, place]
+    return out, fit
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], Languages]:
+    """All languages in code point order, and their model."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_test_part(F.col("doc_id"), 5, 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     drawn = counts.select("lang", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))).alias("_most"))
     rows = rows.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < F.col("_most"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, total in held.items():
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["lang", "bucket", "n"])
+            held.clear()
+
         for batch in batches:
             for part in chunks(batch):
                 bucket, first = trigrams(*text_bytes(part.column(1)))
                 for i, lang in enumerate(part.column(0).to_pylist()):
                     if lang not in held:
+                        if len(held) == BLOCK:
+                            yield from out()
                         held[lang] = np.zeros(1 << BITS, np.int64)
                     np.add.at(held[lang], bucket[first[i] : first[i + 1]], 1)
-        for lang, total in held.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["lang", "bucket", "n"])
+        yield from out()
 
-    found = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
-    total = np.full((1 << BITS, len(langs)), SMOOTHING)
-    total[found["bucket"].to_numpy(), [langs.index(x) for x in found["lang"]]] += found["n"].to_numpy()
-    return langs, total / total.sum(axis=0)
+    found = checkpoint(rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    langs = sorted(r.lang for r in found.select("lang").distinct().collect())
+    blocks = []
+    for lo in range(0, len(langs), BLOCK):
+        some = {x: k for k, x in enumerate(langs[lo : lo + BLOCK])}
+        part = found.where(F.col("lang").isin(list(some))).toPandas()
+        cell = part["bucket"].to_numpy(np.int32) * len(some) + part["lang"].map(some).to_numpy(np.int32)
+        blocks.append((len(some), cell, part["n"].to_numpy(np.int64)))
+    return langs, Languages(blocks)
 
 
-def detect(docs: DataFrame, langs: list[str], model: np.ndarray, keys: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def detect(docs: DataFrame, langs: list[str], model: Languages, keys: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """Columns `keys`, lang_pred, score, and shares (map of the selected languages' proportions); the text too if asked for."""
     spark = docs.sparkSession
     ship(spark)
@@ -165,13 +227,13 @@ def detect(docs: DataFrame, langs: list[str], model: np.ndarray, keys: tuple[str
             for part in chunks(batch, "text", BATCH_BYTES):
                 texts = part.column(len(keys))
                 if langs:
-                    share, single = infer(*trigrams(*text_bytes(texts)), model)
-                    best = share.argmax(axis=1)
-                    post = np.exp((single - single.max(axis=1, keepdims=True)) / TEMPER)
-                    post = (post / post.sum(axis=1, keepdims=True))[np.arange(len(best)), best]
+                    bucket, first = trigrams(*text_bytes(texts))
+                    who, share, post, _ = mixtures(bucket, first, model)
+                    most = share.max(axis=1)
+                    best = np.where((share == most[:, None]) & (who >= 0), who, len(langs)).min(axis=1)
                     # in a mixture the second language is no doubt about the first
-                    score = np.where(share.max(axis=1) < 1, share.max(axis=1), post)
-                    rows = [(langs[b], float(s), [(langs[k], float(p[k])) for k in np.flatnonzero(p)]) if has_letter(t) else (UNKNOWN, 0.0, []) for t, b, s, p in zip(texts.to_pylist(), best, score, share, strict=True)]
+                    score = np.where(most < 1, most, post)
+                    rows = [(langs[b], float(s), [(langs[k], float(x)) for k, x in sorted(zip(w, p, strict=True)) if x > 0]) if has_letter(t) else (UNKNOWN, 0.0, []) for t, b, s, w, p in zip(texts.to_pylist(), best, score, who, share, strict=True)]
                 else:
                     rows = [(UNKNOWN, 0.0, [])] * part.num_rows
                 columns = list(zip(*rows, strict=True))

@@ -60,6 +60,28 @@ def test_mixtures(more):
     assert np.allclose(share.sum(axis=1), 1)
 
 
+def test_many_languages(spark):
+    """More languages than once were learned (256), each with words of its own; the last by code point are as good as the first."""
+    rng = np.random.default_rng(5)
+    words = [["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(12)] for _ in range(300)]
+    rows = [(k * 10 + j, " ".join(words[k][i] for i in rng.integers(0, 12, 40)), f"l{k:03d}") for k in range(300) for j in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, _ = L.train(df)
+    assert langs == [f"l{k:03d}" for k in range(300)]
+    got = {r.doc_id: r.lang_pred for r in L.identify(df).collect()}
+    assert all(got[d] == lang for d, _, lang in rows)
+
+
+def test_blocks_of_languages_make_no_difference(more, monkeypatch):
+    texts = text_bytes(pa.array([r.text for r in more.where("doc_id < 200").select("text").collect()]))
+    whole = L.infer(*L.trigrams(*texts), L.train(more)[1])
+    monkeypatch.setattr(L, "BLOCK", 3)
+    _, model = L.train(more)
+    assert len(model.blocks) > 1
+    for a, b in zip(whole, L.infer(*L.trigrams(*texts), model), strict=True):
+        assert np.allclose(a, b)
+
+
 def test_language_odd(odd, empty):
     got = {(r.doc_id, r.lang_pred) for r in L.identify(odd).collect()}
     assert (4, "und") in got and (1, "und") in got and (None, "und") in got
