@@ -7,7 +7,10 @@ as the likelihood gains more than PENALTY * log(trigrams) for it. The likelihood
 proportions, so the slope bounds the gain: where even that bound is below the penalty, no fit is needed.
 
 The prediction is the language with the largest proportion; the score is that proportion times the
-posterior of the language among single languages (from a tempered likelihood, as trigrams overlap).
+posterior of the language among single languages (from a tempered likelihood, as trigrams overlap). Whether a
+document is in known languages at all is another question: the (tempered) posterior of its mixture against an
+unknown language, in which all buckets are equally likely. Filtering goes by that, so that texts in several
+languages stay.
 
 Rows learned from are a bounded sample: PER_LANGUAGE documents of each language in expectation, drawn by a
 hash of doc_id. Everything else covers all rows and whole texts. All languages are learned; the model holds
@@ -20,6 +23,7 @@ likelihood are taken in code point order; repeated rows get equal results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +41,8 @@ PENALTY = 3.0
 STEPS = 12
 TEMPER = 4.0
 UNKNOWN = "und"
-#: Below this score a document is rejected where one is filtered by language.
-LEAST_SCORE = 0.3
+#: Below this posterior of being in known languages, however many, a document is rejected where one is filtered by language.
+LEAST_KNOWN = 0.3
 #: Languages that are compared at once; there may be any number of blocks.
 BLOCK = 32
 BATCH_BYTES = 1 << 18
@@ -215,7 +219,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
 
 
 def detect(docs: DataFrame, langs: list[str], model: Languages, keys: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """Columns `keys`, lang_pred, score, and shares (map of the selected languages' proportions); the text too if asked for."""
+    """Columns `keys`, lang_pred, score, shares (map of the selected languages' proportions) and known (posterior of the
+    mixture against an unknown language); the text too if asked for."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((langs, model))
@@ -228,27 +233,28 @@ def detect(docs: DataFrame, langs: list[str], model: Languages, keys: tuple[str,
                 texts = part.column(len(keys))
                 if langs:
                     bucket, first = trigrams(*text_bytes(texts))
-                    who, share, post, _ = mixtures(bucket, first, model)
+                    who, share, post, fit = mixtures(bucket, first, model)
+                    known = 1 / (1 + np.exp(np.clip((-BITS * math.log(2) * np.diff(first) - fit) / TEMPER, -500, 500)))
                     most = share.max(axis=1)
                     best = np.where((share == most[:, None]) & (who >= 0), who, len(langs)).min(axis=1)
                     # in a mixture the second language is no doubt about the first
                     score = np.where(most < 1, most, post)
-                    rows = [(langs[b], float(s), [(langs[k], float(x)) for k, x in sorted(zip(w, p, strict=True)) if x > 0]) if has_letter(t) else (UNKNOWN, 0.0, []) for t, b, s, w, p in zip(texts.to_pylist(), best, score, who, share, strict=True)]
+                    rows = [(langs[b], float(s), [(langs[k], float(x)) for k, x in sorted(zip(w, p, strict=True)) if x > 0], float(c)) if has_letter(t) else (UNKNOWN, 0.0, [], 0.0) for t, b, s, w, p, c in zip(texts.to_pylist(), best, score, who, share, known, strict=True)]
                 else:
-                    rows = [(UNKNOWN, 0.0, [])] * part.num_rows
+                    rows = [(UNKNOWN, 0.0, [], 0.0)] * part.num_rows
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.map_(pa.string(), pa.float64())), *([texts] if with_text else [])], names=[*keys, "lang_pred", "score", "shares", *(["text"] if with_text else [])])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.map_(pa.string(), pa.float64())), pa.array(columns[3], pa.float64()), *([texts] if with_text else [])], names=[*keys, "lang_pred", "score", "shares", "known", *(["text"] if with_text else [])])
 
-    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "lang_pred string, score double, shares map<string,double>", *(["text string"] if with_text else [])]))
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "lang_pred string, score double, shares map<string,double>, known double", *(["text string"] if with_text else [])]))
 
 
-def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """docs without those that are `und` or whose score is below least_score; a null lang becomes the prediction."""
+def keep_identified(docs: DataFrame, least_known: float = LEAST_KNOWN, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """docs without those that are `und` or in no known language (known below least_known); a null lang becomes the prediction."""
     langs, model = train(docs, per_language)
     others = [c for c in docs.columns if c != "text"]
     names = [f"_{i}" for i in range(len(others))]  # whatever the columns are called
     found = detect(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)), "text"), langs, model, tuple(names), with_text=True)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= least_known))
     back = dict(zip(others, names, strict=True)) | {"text": "text"}
     return kept.select(*((F.coalesce(F.col(back[c]), "lang_pred") if c == "lang" else F.col(back[c])).alias(c) for c in docs.columns))
 

@@ -82,6 +82,18 @@ def test_blocks_of_languages_make_no_difference(more, monkeypatch):
         assert np.allclose(a, b)
 
 
+def test_clean_texts_in_many_languages_are_kept(spark):
+    rng = np.random.default_rng(6)
+    words = [["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60)] for _ in range(6)]
+    say = lambda k, n: " ".join(words[k][i] for i in rng.integers(0, 60, n))
+    rows = [(k * 400 + j, say(k, 60), f"l{k}") for k in range(6) for j in range(400)]
+    mixed = [(9000 + m, " ".join(say(k, 60) for k in range(m)), None) for m in range(2, 7)]
+    junk = [(9900, " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(300)), None), (9901, "123 456", None)]
+    df = spark.createDataFrame(rows + mixed + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in L.keep_identified(df).where("doc_id >= 9000").collect()}
+    assert kept == {d for d, _, _ in mixed}
+
+
 def test_language_odd(odd, empty):
     got = {(r.doc_id, r.lang_pred) for r in L.identify(odd).collect()}
     assert (4, "und") in got and (1, "und") in got and (None, "und") in got
