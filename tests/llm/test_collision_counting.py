@@ -35,20 +35,48 @@ def test_same_as_brute_force(spark, cell_rows, block_rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
-def test_collisions_by_hand():
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 5])
+def test_collisions_by_hand(most):
     rng = np.random.default_rng(1)
-    a, b = rng.normal(size=(9, 5)), rng.normal(size=(13, 5))
-    assert (S.collisions(a, b, 0.5) == (np.abs(a[:, None] - b[None]) <= 0.5).sum(axis=2)).all()
+    a, b = rng.normal(size=(9, 7)), rng.normal(size=(150, 7))
+    found = np.zeros((9, 150), bool)
+    for rows, may in S._rows(S.misses(a, b, 0.9, most), 150):
+        found[rows] = may
+    assert (found == ((np.abs(a[:, None] - b[None]) > 0.9).sum(axis=2) <= most)).all()
 
 
 def test_calibration():
     rng = np.random.default_rng(2)
     hits = (np.abs(rng.normal(size=(20_000, S.DIRECTIONS))) <= S.HALF_WINDOW).sum(axis=1)
     assert (hits < S.least_count()).mean() <= 5e-4
-    for n in (500, 5000, 10**6):
-        dims, tables = S.grid(n)
-        share = 0.867**dims
-        assert 1 - (1 - share) ** tables > 0.999
+    assert S.grid(S.CELL_ROWS) == (0, 0, 1)
+    for n in (10**4, 10**6, 10**9):
+        sets, width, tables = S.grid(n)
+        assert (2 * width) ** sets * S.CELL_ROWS >= n and tables < 60
+        assert 1 - (1 - S.cell_rate(width) ** sets) ** tables > 0.999
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs just above the threshold, in a label that is dealt to very many cells."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(1500, 48))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    b = 0.9301 * a + np.sqrt(1 - 0.9301**2) * side
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in S.near_duplicates(df, cell_rows=30).collect()}
+    assert sum(got[i].n_links >= 1 and got[i + 1500].component_id == got[i].component_id for i in range(1500)) >= 1498
+
+
+def test_very_many_vectors_in_one_cell(spark):
+    """20,000 different vectors around one direction, all linked with each other: one cell of every table, cut into blocks."""
+    n = 20_000
+    x = np.random.default_rng(4).normal(size=(n, 8)) * 0.01 + 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = S.near_duplicates(df).groupBy("n_links", "component_id").count().collect()
+    assert [(r.n_links, r.component_id, r["count"]) for r in got] == [(n - 1, 0, n)]
 
 
 def test_odd_rows(spark):
