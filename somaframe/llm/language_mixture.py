@@ -18,7 +18,8 @@ their trigrams that occur (2^BITS at most), and a block of languages at a time i
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; where nothing could be learned
 all are `und`; documents without a doc_id are predicted, never learned from; languages with equal
-likelihood are taken in code point order; repeated rows get equal results.
+likelihood are taken in code point order; repeated rows get equal results; a very long text is counted in pieces, and
+only its distinct trigrams are held.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ LEAST_KNOWN = 0.3
 #: Languages that are compared at once; there may be any number of blocks.
 BLOCK = 32
 BATCH_BYTES = 1 << 18
+#: Bytes of a long text whose trigrams are counted at once.
+PIECE_BYTES = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)  # what is no letter separates words
 _FOLD[65:91] = np.arange(97, 123)
@@ -53,27 +56,32 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all trigrams of the texts (words with a blank on either side), and where each text's begin."""
+def _buckets(data: np.ndarray, lead: int, follow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of letters and the buckets of the trigrams around them; lead and follow: the (folded) bytes before and after."""
+    folded = np.empty(len(data) + 2, np.uint32)
+    folded[0], folded[1:-1], folded[-1] = lead, _FOLD[data], follow
+    live = np.flatnonzero(folded[1:-1] != 32)
+    code = folded[live] << np.uint32(16) | folded[live + 1] << np.uint32(8) | folded[live + 2]
+    return live, (code * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int32)
+
+
+def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of the texts (words with a blank on either side), how many of each there are, and where each
+    text's buckets begin. Long texts are counted piece by piece."""
     n = len(at) - 1
-    size = np.diff(at)
-    # every text gets a blank in front, and one behind the last
-    folded = np.full(len(data) + n + 1, 32, np.uint8)
-    folded[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), size)] = _FOLD[data]
-    owner = np.repeat(np.arange(n + 1), np.append(size + 1, 1))
-    keep = np.ones(len(folded), bool)
-    keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32)
-    begins = np.zeros(len(folded), bool)
-    begins[at + np.arange(n + 1)] = True
-    keep |= begins
-    folded, owner = folded[keep].astype(np.uint32), owner[keep]
-    if len(folded) < 3:
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-    mid = folded[1:-1]
-    code = folded[:-2] << np.uint32(16) | mid << np.uint32(8) | folded[2:]
-    live = mid != 32  # each trigram belongs to the text of its middle byte
-    bucket = (code[live] * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int32)
-    return bucket, np.searchsorted(owner[1:-1][live], np.arange(n + 1))
+    if n == 1 and len(data) > PIECE_BYTES:
+        total = np.zeros(1 << BITS, np.int64)
+        for k in range(0, len(data), PIECE_BYTES):
+            end = min(len(data), k + PIECE_BYTES)
+            total += np.bincount(_buckets(data[k:end], int(_FOLD[data[k - 1]]) if k else 32, int(_FOLD[data[end]]) if end < len(data) else 32)[1], minlength=1 << BITS)
+        some = np.flatnonzero(total)
+        return some.astype(np.int32), total[some], np.array([0, len(some)])
+    apart = np.full(len(data) + n, 32, np.uint8)  # a blank behind every text
+    apart[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))] = data
+    where, bucket = _buckets(apart, 32, 32)
+    text = np.searchsorted(at[1:] + np.arange(1, n + 1), where, "right")
+    key, count = np.unique(text << BITS | bucket, return_counts=True)
+    return (key & ((1 << BITS) - 1)).astype(np.int32), count, np.searchsorted(key, np.arange(n + 1) << BITS)
 
 
 def has_letter(text: str | None) -> bool:
@@ -110,15 +118,15 @@ class Languages:
             lo += width
 
 
-def mixtures(bucket: np.ndarray, first: np.ndarray, model: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def mixtures(bucket: np.ndarray, times: np.ndarray, first: np.ndarray, model: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its languages (-1: none) and their proportions, the posterior of the best single language among
-    all, and the log likelihood of the mixture."""
-    size, kinds = np.diff(first), model.kinds
-    texts, row = np.arange(len(size)), np.repeat(np.arange(len(size)), size)
+    all, and the log likelihood of the mixture. All of it depends on the counts of the distinct trigrams only."""
+    size, held, kinds = _sums(times, first), np.diff(first), model.kinds
+    texts, row = np.arange(len(size)), np.repeat(np.arange(len(size)), held)
     fit, top, weight = np.full(len(size), -np.inf), np.zeros(len(size), np.int64), np.zeros(len(size))
     like = np.zeros((len(bucket), 1))  # of each trigram, in each language of its text
     for lo, block in model:
-        single = np.stack([_sums(np.log(block[:, k])[bucket], first) for k in range(block.shape[1])], axis=1)
+        single = np.stack([_sums(times * np.log(block[:, k])[bucket], first) for k in range(block.shape[1])], axis=1)
         best = single.argmax(axis=1)
         now = np.maximum(fit, single[texts, best])
         up = now > fit
@@ -128,14 +136,14 @@ def mixtures(bucket: np.ndarray, first: np.ndarray, model: Languages) -> tuple[n
     who, share = top[:, None], np.ones((len(size), 1))
     todo = np.flatnonzero((size > 0) & (kinds > 1))
     while len(todo):
-        n = size[todo]
-        own = np.repeat(first[todo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        cuts, row = np.concatenate([[0], np.cumsum(n)]), np.repeat(np.arange(len(todo)), n)
+        n, m = size[todo], held[todo]
+        own = np.repeat(first[todo] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        cuts, row, count = np.concatenate([[0], np.cumsum(m)]), np.repeat(np.arange(len(todo)), m), times[own]
         mixed = np.einsum("ij,ij->i", like[own], share[todo][row])
         steep, pick, add = np.full(len(todo), -np.inf), np.zeros(len(todo), np.int64), np.zeros(len(own))
         for lo, block in model:
             here = block[bucket[own]]
-            slope = np.stack([_sums(here[:, k] / mixed, cuts) for k in range(block.shape[1])], axis=1) - n[:, None]
+            slope = np.stack([_sums(count * here[:, k] / mixed, cuts) for k in range(block.shape[1])], axis=1) - n[:, None]
             at = who[todo] - lo
             text, place = np.nonzero((at >= 0) & (at < block.shape[1]))
             slope[text, at[text, place]] = -np.inf
@@ -149,17 +157,17 @@ def mixtures(bucket: np.ndarray, first: np.ndarray, model: Languages) -> tuple[n
         if not go.any():
             break
         keep = go[row]
-        todo, pick, price, n, own = todo[go], pick[go], price[go], n[go], own[keep]
+        todo, pick, price, n, m, own, count = todo[go], pick[go], price[go], n[go], m[go], own[keep], count[keep]
         each_like = np.column_stack([like[own], add[keep]])
-        row, cuts = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
+        row, cuts = np.repeat(np.arange(len(m)), m), np.concatenate([[0], np.cumsum(m)])
         p = share[todo]
         p = np.column_stack([np.where(p > 0, p * 0.8, 0.2), np.full(len(p), 0.2)])
         p /= p.sum(axis=1, keepdims=True)
         for _ in range(STEPS):
             each = each_like * p[row]
-            each /= each.sum(axis=1, keepdims=True)
+            each *= (count / each.sum(axis=1))[:, None]
             p = np.stack([_sums(each[:, k], cuts) for k in range(p.shape[1])], axis=1) / n[:, None]
-        now = _sums(np.log(np.einsum("ij,ij->i", each_like, p[row])), cuts)
+        now = _sums(count * np.log(np.einsum("ij,ij->i", each_like, p[row])), cuts)
         better = now - fit[todo] > price
         some, todo = better[row], todo[better]
         who, share, like = (np.column_stack([x, np.full(len(x), none, x.dtype)]) for x, none in ((who, -1), (share, 0), (like, 0)))
@@ -169,9 +177,9 @@ def mixtures(bucket: np.ndarray, first: np.ndarray, model: Languages) -> tuple[n
     return who, share, 1 / weight, fit
 
 
-def infer(bucket: np.ndarray, first: np.ndarray, model: Languages) -> tuple[np.ndarray, np.ndarray]:
+def infer(bucket: np.ndarray, times: np.ndarray, first: np.ndarray, model: Languages) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (texts x languages) and log likelihoods of the mixtures."""
-    who, share, _, fit = mixtures(bucket, first, model)
+    who, share, _, fit = mixtures(bucket, times, first, model)
     out = np.zeros((len(who), model.kinds))
     text, place = np.nonzero(who >= 0)
     out[text, who[text, place]] = share[text, place]
@@ -198,13 +206,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
 
         for batch in batches:
             for part in chunks(batch):
-                bucket, first = trigrams(*text_bytes(part.column(1)))
+                bucket, times, first = trigrams(*text_bytes(part.column(1)))
                 for i, lang in enumerate(part.column(0).to_pylist()):
                     if lang not in held:
                         if len(held) == BLOCK:
                             yield from out()
                         held[lang] = np.zeros(1 << BITS, np.int64)
-                    np.add.at(held[lang], bucket[first[i] : first[i + 1]], 1)
+                    held[lang][bucket[first[i] : first[i + 1]]] += times[first[i] : first[i + 1]]  # distinct buckets
         yield from out()
 
     found = checkpoint(rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
@@ -232,9 +240,9 @@ def detect(docs: DataFrame, langs: list[str], model: Languages, keys: tuple[str,
             for part in chunks(batch, "text", BATCH_BYTES):
                 texts = part.column(len(keys))
                 if langs:
-                    bucket, first = trigrams(*text_bytes(texts))
-                    who, share, post, fit = mixtures(bucket, first, model)
-                    known = 1 / (1 + np.exp(np.clip((-BITS * math.log(2) * np.diff(first) - fit) / TEMPER, -500, 500)))
+                    bucket, times, first = trigrams(*text_bytes(texts))
+                    who, share, post, fit = mixtures(bucket, times, first, model)
+                    known = 1 / (1 + np.exp(np.clip((-BITS * math.log(2) * _sums(times, first) - fit) / TEMPER, -500, 500)))
                     most = share.max(axis=1)
                     best = np.where((share == most[:, None]) & (who >= 0), who, len(langs)).min(axis=1)
                     # in a mixture the second language is no doubt about the first

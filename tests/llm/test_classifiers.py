@@ -94,6 +94,67 @@ def test_clean_texts_in_many_languages_are_kept(spark):
     assert kept == {d for d, _, _ in mixed}
 
 
+def plain_mixture(text, langs, counts):
+    """The same inference in plain Python: one trigram after the other, no counts, no arrays."""
+    import math
+
+    folded = [b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else b if b > 127 else 32 for b in text.encode()]
+    seen = []
+    for i, b in enumerate(folded):
+        if b != 32:
+            before, after = folded[i - 1] if i else 32, folded[i + 1] if i + 1 < len(folded) else 32
+            seen.append(((before << 16 | b << 8 | after) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - L.BITS))
+    total = [sum(c.values()) + L.SMOOTHING * (1 << L.BITS) for c in counts]
+    prob = [[(c.get(g, 0) + L.SMOOTHING) / t for g in seen] for c, t in zip(counts, total, strict=True)]
+    fits = [sum(math.log(x) for x in p) for p in prob]
+    fit = max(fits)
+    who, share, price = [fits.index(fit)], [1.0], L.PENALTY * math.log(len(seen) + 1)
+    while len(who) < len(langs):
+        mixed = [sum(w * prob[k][t] for k, w in zip(who, share, strict=True)) for t in range(len(seen))]
+        slope = {k: sum(prob[k][t] / mixed[t] for t in range(len(seen))) - len(seen) for k in range(len(langs)) if k not in who}
+        k = max(slope, key=slope.get)
+        if slope[k] <= price:
+            break
+        members, p = [*who, k], [w * 0.8 for w in share] + [0.2]
+        for _ in range(L.STEPS):
+            part = [0.0] * len(members)
+            for t in range(len(seen)):
+                each = [w * prob[m][t] for m, w in zip(members, p, strict=True)]
+                part = [x + y / sum(each) for x, y in zip(part, each, strict=True)]
+            p = [x / len(seen) for x in part]
+        now = sum(math.log(sum(w * prob[m][t] for m, w in zip(members, p, strict=True))) for t in range(len(seen)))
+        if now - fit <= price:
+            break
+        who, share, fit = members, p, now
+    return {langs[k]: w for k, w in zip(who, share, strict=True) if w > 0}
+
+
+def test_same_as_plain_inference(spark, more):
+    langs, model = L.train(more)
+    counts = [{} for _ in langs]
+    lo = 0
+    for width, cell, n in model.blocks:
+        for c, x in zip(cell.tolist(), n.tolist(), strict=True):
+            counts[lo + c % width][c // width] = x
+        lo += width
+    texts = [r.text for r in more.where("length(text) BETWEEN 20 AND 4000").orderBy(F.xxhash64("doc_id")).limit(40).collect()]
+    texts += [texts[0] + " " + texts[1] + " " + texts[2], "x", "Ab 12 ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in L.detect(df, langs, model).collect()}
+    for i, text in enumerate(texts):
+        want = plain_mixture(text, langs, counts)
+        assert dict(got[i].shares) == pytest.approx(want, abs=1e-6), text[:80]
+        assert got[i].lang_pred == max(want, key=lambda k: (want[k], [-ord(c) for c in k]))
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = ("Ein Wort und é noch eins. " * 50) + "zzz"
+    whole = L.trigrams(*text_bytes(pa.array([text])))
+    monkeypatch.setattr(L, "PIECE_BYTES", 37)
+    for a, b in zip(whole, L.trigrams(*text_bytes(pa.array([text]))), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_language_odd(odd, empty):
     got = {(r.doc_id, r.lang_pred) for r in L.identify(odd).collect()}
     assert (4, "und") in got and (1, "und") in got and (None, "und") in got
