@@ -34,6 +34,8 @@ LONG_TOKENS, LONG_DOCS = 20, 2
 #: A line of fewer than MIN_TOKENS tokens, digits and all, recurs if so many documents hold it.
 SHORT_DOCS = 10
 SIMILARITY = 0.6
+#: Leaves (eight bytes each) that are sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -72,7 +74,8 @@ def templates(lines: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
     tokens = texts.join(kinds, ["leaf", "exact"]).select("leaf", "exact", "n", F.size("_tokens").alias("of"), F.posexplode("_tokens").alias("at", "token"))
     tokens = checkpoint(tokens.select("leaf", "exact", "n", "of", F.xxhash64("at", "token").alias("token")))
     common = tokens.groupBy("leaf", "token").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs)
-    marked = tokens.join(common, ["leaf", "token"]).groupBy("leaf", "exact").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("_n", "token")), asc=False).alias("_held"))
+    # a leaf's leading tokens stand in all of its lines: those are dealt to parts
+    marked = salted_join(tokens, common, ["leaf", "token"], "inner", ["exact"]).groupBy("leaf", "exact").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("_n", "token")), asc=False).alias("_held"))
     least = F.ceil(F.col("of") * F.lit(SIMILARITY) - 1e-9).cast("int")
     bound = F.element_at("_held", least)["_n"]
     found = marked.where(F.size("_held") >= least).withColumn("_bound", bound)
@@ -86,8 +89,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     kinds = checkpoint(narrow.groupBy("leaf", "exact").agg(F.count("*").alias("n")))
     enough = F.when(F.col("short"), max(min_docs, SHORT_DOCS)).otherwise(min_docs)
     leaves = checkpoint(kinds.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("kinds")).where(F.col("lines") >= min_docs))
-    several = leaves.where("kinds > 1").select("leaf")
-    general = templates(lines.join(several, "leaf", "left_semi"), kinds, min_docs)
+    several = checkpoint(leaves.where("kinds > 1").select("leaf"))
+    if several.count() <= BROADCAST_ROWS:  # else all lines, with their texts, are shuffled
+        compared = lines.join(F.broadcast(several), "leaf", "left_semi")
+    else:
+        compared = salted_join(lines, several, ["leaf"], "left_semi", [*KEY, "line"])
+    general = templates(compared, kinds, min_docs)
     held = salted_join(narrow, leaves.select("leaf"), ["leaf"], "left_semi", [*KEY, "line"])
     held = salted_join(held, general, ["leaf", "exact"], "left", [*KEY, "line"])
     held = held.select(*KEY, "line", F.coalesce("template", F.xxhash64("leaf", "exact")).alias("template"), enough.alias("enough"))
@@ -106,13 +113,15 @@ def drop_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     named, back = safely_named(docs, "doc_id", "text")
     keyed = _keyed(named)
     gone = dropped_lines(keyed, min_docs).select(*(F.col(c).alias(f"_of{c}") for c in KEY), "_lines")
-    same = [keyed[c] == gone[f"_of{c}"] for c in KEY]
-    split = F.split("text", "\n")
-    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains(F.col("_lines"), p.i)).x, "\n")
-    found = keyed.join(gone, same, "left").withColumns({
-        "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
-        "n_dropped": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
+    # split before the join, so that the lines are there as an array when some are taken out
+    split = keyed.withColumn("_split", F.split("text", "\n")).drop("text")
+    same = [split[c] == gone[f"_of{c}"] for c in KEY]
+    found = split.join(gone, same, "left")
+    last = F.size("_split") - 1
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), last), "_lines"), lambda i: F.element_at("_split", i + 1))
+    counted = found.withColumns({
+        "n_lines": F.when(F.col("_split").isNull(), 0).otherwise(F.size("_split")).cast("long"),
+        "n_dropped": F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
+        "text": F.array_join(F.when(F.col("_lines").isNull(), F.col("_split")).otherwise(kept), "\n"),
     })
-    found = found.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    found = found.withColumn("n_dropped", F.when(F.col("_lines").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
-    return found.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)).select(*(b for b, c in zip(back, docs.columns, strict=True) if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+    return counted.select(*(b for b, c in zip(back, docs.columns, strict=True) if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")

@@ -52,29 +52,90 @@ def test_repeats_inside_one_document_stay(spark):
     assert S.drop_boilerplate(df).first().n_dropped == 0
 
 
-def exact_by_hand(rows, min_docs=3):
-    """Documents that hold each line whose digits are masked; only lines alone in their leaf are compared."""
+def brute(rows, min_docs=S.MIN_DOCS):
+    """Lines that go, by (doc_id, line), in plain Python: the tree's leaves, the constants of their lines, and the counts."""
+    import math
     import re
-    from collections import defaultdict
-
+    from collections import Counter, defaultdict
+
+    blank = re.compile(r"[\x20\x09-\x0D]+")
+    lines = []  # document, line, leaf, line as it is compared, long line
+    for d, text in rows:
+        for k, raw in enumerate((text or "").split("\n") if text is not None else []):
+            tokens = [t for t in blank.split(raw) if t]
+            if not tokens:
+                continue
+            masked = re.sub("[0-9]+", "0", raw)
+            of = [t for t in blank.split(masked) if t]
+            short = len(tokens) < S.MIN_TOKENS
+            leaf = ("short", *tokens) if short else (len(tokens), *of[: S.LEADING])
+            lines.append((d, k, leaf, tuple(tokens) if short else masked, raw if len(tokens) >= S.LONG_TOKENS else None))
+    times = Counter((leaf, exact) for _, _, leaf, exact, _ in lines)
+    leaf_lines, kinds = Counter(), defaultdict(set)
+    for (leaf, exact), n in times.items():
+        leaf_lines[leaf] += n
+        kinds[leaf].add(exact)
+    at = Counter()
+    for leaf, some in kinds.items():
+        if leaf[0] != "short" and len(some) > 1 and leaf_lines[leaf] >= min_docs:
+            for exact in some:
+                for i, t in enumerate(x for x in blank.split(exact) if x):
+                    at[leaf, i, t] += times[leaf, exact]
     held = defaultdict(set)
-    for r in rows:
-        for line in (r.text or "").split("\n"):
-            if len(line.split()) >= S.MIN_TOKENS:
-                held[re.sub("[0-9]+", "0", line)].add(r.doc_id)
-    return {line for line, docs in held.items() if len(docs) >= min_docs}
-
-
-def test_exact_recurrences_go(documents):
-    import re
-
-    rows = documents.collect()
-    recurring = exact_by_hand(rows)
-    left = {r.doc_id: (r.text or "").split("\n") for r in S.drop_boilerplate(documents).collect()}
-    for line in recurring:
-        holders = sorted(r.doc_id for r in rows if line in {re.sub("[0-9]+", "0", x) for x in (r.text or "").split("\n")})
-        keep = [d for d in holders if line in {re.sub("[0-9]+", "0", x) for x in left[d]}]
-        assert keep in ([holders[0]], [])  # a general template may have its first holder elsewhere
+    for d, k, leaf, exact, long in lines:
+        if leaf_lines[leaf] >= min_docs:
+            template = (leaf, exact)
+            if leaf[0] != "short" and len(kinds[leaf]) > 1:
+                tokens = [x for x in blank.split(exact) if x]
+                n = sorted((at[leaf, i, t] for i, t in enumerate(tokens) if at[leaf, i, t] >= min_docs), reverse=True)
+                least = math.ceil(len(tokens) * S.SIMILARITY - 1e-9)
+                if len(n) >= least:
+                    template = (leaf, tuple((i, t) for i, t in enumerate(tokens) if at[leaf, i, t] >= n[least - 1]))
+            held[template, max(min_docs, S.SHORT_DOCS) if leaf[0] == "short" else min_docs].add((d, k))
+        if long is not None:
+            held["same", long, min(min_docs, S.LONG_DOCS)].add((d, k))
+    gone = set()
+    for key, where in held.items():
+        docs = {d for d, _ in where}
+        if len(docs) >= key[-1]:
+            gone |= {(d, k) for d, k in where if d != min(docs)}
+    return gone
+
+
+def left(text, gone, d):
+    return None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in gone)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_same_as_brute_force(documents, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    gone = brute(rows)
+    got = {r.doc_id: r for r in S.drop_boilerplate(documents).collect()}
+    assert gone and {d: got[d].text for d, _ in rows} == {d: left(t, gone, d) for d, t in rows}
+    assert all(got[d].n_dropped == sum(x == d for x, _ in gone) for d, _ in rows)
+
+
+def test_same_as_brute_force_on_made_up_logs(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["job", "user", "node", "opened", "closed", "a1", "b22", "by", "at", "x", "y"]
+    say = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 4, 5, 6, 25])))
+    common = [say() for _ in range(12)]
+    vary = lambda line: " ".join(w if rng.random() < 0.85 else rng.choice(words) for w in line.split())
+    rows = [(d, "\n".join(rng.choice(["", "  ", say(), rng.choice(common), vary(rng.choice(common)), "\t" + rng.choice(common) + " "]) for _ in range(rng.randrange(9)))) for d in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = brute(rows)
+    assert len(gone) > 50
+    assert {r.doc_id: r.text for r in S.drop_boilerplate(df).collect()} == {d: left(t, gone, d) for d, t in rows}
+
+
+def test_very_many_lines_in_one_document(spark):
+    rows = [(d, "\n".join(f"entry {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} of the list" for k in range(17_000))) for d in range(3)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in S.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (17_000, 0), 1: (17_000, 17_000), 2: (17_000, 17_000)}
 
 
 def test_odd_rows(odd, empty):
