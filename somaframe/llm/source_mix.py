@@ -6,13 +6,13 @@
 2. The budget is cut into blocks of equal numbers of words. Blocks go to sources by the highest
    quotients target / (2 k - 1). Only the O(sources) quotients near the cut are enumerated: shares bound
    how many blocks a source surely gets, and at most gets.
-3. A source is dealt into shards by a seeded hash of its rows; its blocks go to its shards the same way,
-   claims being the shards' sizes, which gives each shard an integer quota.
-4. The rows of a shard, in seeded order, form a circle of words, and the quota's blocks are laid along it
-   without gap: whole rounds take each row that often, and the rest is a run of blocks.
+3. A source is dealt into shards by a seeded hash of its rows; its blocks go to groups of shards, and a group's blocks
+   to its shards, the same way, claims being the shards' sizes, which gives each shard an integer quota.
+4. The rows of a shard, in seeded order, are a line of words, cut into equal blocks. Whole rounds of a quota take
+   each row that often; the rest selects blocks by their places in a seeded permutation.
 
-The driver and single tasks only see one row for each source or shard: shards of a source are at most
-`shards`, however large it is, and the widest window orders narrow (id, size) rows of one shard.
+The driver and single tasks only see one row for each source, for each group of a source, or for each shard of a group:
+of a source's shards as many as the root of their number. The widest window orders narrow (id, size) rows of one shard.
 
 Defined cases: a null or empty text has size 0 and is never taken; a source without words has target 0; a
 null source is a source; rows equal in all columns are taken in either order; an empty table gives an
@@ -29,9 +29,11 @@ from somaframe.llm._common import WORD, checkpoint, safely_named
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 128
-#: A source has one shard for each so many words, and at most so many shards.
-SHARD_WORDS, SHARDS = 1 << 16, 4096
+#: A source has one shard for each so many words.
+SHARD_WORDS = 1 << 16
 SEED = 20_011
+#: Multipliers of permutations k -> (k * m + b) mod n: primes above any number of blocks in a shard.
+_PRIMES = (1_000_000_007, 1_000_000_009, 998_244_353, 2_147_483_647)
 
 
 def apportion(parties: DataFrame, group: list[str], party: str, claim: Column, seats: Column) -> DataFrame:
@@ -78,7 +80,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     ).select("source", "source_size", "rank", F.least("limit", F.coalesce(F.col("weight") * F.col("_level"), F.col("limit"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def selected(at: str, size: str, words: str, total: str, blocks: str, seed: str) -> Column:
+    """Words that a row of `size` words, with `at` words before it, gives when `words` of a shard's `total` words are selected in
+    `blocks` equal blocks: those that a seeded permutation puts first, and as much of the next one as is missing.
+
+    All arguments name long columns; words <= total, blocks >= 1."""
+    begin = lambda k: f"(({k} * {total} + {blocks} - 1) div {blocks})"  # noqa: E731  # place p is in block p * blocks div total
+    whole = f"({words} * {blocks} div greatest({total}, 1))"
+    rest = f"({words} - ({whole} * {total} + {blocks} - 1) div {blocks})"
+    prime = f"element_at(array({', '.join(f'{p}L' for p in _PRIMES)}), cast(pmod({seed}, {len(_PRIMES)}) + 1 as int))"
+    place = f"pmod(k * {prime} + pmod({seed}, {blocks}), {blocks})"
+    end = f"CASE WHEN {place} < {whole} THEN {begin('(k + 1)')} WHEN {place} = {whole} THEN least({begin('k')} + greatest(0L, {rest}), {begin('(k + 1)')}) ELSE 0L END"
+    given = f"greatest(0L, least({at} + {size}, {end}) - greatest({at}, {begin('k')}))"
+    through = f"sequence({at} * {blocks} div {total}, ({at} + {size} - 1) * {blocks} div {total})"
+    return F.expr(f"CASE WHEN {size} > 0 AND {words} > 0 THEN aggregate({through}, 0L, (sum, k) -> sum + {given}) ELSE 0L END")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and text_hash (xxhash64 of the text), one row for each document."""
     sized = checkpoint(docs.select(
         "doc_id", "source",
@@ -91,34 +109,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     sources = sources.withColumn("block", block)
     seats = F.round(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / F.col("block"))
     sources = apportion(sources, [], "rank", F.col("target"), F.coalesce(seats, F.lit(0.0))).withColumn(
-        "n_shards", F.greatest(F.lit(1), F.least(F.lit(shards), F.floor(F.col("source_size") / shard_words)))
-    ).withColumnRenamed("quota", "blocks")
+        "n_shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / shard_words))
+    ).withColumnRenamed("quota", "blocks").withColumn("n_groups", F.ceil(F.sqrt("n_shards")))
     sources = checkpoint(sources)  # a few rows, read twice
 
     # One row for each source: counted small before it is broadcast, else joined by shuffle.
     few = sources.count() <= 10_000
-    side = sources.select(F.col("source").alias("_source"), "rank", "source_size", "target", "block", "blocks", "n_shards")
+    side = sources.select(F.col("source").alias("_source"), "rank", "source_size", "target", "block", "blocks", "n_shards", "n_groups")
     rows = sized.join(F.broadcast(side) if few else side, sized["source"].eqNullSafe(side["_source"]), "inner").drop("_source")
     rows = rows.withColumn("shard", F.pmod("_h", F.col("n_shards")))
 
-    held = rows.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("block").alias("block"))
-    quotas = apportion(held, ["rank"], "shard", F.col("shard_size"), F.col("blocks"))
-    circle = quotas.select(
-        "rank", "shard", "shard_size",
-        F.least(F.col("quota") * F.col("block"), F.col("shard_size") * F.lit(float(most))).cast("long").alias("words"),
-        F.when(F.col("shard_size") > 0, F.floor(F.pmod(F.xxhash64(F.lit(seed + 1), "rank", "shard"), F.greatest(F.lit(1), F.floor(F.col("shard_size") / F.col("block")))) * F.col("block"))).otherwise(0).alias("begin"),
+    one = (F.any_value(c).alias(c) for c in ("blocks", "block", "n_groups"))
+    held = rows.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), *one).withColumn("group", F.pmod("shard", F.col("n_groups")))
+    groups = held.groupBy("rank", "group").agg(F.sum("shard_size").alias("group_size"), F.any_value("blocks").alias("blocks"))
+    groups = apportion(groups, ["rank"], "group", F.col("group_size"), F.col("blocks")).select("rank", "group", F.col("quota").alias("group_blocks"))
+    quotas = apportion(held.join(groups, ["rank", "group"]), ["rank", "group"], "shard", F.col("shard_size"), F.col("group_blocks"))
+    words = F.least(F.col("quota") * F.col("block"), F.col("shard_size") * F.lit(float(most))).cast("long")
+    rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0)
+    line = quotas.select(
+        "rank", "shard", "shard_size", rounds.alias("_rounds"), (words - rounds * F.col("shard_size")).cast("long").alias("_rest"),
+        F.greatest(F.lit(1), F.round(F.col("shard_size") / F.col("block"))).cast("long").alias("_blocks"),
+        F.xxhash64(F.lit(seed + 1), "rank", "shard").alias("_seed"),
     )
-    placed = rows.join(circle, ["rank", "shard"])
+    placed = rows.drop("blocks").join(line, ["rank", "shard"])
     order = Window.partitionBy("rank", "shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = placed.withColumn("_at", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
-    at = at.withColumns({"_rounds": rounds, "_rest": F.col("words") - rounds * F.col("shard_size")})
-
-    def overlap(begin: Column, end: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.col("_at") + F.col("size"), end) - F.greatest(F.col("_at"), begin))
-
-    end = F.col("begin") + F.col("_rest")  # past the circle's end the run goes on from its beginning
-    rest = overlap(F.col("begin"), F.least(end, F.col("shard_size"))) + overlap(F.lit(0), end - F.col("shard_size"))
+    at = placed.withColumn("_at", F.coalesce(F.sum("size").over(order), F.lit(0)).cast("long"))
+    rest = selected("_at", "size", "_rest", "shard_size", "_blocks", "_seed")
     return at.select("doc_id", "source", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + rest).cast("long").alias("taken"), "text_hash")
 
 

@@ -64,6 +64,26 @@ def test_shards_make_no_difference_to_sums(documents):
     assert all(abs(r.t - r.g) <= max(256, 0.05 * r.g) for r in got)
 
 
+@pytest.mark.parametrize(("total", "blocks"), [(1, 1), (10, 3), (997, 31), (1000, 40)])
+def test_selected_blocks(spark, total, blocks):
+    """Every word on its own, in plain Python: the blocks that the permutation puts first, and a part of the next."""
+    edges = [-(-k * total // blocks) for k in range(blocks + 1)]
+    df = spark.range(total).selectExpr("id AS at", "1L AS size")
+    for seed in (0, 5, -17, 2**40 + 3):
+        places = [(k * S._PRIMES[seed % len(S._PRIMES)] + seed % blocks) % blocks for k in range(blocks)]
+        assert sorted(places) == list(range(blocks))
+        for words in {0, total // 3, total * 4 // 5, total - 1}:
+            full = words * blocks // total
+            part = max(0, words - -(-full * total // blocks))
+            want = [p for k in range(blocks) for p in range(edges[k], edges[k + 1]) if places[k] < full or (places[k] == full and p < edges[k] + part)]
+            one = df.selectExpr("*", f"{words}L AS words", f"{total}L AS total", f"{blocks}L AS blocks", f"{seed}L AS seed")
+            got = one.withColumn("n", S.selected("at", "size", "words", "total", "blocks", "seed")).where("n > 0").orderBy("at").collect()
+            assert [r["at"] for r in got] == want
+            assert abs(len(want) - words) <= blocks
+            whole = one.selectExpr("0L AS at", f"{total}L AS size", "words", "total", "blocks", "seed").limit(1)
+            assert whole.select(S.selected("at", "size", "words", "total", "blocks", "seed")).first()[0] == len(want)
+
+
 def test_odd_rows(odd, empty):
     rows = S.mix(odd).collect()
     assert len(rows) == odd.count()
