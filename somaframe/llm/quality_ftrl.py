@@ -11,7 +11,7 @@ The labelled rows learned from are a bounded sample: MOST_ROWS documents at most
 a hash of doc_id. Everything else covers all rows. The model has 2^BITS weights whatever the input.
 
 Defined cases: null texts are empty; a text without words has the score of the bias alone; of several
-labels of a document their mean counts, null labels do not; documents without a doc_id are scored, never
+labels of a document their mean counts, null labels do not; of several rows with a doc_id the lowest text is learned from; documents without a doc_id are scored, never
 learned from; without labels every score is 0.5; repeated rows get equal scores.
 """
 
@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most_rows / max(1, n)))
     known = known.where(draw)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # MOST_ROWS pairs of numbers
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("y").alias("y"))  # a doc_id may stand in very many rows
     rows = rows.withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SHARDS)), "_h": F.xxhash64("doc_id", F.lit(7))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

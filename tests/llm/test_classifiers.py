@@ -28,13 +28,56 @@ def test_quality_on_held_out(spark, more):
 def test_quality_features_by_hand():
     texts = ["Ab ab!! x", "", "go go"]
     bucket, first = Q.features(*text_bytes(pa.array(texts)))
-    assert first.tolist() == [0, 9, 9, 12 - 0] or first.tolist()[1] - first.tolist()[0] == 4 + 3 + 2
+    # four runs (Ab, ab, !!, x), three pairs, two triples; then none; then two words and their pair
+    assert first.tolist() == [0, 9, 9, 12]
     w = np.zeros(Q.BIAS + 1)
     w[bucket[0]] = 1.0
     alone = [Q.scores(*text_bytes(pa.array([t])), w)[0] for t in texts]
     assert Q.scores(*text_bytes(pa.array(texts)), w).tolist() == pytest.approx(alone)
 
 
+def plain_leader(rows, passes):
+    """Follow-the-regularised-leader updates, one coordinate after the other."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= Q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(Q.L1, z[i])) / ((Q.BETA + math.sqrt(n[i])) / Q.ALPHA + Q.L2)
+
+    for _ in range(passes):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / Q.ALPHA
+                z[i] = z.get(i, 0.0) + g - step * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_same_as_plain_updates(spark, more, monkeypatch):
+    """One shard, so that the order of the updates is known: by the hash of doc_id."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(Q, "SHARDS", 1)
+    docs = more.where("doc_id < 600").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 600")
+    known = labels.where("crc32(CAST(doc_id AS STRING)) % 4 <> 2").join(docs, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7))).collect()
+    rows = []
+    for r in known:
+        bucket, _ = Q.features(*text_bytes(pa.array([r.text or ""])))
+        rows.append(({i: c / math.sqrt(max(1, len(bucket))) for i, c in Counter(bucket.tolist()).items()} | {Q.BIAS: 1.0}, float(r.quality)))
+    want = plain_leader(rows, Q.PASSES)
+    got = Q.train(docs.unionByName(docs), labels)  # every doc_id twice: one row of each is learned from
+    assert len(rows) > 100 and any(want.values())
+    assert {i: w for i, w in enumerate(got.tolist()) if w} == pytest.approx({i: w for i, w in want.items() if w}, rel=1e-6)
+
+
 def test_quality_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in Q.classify(odd, none).collect()} == {0.5}
