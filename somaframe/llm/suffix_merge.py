@@ -23,6 +23,9 @@ Buckets hold about BUCKET_ROWS distinct segments, however many copies there are.
 GRAM_ROWS distinct segments (a passage's border in very many documents), their windows are compared by hash
 instead, counted by key, so that no bucket has to hold such a gram.
 
+Equality of whole segments, and of windows in that last case, is equality of 128 bits of hash; all else is compared byte
+by byte.
+
 Defined cases: a null text is empty; texts under `length` bytes keep all; repeated rows are documents of
 their own, and so repeat each other; a null doc_id is a document like any other; an empty table gives an
 empty result.
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somaframe.llm._common import Rolling, checkpoint, chunks, mix64, ship, text_bytes
+from somaframe.llm._common import Rolling, checkpoint, chunks, mix64, salted_join, ship, text_bytes
 
 LENGTH, GRAM = 400, 64
 BUCKET_ROWS = 5_000
@@ -335,7 +338,8 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     found = checkpoint(_anchored(docs, length, gram))
     segments = found.groupBy("gram", "segment").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "place")).alias("one"))
     grams = segments.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("gram", "kinds")
-    open_ = segments.join(grams, "gram").select("gram", "kinds", "copies", "one.*")
+    # a gram may have very many segments: they are dealt to parts, and the gram's one row is repeated for each
+    open_ = salted_join(segments, grams, ["gram"], "inner", ["segment"]).select("gram", "kinds", "copies", "one.*")
     open_ = checkpoint(open_)
     buckets = max(1, -(-open_.count() // bucket_rows))
     places = open_.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))

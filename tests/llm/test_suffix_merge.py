@@ -59,7 +59,7 @@ def test_spans(spark):
 
 def test_odd_rows(odd, empty):
     got = sorted((str(r.doc_id), r.n_bytes, bytes(r.kept)) for r in S.dedup(odd).collect())
-    want = brute([(r.text or "").encode() for r in odd.where("doc_id IS NULL OR doc_id <> 5").collect()], 400)
+    want = brute([(r.text or "").encode() for r in odd.collect()], 400)  # the very long text among them
     assert len(got) == odd.count()
-    assert sorted(k for d, _, k in got if d != "5") == sorted(want)
+    assert sorted(k for _, _, k in got) == sorted(want)
     assert S.dedup(empty).count() == 0
