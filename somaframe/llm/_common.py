@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -32,10 +33,12 @@ def safely_named(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[Column]]:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the folder that spark.checkpoint.dir names.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is set."""
+    Only on one machine, where that setting is absent (tests), a temporary folder is set."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="somaframe-checkpoint-"))
     return df.checkpoint(eager=True)
 
