@@ -446,7 +446,7 @@ def digests(docs: DataFrame, model: bytes, text: str = "text", keys: tuple[str,
         codec = codec_of(model)
         for batch in batches:
             out: list[tuple] = []
-            rows = (row for part in chunks(batch, text, 4 << 20) for row in codec.encode_all(part.column(len(keys)).to_pylist()))
+            rows = (row for part in chunks(batch, text) for row in codec.encode_all(part.column(len(keys)).to_pylist()))
             for ids, begins, ends in rows:
                 out.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), int(np.sum(ends - begins))))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
