@@ -43,6 +43,9 @@ LABELLED_WINDOWS = (
 )
 
 
+# The values of the four classes of rules below are fixed, as results depend on them.
+
+
 @dataclass(frozen=True)
 class BeatRules:
     """Thresholds for flagging, cleaning and scoring beat series (milliseconds, bpm, shares)."""

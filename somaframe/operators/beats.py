@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,20 @@ def chosen(device: DataFrame, ecg: DataFrame, decisions: DataFrame) -> DataFrame
     return own.unionByName(other)
 
 
+def cleaning_tasks(decisions: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
+    """subject_id, choice: subjects for which a beat series is to be cleaned; only the allowed ones, if any are named."""
+    wanted = [x.strip() for x in allowed if x.strip()]
+    named = decisions.select(F.trim(F.col(SUBJECT).cast("string")).alias(SUBJECT), F.lower(F.trim("choice")).alias("choice"))
+    tasks = named.where(F.col("choice").isin("device_rr", "ecg_rr") & (F.col(SUBJECT) != ""))
+    return tasks.where(F.col(SUBJECT).isin(wanted)) if wanted else tasks
+
+
+def not_cleaned(decisions: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Allowed subjects (column subject_id) without a task: no decision, or another choice."""
+    wanted = allowed.select(F.trim(F.col(SUBJECT).cast("string")).alias(SUBJECT)).where(F.col(SUBJECT) != "").distinct()
+    return wanted.join(cleaning_tasks(decisions), SUBJECT, "left_anti")
+
+
 def activity(acc: DataFrame) -> DataFrame:
     """Mean absolute acceleration per second, scaled by its 5th and 95th percentile to 0 to 1; with under three
     seconds, unscaled. subject_id, second, activity."""

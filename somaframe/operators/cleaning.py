@@ -6,7 +6,7 @@ steps. Beats that a split adds have the seq of the beat they come from and `part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from somaframe.config import BeatRules
@@ -232,3 +232,31 @@ def cleaned_ecg(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
     filled = smoothed_near(linear_fill(marked, "_mark").withColumn("near", F.col("near") & F.col("_any")), "near")
     again = filled.withColumn("_mark", F.col("_mark") & F.coalesce(F.abs(F.col("rr_ms") / F.lag("rr_ms").over(order) - 1) > rules.relative, F.lit(False)))
     return linear_fill(again, "_mark").select(*beats.columns)
+
+
+def ectopic(value: Column, order: WindowSpec, share: float = RULES.relative) -> Column:
+    """Whether a beat differs from the one before by more than a share of that one (Malik's rule), or one of them is
+    missing; a subject's first beat is none."""
+    before = F.lag(value).over(order)
+    return F.coalesce(F.abs(before - value) > share * before, F.lit(True)) & (F.row_number().over(order) > 1)
+
+
+def ectopic_refilled(beats: DataFrame, mark: str = "bad", rules: BeatRules = RULES) -> DataFrame:
+    """beats with marked values filled anew: values out of bounds are taken out, then ectopic beats (the beat after an
+    ectopic one counts as normal, so of a run every other one goes), and what is missing is put on a straight line
+    between its neighbours by position; behind the last one, its value. Other values stay as they are."""
+    order = in_time()
+    rows = beats.withColumn("_x", F.when(F.col("rr_ms").between(rules.low, rules.high), F.col("rr_ms")))
+    rows = islands(rows.withColumn("_e", ectopic(F.col("_x"), order, rules.relative)), F.col("_e"), order, "_run")
+    own = Window.partitionBy(SUBJECT, "_run").orderBy("t_s", "seq")
+    rows = rows.withColumn("_x", F.when(F.col("_run").isNull() | (F.row_number().over(own) % 2 == 0), F.col("_x")))
+    place = F.row_number().over(order)
+    rows = rows.withColumn("_p", place)
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    there = lambda c: F.when(F.col("_x").isNotNull(), F.col(c))
+    v0, p0 = F.last(there("_x"), ignorenulls=True).over(back), F.last(there("_p"), ignorenulls=True).over(back)
+    v1, p1 = F.first(there("_x"), ignorenulls=True).over(ahead), F.first(there("_p"), ignorenulls=True).over(ahead)
+    rows = rows.withColumns({"_v0": v0, "_p0": p0, "_v1": v1, "_p1": p1})
+    line = F.coalesce("_x", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_p") - F.col("_p0")) / (F.col("_p1") - F.col("_p0")), "_v0")
+    marked = F.coalesce(F.col(mark), F.lit(False)) | F.col("rr_ms").isNull()
+    return rows.withColumn("rr_ms", F.when(marked, line).otherwise(F.col("rr_ms"))).select(*beats.columns)

@@ -93,16 +93,18 @@ def band_powers(density: DataFrame, breath: DataFrame | None = None, rules: Spec
 
 def breath_peak(resp: DataFrame, keys: Sequence[str] = KEY, segment: int = 512, rules: SpectrumRules = RULES, rate: float | None = None) -> DataFrame:
     """keys, f0: the frequency of the strongest bin of respiration between 0.1 and 0.5 Hz, over each window's longest
-    stretch without holes. rate: samples per second; if not given, one over the median step of all windows."""
+    stretch without holes. rate: samples per second; if not given, one over the median step of that stretch."""
     order = Window.partitionBy(*keys).orderBy("time_s", "seq")
     rows = resp.withColumn("_hole", F.when(F.col("value").isNull(), 1).otherwise(0))
     rows = rows.withColumn("_run", F.sum("_hole").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("value IS NOT NULL")
     counts = rows.groupBy(*keys, "_run").agg(F.count("*").alias("_n"))
     best = counts.groupBy(*keys).agg(F.max_by("_run", F.struct("_n", -F.col("_run"))).alias("_run"))
     rows = rows.join(best, [*keys, "_run"])
-    if rate is None:
-        step = rows.withColumn("_d", F.col("time_s") - F.lag("time_s").over(order)).agg(median("_d")).first()[0]  # one number
-        rate = 1 / step if step else 1.0
     grid = rows.select(*keys, (F.row_number().over(order) - 1).cast("bigint").alias("n"), F.col("value").alias("x"))
-    density = spectrum(grid, rate, segment, line=False, keys=keys, top=rules.breath[1]).where(F.col("hz").between(*rules.breath))
+    if rate is None:  # a spectrum in cycles per sample, each window's in its own unit after it
+        steps = rows.withColumn("_d", F.col("time_s") - F.lag("time_s").over(order)).groupBy(*keys).agg(median("_d").alias("_step"))
+        density = spectrum(grid, 1.0, segment, line=False, keys=keys).join(steps, list(keys)).withColumn("hz", F.col("hz") * F.coalesce(F.try_divide(F.lit(1.0), F.col("_step")), F.lit(1.0)))
+    else:
+        density = spectrum(grid, rate, segment, line=False, keys=keys, top=rules.breath[1])
+    density = density.where(F.col("hz").between(*rules.breath))
     return density.groupBy(*keys).agg(F.max_by("hz", F.struct("power", -F.col("hz"))).alias("f0"))

@@ -20,8 +20,8 @@ from somaframe.functions.frames import SUBJECT
 from somaframe.functions.kernels import chi2_tail, normal_tail
 
 MOST_CELLS = 64
-#: Subjects' sizes are few; more than this is an error in the data.
-MOST_SIZES = 100_000
+#: Subjects' sizes are few: rows times columns of the statistics that the driver takes at most.
+MOST_NUMBERS = 5_000_000
 
 
 def statistics(rows: DataFrame, value: str, cells: Sequence[tuple], condition: str = "task", time: str = "t_id") -> DataFrame:
@@ -150,8 +150,10 @@ def _pairs(names: Sequence[str], rows: np.ndarray, fit: Fit) -> pd.DataFrame:
 
 def fit(rows: DataFrame, value: str, condition: str = "task", time: str = "t_id") -> Fit:
     cells = cells_of(rows, condition, time)
-    table = statistics(rows, value, cells, condition, time).limit(MOST_SIZES + 1).toPandas()
-    if len(table) > MOST_SIZES:
+    found = statistics(rows, value, cells, condition, time)
+    most = MOST_NUMBERS // len(found.columns)
+    table = found.limit(most + 1).toPandas()
+    if len(table) > most:
         raise ValueError("too many subject sizes")
     p, n = len(cells), table["n"].to_numpy(float)
     m = table["subjects"].to_numpy(float)
@@ -183,3 +185,28 @@ def fit(rows: DataFrame, value: str, condition: str = "task", time: str = "t_id"
         ratio = 0.0
     loglik, beta, cov, s2 = solved(ratio)
     return Fit(cells, beta, cov, s2, ratio * s2, loglik, total, int(m.sum()))
+
+
+def prepared(rows: DataFrame, values: Sequence[str], excluded: Sequence[str] = (), condition: str = "task", time: str = "t_id") -> DataFrame:
+    """Subject, condition, time and those values that are there, without subjects whose id begins with an excluded prefix."""
+    keep = rows
+    for prefix in excluded:
+        keep = keep.where(~F.startswith(F.col(SUBJECT).cast("string"), F.lit(prefix)) | F.col(SUBJECT).isNull())
+    return keep.select(SUBJECT, condition, time, *(v for v in values if v in rows.columns))
+
+
+#: The result tables of a study, in the order in which they are told.
+TABLES = ("model_fit", "fixed_effects", "emmeans_condition", "emmeans_time", "pairs_condition", "pairs_time", "condition_by_time", "time_by_condition", "type3")
+
+
+def all_tables(rows: DataFrame, values: Sequence[str], excluded: Sequence[str] = (), condition: str = "task", time: str = "t_id") -> dict[str, pd.DataFrame]:
+    """The nine result tables over all dependent variables (column dv); variables that the table lacks are skipped."""
+    used = prepared(rows, values, excluded, condition, time)
+    parts: dict[str, list[pd.DataFrame]] = {t: [] for t in TABLES}
+    for value in (v for v in values if v in used.columns):
+        one = fit(used.select(SUBJECT, condition, time, value).dropna(), value, condition, time)
+        (by_condition, condition_pairs), (by_time, time_pairs) = one.marginal("condition"), one.marginal("time")
+        results = (one.table(), one.effects(), by_condition, by_time, condition_pairs, time_pairs, one.simple("condition"), one.simple("time"), one.wald())
+        for name, table in zip(TABLES, results, strict=True):
+            parts[name].append(table.assign(dv=value))
+    return {name: pd.concat(tables, ignore_index=True) if tables else pd.DataFrame() for name, tables in parts.items()}

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somaframe.config import BreathRules
@@ -274,6 +274,72 @@ def sinus_arrhythmia(breaths: DataFrame, beats: DataFrame, resp: DataFrame | Non
     return out
 
 
+def window_arrhythmia(breaths: DataFrame, beats: DataFrame, resp: DataFrame | None = None, keys: Sequence[str] = KEY, rules: BreathRules = RULES) -> DataFrame:
+    """keys, rsa_ms, rsa_log_ms, resp_amp, resp_log_amp, resp_rate_bpm, n_breaths_used, rsa_method: spans rolled up to windows.
+
+    A span needs least_breaths breaths with least_beats beats each. The window has the mean of its spans' means of ranges (and
+    of depths), and the median of their rates; without such a span it is unavailable."""
+    own = beats.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("t_s").alias("_t"), "rr_ms")
+    inside = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_t") >= F.col("t0"), F.col("_t") < F.col("t1")]
+    each = breaths.join(own, inside).groupBy(*keys, "span", "t0").agg((F.max("rr_ms") - F.min("rr_ms")).alias("_range"), F.count("*").alias("_n")).where(F.col("_n") >= rules.least_beats)
+    spans = each.groupBy(*keys, "span").agg(F.avg("_range").alias("_rsa"), F.count("*").alias("_k")).where(F.col("_k") >= rules.least_breaths)
+    spans = spans.join(breaths.groupBy(*keys, "span").agg((60 / median(F.col("t1") - F.col("t0"))).alias("_rate")), [*keys, "span"])
+    if resp is None:
+        spans = spans.withColumn("_amp", F.lit(None).cast("double"))
+    else:
+        wave = resp.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("time_s").alias("_t"), F.col("value").alias("_v"))
+        depth = breaths.join(wave, inside).groupBy(*keys, "span", "t0").agg((F.max("_v") - F.min("_v")).alias("_ptp"))
+        spans = spans.join(depth.groupBy(*keys, "span").agg(F.avg("_ptp").alias("_amp")), [*keys, "span"], "left")
+    rolled = spans.groupBy(*keys).agg(F.avg("_rsa").alias("rsa_ms"), F.avg("_amp").alias("resp_amp"), median("_rate").alias("resp_rate_bpm"), F.sum("_k").alias("_used"))
+    found = breaths.select(*keys).distinct().join(rolled, list(keys), "left")
+    log = lambda c: F.when(F.col(c) > 0, F.ln(c)).alias(c.replace("_ms", "").replace("_amp", "") + ("_log_ms" if c.endswith("_ms") else "_log_amp"))
+    return found.select(*keys, "rsa_ms", log("rsa_ms"), "resp_amp", log("resp_amp"), "resp_rate_bpm", F.coalesce("_used", F.lit(0)).cast("long").alias("n_breaths_used"), F.when(F.col("rsa_ms").isNull(), "unavailable").otherwise("peak_to_valley").alias("rsa_method"))
+
+
+def longest_run(rows: DataFrame, flag: Column, keys: Sequence[str], name: str) -> DataFrame:
+    """keys and the length of the longest run of rows (in order of seq) on which the flag holds; 0 if none."""
+    own = islands(rows.select(*keys, "seq", flag.alias("_f")), F.col("_f"), _order(keys), "_run")
+    runs = own.groupBy(*keys, "_run").agg(F.count("_run").alias("_n"))
+    return runs.groupBy(*keys).agg(F.max("_n").alias(name))
+
+
+def signal_report(resp: DataFrame, keys: Sequence[str] = KEY, low: float = 0.0, high: float = 1023.0, edge: float = 1.0, rules: BreathRules = RULES) -> DataFrame:
+    """One row for each window with figures of the signal as it came: rows and holes, the typical step and how far steps are
+    from it, the share of gaps, the range of the middle 90 %, and the share and longest run at the converter's edges and without change."""
+    order = _order(keys)
+    rows = resp.withColumns({"_d": F.col("time_s") - F.lag("time_s").over(order), "_x": F.col("value") - F.lag("value").over(order)})
+    rows = rows.withColumn("_next", F.lead("_x").over(order))
+    typical = rows.groupBy(*keys).agg(median(F.when(F.col("_d") > 0, F.col("_d"))).alias("time_median_dt"))
+    rows = rows.join(typical, list(keys))
+    clip = F.coalesce((F.col("value") <= low + edge) | (F.col("value") >= high - edge), F.lit(False))
+    flat = F.coalesce(F.abs("_x") <= rules.plateau_tolerance, F.lit(False)) | F.coalesce(F.abs("_next") <= rules.plateau_tolerance, F.lit(False))
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    figures = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_holes"), F.first("time_median_dt").alias("time_median_dt"), (F.max("time_s") - F.min("time_s")).alias("duration_s"),
+        F.avg(F.when(F.col("_d").isNotNull(), F.when((F.col("_d") <= 0) | (F.col("_d") > rules.gap_factor * F.col("time_median_dt")), 1.0).otherwise(0.0))).alias("time_gap_frac"),
+        median(F.abs(F.col("_d") - F.col("time_median_dt"))).alias("time_median_dt_dev"),
+        (F.percentile("value", F.lit(0.95)) - F.percentile("value", F.lit(0.05))).alias("ptp_raw_p95p5"), share(clip).alias("clip_frac_all"), share(flat).alias("flat_frac_all"),
+    )
+    return figures.join(longest_run(rows, clip, keys, "clip_max_run_all"), list(keys)).join(longest_run(rows, flat, keys, "flat_max_run_all"), list(keys))
+
+
+def full_report(resp: DataFrame, cleaned: DataFrame, expected: DataFrame | None = None, keys: Sequence[str] = KEY, rules: BreathRules = RULES) -> DataFrame:
+    """report() with the figures of signal_report(), what was kept in seconds and cycles, the dropped spans between the kept ones, and
+    the expected duration (expected: keys, expected_duration_s)."""
+    out = report(cleaned, keys).join(signal_report(resp, keys, rules=rules), list(keys))
+    if expected is not None:
+        out = out.join(expected.select(*keys, "expected_duration_s"), list(keys), "left")
+    else:
+        out = out.withColumn("expected_duration_s", F.lit(None).cast("double"))
+    ends = cleaned.groupBy(*keys).agg(F.min("time_s").alias("_t0"), F.max("time_s").alias("_t1"))
+    kept = F.col("kept_spans")
+    begins = F.concat(F.array("_t0"), F.transform(kept, lambda s: s.t1))
+    stops = F.concat(F.transform(kept, lambda s: s.t0), F.array("_t1"))
+    dropped = F.filter(F.zip_with(begins, stops, lambda a, b: F.struct(a.alias("t0"), b.alias("t1"))), lambda s: s.t1 - s.t0 > rules.gap_factor * F.col("time_median_dt"))
+    seconds = F.aggregate(kept, F.lit(0.0), lambda acc, s: acc + s.t1 - s.t0)
+    return out.join(ends, list(keys)).withColumns({"dropped_spans": dropped, "kept_dur_s": seconds, "kept_cycles": F.when(F.col("status") == "reject", 0).otherwise(F.coalesce("cycles", F.lit(0.0))).cast("long")}).drop("_t0", "_t1")
+
+
 def rate_series(resp: DataFrame, keys: Sequence[str] = ("subject_id",), hz: float = 5.0, smooth: int = 5) -> DataFrame:
     """keys, t, bpm: breathing rate between peaks of the thinned (medians of 1 / hz seconds), smoothed signal."""
     thin = spread(resp.where("value IS NOT NULL"), *keys).groupBy(*keys, F.floor(F.col("time_s") * hz).alias("seq")).agg(median("value").alias("v"))

@@ -80,3 +80,40 @@ def time_deltas(rows: DataFrame, columns: Sequence[str], times: Sequence[int]) -
     own = Window.partitionBy(SUBJECT)
     at = lambda c, t: F.max(F.when(F.col("time") == t, F.col(c))).over(own)
     return rows.withColumns({f"{c}{b}{a}": at(c, b) - at(c, a) for c in columns for a, b in combinations(sorted(times), 2)})
+
+
+def variable_sets(asked: dict[int, Sequence[str]]) -> tuple[list[int], list[str], list[str]]:
+    """The times in order, the constructs asked for at two times or more (their differences make sense), and all."""
+    times = sorted(asked)
+    every = sorted({n for t in times for n in asked[t]})
+    return times, [n for n in every if sum(n in asked[t] for t in times) > 1], every
+
+
+def totals(scales: dict[str, Scale]) -> list[str]:
+    """Constructs that are means of other constructs."""
+    return [n for n, s in scales.items() if any(i in scales for i in s.items)]
+
+
+def shown(asked: Sequence[str], scales: dict[str, Scale], only_totals: bool = True) -> list[str]:
+    """What is put out: if only totals are wanted, without the constructs that totals asked for are made of."""
+    hidden = {i for n in asked if n in totals(scales) for i in scales[n].items if i in scales} if only_totals else set()
+    return [n for n in asked if n not in hidden]
+
+
+def totals_updated(rows: DataFrame, scales: dict[str, Scale]) -> DataFrame:
+    """A scored table with its totals computed anew, strictly, from the columns that are there; one that is missing makes its
+    totals null. In the order of the scales: later totals see earlier ones."""
+    for name in totals(scales):
+        have = set(rows.columns)
+        parts = [F.col(i).try_cast("double") if i in have else F.lit(None).cast("double") for i in scales[name].items]
+        rows = rows.withColumn(name, strict_mean(parts))
+    return rows
+
+
+def post_operations(rows: DataFrame, asked: dict[int, Sequence[str]], condition: str = "task01") -> DataFrame:
+    """rows with differences of repeated constructs, and constructs of one time centred and times the condition."""
+    times, repeated, every = variable_sets(asked)
+    have = set(rows.columns)
+    once = [n for n in every if n not in repeated and n in have]
+    out = interactions(centred(rows, once), once, condition) if once else rows
+    return time_deltas(out, [n for n in repeated if n in have], times)

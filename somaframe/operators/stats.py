@@ -118,6 +118,19 @@ def changes(rows: DataFrame, metrics: dict[str, int], condition: str = "task", t
     return joined.select(SUBJECT, condition, F.explode(F.array(*entries)).alias("_e")).where("_e._any").select(SUBJECT, condition, "_e.indicator", "_e.time", "_e.z")
 
 
+def with_covariates(changes: DataFrame, rows: DataFrame, within: Sequence[str] = (), between: Sequence[str] = (), time: str = "t_id") -> DataFrame:
+    """Changes (long) with covariates: those that vary within subjects at the later time of the change (from 1 to 2 at 2,
+    from 2 to 3 at 3), those between subjects as each subject's first value in time."""
+    at = rows.where(F.col(time).isin(2, 3)).groupBy(F.col(SUBJECT).alias("_s"), F.col(time).alias("_t")).agg(*(F.min(c).alias(c) for c in within))
+    own = rows.groupBy(F.col(SUBJECT).alias("_o")).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(time, c))).alias(c) for c in between))
+    out = changes
+    if within:
+        out = out.join(at, (F.col(SUBJECT) == F.col("_s")) & (changes["time"] + 1 == F.col("_t")), "left").drop("_s", "_t")
+    if between:
+        out = out.join(own, F.col(SUBJECT) == F.col("_o"), "left").drop("_o")
+    return out
+
+
 def changes_wide(long: DataFrame, metrics: dict[str, int], condition: str = "task") -> DataFrame:
     """One row per subject: z12_{metric} and z23_{metric}."""
     cells = [F.max(F.when((F.col("indicator") == code) & (F.col("time") == k), F.col("z"))).alias(f"z{k}{k + 1}_{m}") for m, code in metrics.items() for k in (1, 2)]

@@ -96,9 +96,9 @@ def long_table(features: DataFrame, scheme: DataFrame, values: Sequence[str]) ->
 
 def with_questionnaires(long: DataFrame, psycho: DataFrame, values: Sequence[str], key: str = "subject_id", time: str | None = "time") -> DataFrame:
     """long with questionnaire values of the same subject and time (t_id); rows without a time get none. Without
-    time, by subject."""
+    time, by subject. Of several answers the lowest counts."""
     by = [key, *([time] if time else [])]
-    one = psycho.groupBy(*by).agg(*(F.min_by(v, F.when(F.col(v).isNotNull(), F.struct(*by))).alias(v) for v in values))
+    one = psycho.groupBy(*by).agg(*(F.min(v).alias(v) for v in values))
     one = one.select(F.col(key).alias("_k"), *([F.col(time).alias("_t")] if time else []), *values)
     on = F.col(key) == F.col("_k")
     return long.join(one, on & (F.col("t_id") == F.col("_t")) if time else on, "left").drop("_k", "_t")
@@ -120,17 +120,20 @@ def by_time(rows: DataFrame, columns: Sequence[str], times: Sequence[int], stati
 
 
 def collapsed(wide: DataFrame) -> DataFrame:
-    """wide with base_T1, base_T2, … that never differ (where both are there) as one column, the highest."""
+    """wide with base_T1, base_T2, … that never differ in a row (where they are there) as one column, base: its value at
+    the highest time that has one. It stands where the highest stood."""
     families: dict[str, list[tuple[int, str]]] = {}
     for c in wide.columns:
         if m := re.match(r"(.+)_T(\d+)$", c):
             families.setdefault(m[1], []).append((int(m[2]), c))
-    many = {b: sorted(cs) for b, cs in families.items() if len(cs) > 1}
+    many = {b: [c for _, c in sorted(cs, reverse=True)] for b, cs in families.items() if len(cs) > 1}
     if not many:
         return wide
-    same = wide.agg(*(F.bool_and(F.coalesce(F.col(a) == F.col(b), F.lit(True))).alias(base) for base, cs in many.items() for (_, a), (_, b) in [(cs[0], cs[-1])]), *(F.bool_and(F.coalesce(F.col(a) == F.col(b), F.lit(True))).alias(f"{base}/{i}") for base, cs in many.items() for i, ((_, a), (_, b)) in enumerate(zip(cs, cs[1:], strict=False)))).first()
-    gone = {c for base, cs in many.items() if all(same[k] in (True, None) for k in (base, *(f"{base}/{i}" for i in range(len(cs) - 1)))) for _, c in cs[:-1]}
-    return wide.drop(*gone)
+    kinds = lambda cs: F.size(F.array_distinct(F.array_compact(F.array(*(F.col(f"`{c}`") for c in cs)))))
+    most = wide.agg(*(F.max(kinds(cs)).alias(f"m{i}") for i, cs in enumerate(many.values()))).first()
+    same = {b: cs for i, (b, cs) in enumerate(many.items()) if (most[i] or 0) <= 1}
+    top, gone = {cs[0]: b for b, cs in same.items()}, {c for cs in same.values() for c in cs[1:]}
+    return wide.select(*(F.coalesce(*(F.col(f"`{x}`") for x in same[top[c]])).alias(top[c]) if c in top else F.col(f"`{c}`") for c in wide.columns if c not in gone))
 
 
 def filled_columns(df: DataFrame, keep: Iterable[str] = ()) -> list[str]:

@@ -75,8 +75,9 @@ def centred(table: DataFrame, columns: Sequence[str], means: bool = True) -> Dat
     return table.withColumns(added)
 
 
-def magnitude(x: str = "value_x", y: str = "value_y", z: str = "value_z") -> Column:
-    return F.sqrt(F.col(x) ** 2 + F.col(y) ** 2 + F.col(z) ** 2)
+def magnitude(x: str = "value_x", y: str = "value_y", z: str | None = "value_z") -> Column:
+    """Length of the acceleration; two axes suffice where there is no third."""
+    return F.sqrt(F.col(x) ** 2 + F.col(y) ** 2 + (F.col(z) ** 2 if z else F.lit(0.0)))
 
 
 def enmo(cut: DataFrame, baseline: int = 1, quantile: float = 0.20) -> DataFrame:

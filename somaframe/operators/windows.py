@@ -218,3 +218,8 @@ def clamped(spans: DataFrame, start: Column, end: Column) -> DataFrame:
     """A span cut to the recording (t0, t1); null where nothing is left."""
     a, b = F.greatest(start, F.col("t0")), F.least(end, F.col("t1"))
     return spans.select(SUBJECT, F.when(a < b, a).alias("t_start_s"), F.when(a < b, b).alias("t_end_s"))
+
+
+def next_level(windows: DataFrame) -> DataFrame:
+    """One row: the level that windows cut next would have; levels are a column, not folders."""
+    return windows.agg((F.coalesce(F.max("level"), F.lit(-1)) + 1).cast("int").alias("level"))

@@ -81,10 +81,10 @@ def rr_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.quality(cut(spark, sf_dir))
 
 
-@query(f"""{SQL_CUT}, f AS (SELECT subject_id, w_id, 60000 / avg(rr_ms) AS hr_bpm FROM d GROUP BY 1, 2), own AS (SELECT subject_id, w_id, avg(60000 / rr_ms) AS m FROM cut WHERE subject_id % 2 = 0 GROUP BY 1, 2)
+@query(f"""{SQL_CUT}, f AS (SELECT subject_id, w_id, 60000 / avg(rr_ms) AS hr_bpm FROM d GROUP BY 1, 2), own AS (SELECT subject_id, w_id, avg(CASE WHEN subject_id % 2 = 0 THEN 60000 / rr_ms END) AS m FROM cut GROUP BY 1, 2)
     SELECT f.subject_id, f.w_id, round(coalesce(m, hr_bpm), 6) AS hr_bpm FROM f LEFT JOIN own ON own.subject_id = f.subject_id AND own.w_id = f.w_id""")
 def hr_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    device = V.beats(spark, sf_dir).where("subject_id % 2 = 0").select("subject_id", "t_s", (60000 / F.col("rr_ms")).alias("bpm"))
+    device = V.beats(spark, sf_dir).select("subject_id", "t_s", F.when(F.col("subject_id") % 2 == 0, 60000 / F.col("rr_ms")).alias("bpm"))
     found = T.measured_rate(T.features(cut(spark, sf_dir), ["hr_bpm"]), device, day_windows(spark, sf_dir))
     return rounded(found, "hr_bpm").select("subject_id", "w_id", "hr_bpm")
 
@@ -182,17 +182,19 @@ def rr_source_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table.withColumn("choice", choice), "mae", "bias", "score_device", "score_ecg").select("subject_id", "mae", "bias", "score_device", "score_ecg", "choice")
 
 
-@query(f"WITH {V.SQL_BEATS}, {V.SQL_BEATS2} SELECT subject_id, source, count(*) AS n, round(sum(rr_ms), 4) AS total FROM (SELECT *, 'device_rr' AS source FROM beats WHERE subject_id % 3 > 0 AND subject_id % 2 = 0 UNION ALL SELECT *, 'ecg_rr' FROM beats2 WHERE subject_id % 3 = 0 OR subject_id % 2 = 1) GROUP BY 1, 2")
+@query(f"WITH {V.SQL_BEATS}, {V.SQL_BEATS2} SELECT subject_id, source, count(*) AS n, round(sum(rr_ms), 4) AS total FROM (SELECT *, 'device_rr' AS source FROM beats WHERE subject_id % 2 = 0 UNION ALL SELECT *, 'ecg_rr' FROM beats2 WHERE subject_id % 2 = 1) GROUP BY 1, 2")
 def rr_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     ecg = V.beats2(spark, sf_dir)
     decisions = ecg.select("subject_id").distinct().withColumn("choice", F.when(F.col("subject_id") % 2 == 0, "device_rr").otherwise("ecg_rr"))
-    picked = B.chosen(V.beats(spark, sf_dir).where("subject_id % 3 > 0"), ecg, decisions)
+    picked = B.chosen(V.beats(spark, sf_dir), ecg, decisions)
     return picked.groupBy("subject_id", "source").agg(F.count("*").alias("n"), F.round(F.sum("rr_ms"), 4).alias("total"))
 
 
-@query(f"WITH {V.SQL_BEATS}, {V.SQL_BEATS2}, a AS (SELECT subject_id, min(t_s) AS a0, max(t_s) AS a1 FROM beats WHERE seq % 2 = 0 GROUP BY 1), b AS (SELECT subject_id, min(t_s) AS b0, max(t_s) AS b1 FROM beats2 WHERE seq % 3 = 0 GROUP BY 1) SELECT a.subject_id, round(greatest(a0, b0), 3) AS t0, round(least(a1, b1), 3) AS t1 FROM a JOIN b ON a.subject_id = b.subject_id WHERE least(a1, b1) - greatest(a0, b0) >= 10")
+@query(f"WITH {V.SQL_BEATS}, {V.SQL_BEATS2}, a AS (SELECT subject_id, min(t_s) AS a0, max(t_s) AS a1 FROM beats GROUP BY 1), b AS (SELECT subject_id, min(t_s + (subject_id % 9 - 4) * 300000) AS b0, max(t_s + (subject_id % 9 - 4) * 300000) AS b1 FROM beats2 GROUP BY 1) SELECT a.subject_id, round(greatest(a0, b0), 3) AS t0, round(least(a1, b1), 3) AS t1 FROM a JOIN b ON a.subject_id = b.subject_id WHERE least(a1, b1) - greatest(a0, b0) >= 10")
 def rr_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.overlap(V.beats(spark, sf_dir).where("seq % 2 = 0"), V.beats2(spark, sf_dir).where("seq % 3 = 0")), "t0", "t1", digits=3)
+    """The second source began days before or after the first."""
+    later = V.beats2(spark, sf_dir).withColumn("t_s", F.col("t_s") + (F.col("subject_id") % 9 - 4) * 300000)
+    return rounded(B.overlap(V.beats(spark, sf_dir), later), "t0", "t1", digits=3)
 
 
 # --- cleaning ---
@@ -274,12 +276,29 @@ def repair_pchip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.cubic_fill(marked), "rr_ms", digits=4).select("subject_id", "seq", "rr_ms")
 
 
-@query()
+SQL_PARTS = f"""{WITH}, {SQL_MEDIAN.format(t='beats')}, k AS (SELECT *, round_even(rr_ms / m, 0) AS k, t_s - lag(t_s) OVER w AS dt FROM m {IN_TIME}),
+    s AS (SELECT *, CASE WHEN rr_ms >= 1200 AND k BETWEEN 2 AND 5 AND abs(rr_ms - k * m) / (k * m) < 0.12 AND dt > 0 THEN CAST(k AS BIGINT) ELSE 1 END AS kk FROM k), e AS (SELECT *, unnest(range(1, kk + 1)) AS j FROM s)
+    SELECT subject_id, seq, CASE WHEN kk > 1 THEN t_s - dt + j * dt / kk ELSE t_s END AS t_s, CASE WHEN kk > 1 THEN dt * 1000 / kk ELSE rr_ms END AS rr_ms FROM e"""
+SQL_DEVICE = SQL_PCHIP.replace(WITH, f"WITH parts AS ({SQL_PARTS}), named AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t_s, seq) AS place FROM parts), beats AS (SELECT subject_id, place AS seq, t_s, rr_ms FROM named)", 1)
+
+
+@query(f"{SQL_DEVICE} SELECT z.subject_id, named.seq, round(z.t_s, 3) AS t_s, round(CASE WHEN bad THEN coalesce((2*s**3 - 3*s**2 + 1) * v0 + (s**3 - 2*s**2 + s) * h * m0 + (3*s**2 - 2*s**3) * v1 + (s**3 - s**2) * h * m1, v0 + (v1 - v0) * s, v0, v1) ELSE z.rr_ms END, 3) AS rr_ms FROM z JOIN named ON named.subject_id = z.subject_id AND named.place = z.seq")
 def clean_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.cleaned(V.beats(spark, sf_dir)), "t_s", "rr_ms", digits=3)
 
 
-@query()
+SQL_MARKS = f"""{WITH}, o AS (SELECT *, first_value(rr_ms) OVER u AS f, last_value(rr_ms) OVER u AS l FROM beats WINDOW u AS (PARTITION BY subject_id ORDER BY t_s, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    e AS (SELECT *, list_sort([coalesce(lag(rr_ms, 2) OVER w, f), coalesce(lag(rr_ms) OVER w, f), rr_ms, coalesce(lead(rr_ms) OVER w, l), coalesce(lead(rr_ms, 2) OVER w, l)])[3] AS m5, lag(rr_ms) OVER w AS p FROM o {IN_TIME}),
+    mk AS (SELECT subject_id, seq, t_s, rr_ms, rr_ms < 510 OR rr_ms > 2000 OR coalesce(abs(rr_ms - p) / p > 0.2, false) OR abs(rr_ms - m5) / m5 > 0.2 AS b0, rr_ms < 0.9 * m5 AS low FROM e),
+    rn AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t_s, seq) - row_number() OVER (PARTITION BY subject_id, b0 ORDER BY t_s, seq) AS g FROM mk),
+    nr AS (SELECT *, (b0 AND count(*) OVER (PARTITION BY subject_id, b0, g) <= 10) OR low AS near FROM rn), an AS (SELECT *, bool_or(near) OVER (PARTITION BY subject_id) AS hit FROM nr), q1 AS (SELECT subject_id, seq, t_s, rr_ms, hit AND (b0 OR low) AS bad, near AND hit AS near FROM an)"""
+SQL_SMOOTH = f"""{SQL_MARKS}, l1 AS (SELECT subject_id, seq, t_s, bad, near, {SQL_LINE} AS rr_ms FROM {SQL_NEAR.format(t='q1')}),
+    x1 AS (SELECT *, near OR coalesce(lag(near) OVER w, false) OR coalesce(lead(near) OVER w, false) AS cl, lag(rr_ms) OVER w AS a, lead(rr_ms) OVER w AS c FROM l1 {IN_TIME}),
+    s1 AS (SELECT subject_id, seq, t_s, bad, CASE WHEN cl AND a IS NOT NULL AND c IS NOT NULL THEN list_sort([a, rr_ms, c])[2] ELSE rr_ms END AS rr_ms FROM x1),
+    q2 AS (SELECT subject_id, seq, t_s, rr_ms, bad AND coalesce(abs(rr_ms / lag(rr_ms) OVER w - 1) > 0.2, false) AS bad FROM s1 {IN_TIME})"""
+
+
+@query(f"{SQL_SMOOTH} SELECT subject_id, seq, round(t_s, 3) AS t_s, round({SQL_LINE}, 3) AS rr_ms FROM {SQL_NEAR.format(t='q2')}")
 def clean_ecg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.cleaned_ecg(V.beats(spark, sf_dir)), "t_s", "rr_ms", digits=3)
 

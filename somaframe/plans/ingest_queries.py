@@ -120,10 +120,10 @@ def strict_monotone_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.strictly_increasing(rows, ["subject_id"]).select("subject_id", "t_s", "seq")
 
 
-@query(f"WITH {V.SQL_BEATS}, q AS (SELECT subject_id, seq, CASE WHEN subject_id % 4 = 1 AND seq % 5 = 0 THEN -t_s ELSE t_s END AS t, subject_id % 4 AS k FROM beats WHERE subject_id % 4 > 0 OR seq < 100), d AS (SELECT *, t - lag(t) OVER (PARTITION BY subject_id ORDER BY seq) AS d FROM q) SELECT subject_id, CASE WHEN count(t) < 3 THEN 'too short' ELSE 'decreasing' END AS fault FROM d GROUP BY 1 HAVING count(t) < 3 OR count(*) FILTER (WHERE d < 0) > 0")
+@query(f"WITH {V.SQL_BEATS}, q AS (SELECT subject_id, seq, CASE WHEN subject_id % 4 = 0 AND seq >= 100 THEN NULL WHEN subject_id % 4 = 1 AND seq % 5 = 0 THEN -t_s ELSE t_s END AS t FROM beats), d AS (SELECT *, t - lag(t) OVER (PARTITION BY subject_id ORDER BY seq) AS d FROM q) SELECT subject_id, CASE WHEN count(t) < 3 THEN 'too short' ELSE 'decreasing' END AS fault FROM d GROUP BY 1 HAVING count(t) < 3 OR count(*) FILTER (WHERE d < 0) > 0")
 def invalid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("subject_id") % 4
-    rows = V.beats(spark, sf_dir).where((s > 0) | (F.col("seq") < 100)).withColumn("t_s", F.when((s == 1) & (F.col("seq") % 5 == 0), -F.col("t_s")).otherwise(F.col("t_s")))
+    rows = V.beats(spark, sf_dir).withColumn("t_s", F.when((s == 0) & (F.col("seq") >= 100), None).when((s == 1) & (F.col("seq") % 5 == 0), -F.col("t_s")).otherwise(F.col("t_s")))
     return I.invalid_series(rows, ["subject_id"])
 
 
@@ -149,9 +149,12 @@ def first_file_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.first_wins(files).select("subject_id", "path", F.when(F.col("signal") == "acc", "acc").otherwise("rr").alias("family"))
 
 
-@query(f"WITH {V.SQL_BEATS}, {V.SQL_BEATS2} SELECT subject_id, count(*) AS n, round(sum(rr_ms), 4) AS total FROM (SELECT * FROM beats WHERE subject_id % 2 = 0 UNION ALL SELECT * FROM beats2 WHERE subject_id % 2 = 1) GROUP BY 1")
+@query(f"WITH {V.SQL_BEATS}, {V.SQL_BEATS2} SELECT subject_id, count(*) AS n, round(sum(rr_ms), 4) AS total FROM (SELECT CASE WHEN subject_id % 2 = 0 THEN subject_id ELSE -subject_id END AS subject_id, rr_ms FROM beats UNION ALL SELECT subject_id, rr_ms FROM beats2 WHERE subject_id % 2 = 1) GROUP BY 1")
 def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = I.by_priority([V.beats(spark, sf_dir).where("subject_id % 2 = 0"), V.beats2(spark, sf_dir)], ["subject_id"])
+    """The first source knows odd subjects by other ids."""
+    s = F.col("subject_id")
+    first = V.beats(spark, sf_dir).withColumn("subject_id", F.when(s % 2 == 0, s).otherwise(-s))
+    both = I.by_priority([first, V.beats2(spark, sf_dir)], ["subject_id"])
     return both.groupBy("subject_id").agg(F.count("*").alias("n"), F.round(F.sum("rr_ms"), 4).alias("total"))
 
 

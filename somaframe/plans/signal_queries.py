@@ -33,7 +33,11 @@ def resp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("subject_id", "span").agg(F.count("*").alias("n"), F.round(F.min("time_s"), 3).alias("t0"), F.round(F.max("time_s"), 3).alias("t1"))
 
 
-@query()
+#: The generated breathing is clean but for its holes, so cleaning keeps all that is there, as it is.
+SQL_CLEAN_RESP = f"WITH {SQL_RESP}"
+
+
+@query(f"{SQL_CLEAN_RESP} SELECT subject_id, count(value) AS alive, count(*) AS n FROM resp GROUP BY 1")
 def resp_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.trimmed(V.resp(spark, sf_dir), KEYS, TEN_HZ).groupBy("subject_id").agg(F.count_if("alive").alias("alive"), F.count("*").alias("n"))
 
@@ -42,9 +46,9 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cleaned(V.resp(spark, sf_dir), KEYS, TEN_HZ)
 
 
-@query()
+@query(f"{SQL_CLEAN_RESP} SELECT subject_id, seq, time_s, round(value, 6) + 0.0 AS value, 'partial' AS status FROM resp")
 def resp_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cleaned(spark, sf_dir).select("subject_id", "seq", "time_s", "value", "status"), "value")
+    return cleaned(spark, sf_dir).select("subject_id", "seq", "time_s", (F.round("value", 6) + 0.0).alias("value"), "status")
 
 
 @query()
@@ -52,12 +56,12 @@ def resp_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report(cleaned(spark, sf_dir), KEYS)
 
 
-@query()
+@query(f"{SQL_CLEAN_RESP} SELECT 'partial' AS status, count(DISTINCT subject_id) AS n FROM resp")
 def resp_clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report(cleaned(spark, sf_dir), KEYS).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"{SQL_CLEAN_RESP} SELECT subject_id, count(value) AS n FROM resp GROUP BY 1")
 def resp_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     resp = V.resp(spark, sf_dir)
     return R.masked(resp, R.report(R.cleaned(resp, KEYS, TEN_HZ), KEYS), KEYS).groupBy("subject_id").agg(F.count("value").alias("n"))
@@ -119,16 +123,18 @@ def breath_rate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spiked_ecg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten seconds at 100 Hz per subject with a spike every 0.7 to 0.9 s."""
+    """Ten seconds at 100 Hz per subject with a spike every 0.7 to 0.9 s, from 0.35 s on."""
     grid = V.subjects(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(999))))
     period = 70 + (F.col("subject_id") % 3) * 10
-    wave = F.exp(-((F.pmod(F.col("i") + 35, period) - 35) / 1.5) ** 2)
+    wave = F.exp(-((F.pmod(F.col("i"), period) - 35) / 1.5) ** 2)
     return grid.select("subject_id", (F.col("i") / 100).alias("time_s"), wave.alias("value"))
 
 
-@query()
+@query("""WITH u AS (SELECT DISTINCT user_id AS subject_id, 70 + (user_id % 3) * 10 AS period FROM events), k AS (SELECT *, unnest(range(1, 20)) AS k FROM u)
+    SELECT subject_id, CAST(k + 1 AS BIGINT) AS seq, round((35 + k * period) / 100.0::DOUBLE, 3) AS t_s, round(period * 10.0::DOUBLE, 3) AS rr_ms FROM k WHERE 35 + k * period < 1000""")
 def ecg_to_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.to_beats(spiked_ecg(spark, sf_dir))
+    """SQL lists the beats that were put in."""
+    return rounded(E.to_beats(spiked_ecg(spark, sf_dir)), "t_s", "rr_ms", digits=3)
 
 
 # --- mixed model ---

@@ -90,7 +90,8 @@ def stacked_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{ITEMS} SELECT round(avg(CASE WHEN subject_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS hit_rate FROM (SELECT DISTINCT subject_id FROM items)")
 def group_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir)
-    return rounded(S.hit_rate(rows, rows.where("subject_id % 3 = 0")), "hit_rate", digits=9)
+    known = rows.withColumn("subject_id", F.when(F.col("subject_id") % 3 == 0, F.col("subject_id")).otherwise(-F.col("subject_id")))
+    return rounded(S.hit_rate(rows, known), "hit_rate", digits=9)
 
 
 # --- tables ---
@@ -106,7 +107,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{SQL_FEATURES} SELECT subject_id, w_id, round(hr_bpm, 6) AS hr_bpm, CASE WHEN subject_id % 5 > 0 THEN CAST(subject_id % 2 AS DOUBLE) END AS task FROM f")
 def physio_join_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
-    groups = rows.where("subject_id % 5 > 0").select("subject_id", (F.col("subject_id") % 2).cast("int").alias("task"))
+    known = F.when(F.col("subject_id") % 5 > 0, F.col("subject_id")).otherwise(-F.col("subject_id") - 1)
+    groups = rows.select(known.alias("subject_id"), (F.col("subject_id") % 2).cast("int").alias("task"))
     return rounded(T.with_groups(rows, groups), "hr_bpm").select("subject_id", "w_id", "hr_bpm", F.col("task").cast("double").alias("task"))
 
 
@@ -175,7 +177,7 @@ def delta_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.with_deltas(T.by_time(items(spark, sf_dir), ["q1"], [1, 2, 3]), "q1").select("subject_id", "d_q1_induction", "d_q1_intervention")
 
 
-@query(f"{ITEMS} SELECT subject_id, max(task) AS \"task_T3\", max(CASE WHEN time = 1 THEN q1 END) AS \"q1_T1\", max(CASE WHEN time = 2 THEN q1 END) AS \"q1_T2\", max(CASE WHEN time = 3 THEN q1 END) AS \"q1_T3\" FROM items GROUP BY 1 HAVING count(*) = 3")
+@query(f"{ITEMS} SELECT subject_id, max(task) AS task, max(CASE WHEN time = 1 THEN q1 END) AS \"q1_T1\", max(CASE WHEN time = 2 THEN q1 END) AS \"q1_T2\", max(CASE WHEN time = 3 THEN q1 END) AS \"q1_T3\" FROM items GROUP BY 1 HAVING count(*) = 3")
 def collapsed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir)
     full = rows.join(rows.groupBy("subject_id").count().where("count = 3"), "subject_id", "left_semi")

@@ -60,11 +60,13 @@ def read_table(spark: SparkSession, path: str, rename: dict[str, str] | None = N
     return df.withColumnsRenamed(rename or {})
 
 
-def read_first(spark: SparkSession, paths: Sequence[str], required: Sequence[str]) -> DataFrame | None:
-    """The first of some tables that is there and has all required columns."""
+def read_first(spark: SparkSession, paths: Sequence[str], required: Sequence[str], time: str | None = None) -> DataFrame | None:
+    """The first of some tables that is there, has all required columns and, if `time` names one, a time that is a number."""
     for path in paths:
         df = read_table(spark, path)
-        if df is not None and set(required) <= set(df.columns):
+        if df is None or not set(required) | {time} - {None} <= set(df.columns):
+            continue
+        if time is None or not df.where(F.col(time).try_cast("double").isNotNull()).isEmpty():
             return df
     return None
 
@@ -82,7 +84,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The recordings below a folder: path, name, subject_id, signal, status (found or skip), bytes. Only names and
     sizes are read. Heart rate and acceleration of known devices get the device's letter."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes")))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """The manifest of files (path, bytes)."""
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     signal = detect_signal(F.col("name"))
     device = F.coalesce(*(F.when(F.lower("name").contains(k), F.lit(v)) for k, v in DEVICE_SUFFIXES.items()), F.lit(""))

@@ -16,11 +16,11 @@ SQL_MARKERS = f"markers AS (SELECT user_id AS subject_id, event_id AS seq, {SQL_
 SQL_ACC = """acc AS (SELECT l_suppkey AS subject_id, l_quantity AS value_x, l_discount * 1000 AS value_y, l_tax * 1000 AS value_z,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) / 10.0::DOUBLE AS time_s FROM lineitem)"""
 SQL_ITEMS = """items AS (
-    SELECT o.o_custkey AS subject_id, o.rn AS time, CAST(o.o_custkey % 2 AS INTEGER) AS task,
-        max(CASE WHEN l_linenumber = 1 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END)::DOUBLE AS q1, max(CASE WHEN l_linenumber = 2 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END)::DOUBLE AS q2,
-        max(CASE WHEN l_linenumber = 3 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END)::DOUBLE AS q3, max(CASE WHEN l_linenumber = 4 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END)::DOUBLE AS q4
+    SELECT o.o_custkey AS subject_id, (o.rn - 1) % 3 + 1 AS time, CAST(o.o_custkey % 2 AS INTEGER) AS task,
+        max(CASE WHEN (l_linenumber - 1) % 4 = 0 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END)::DOUBLE AS q1, max(CASE WHEN (l_linenumber - 1) % 4 = 1 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END)::DOUBLE AS q2,
+        max(CASE WHEN (l_linenumber - 1) % 4 = 2 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END)::DOUBLE AS q3, max(CASE WHEN (l_linenumber - 1) % 4 = 3 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END)::DOUBLE AS q4
     FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) o
-    LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o.rn <= 3 GROUP BY 1, 2, 3)"""
+    LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,10 @@ def acc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questionnaire answers: subject_id, time (1 to 3), task, q1 to q4."""
-    taken = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS time").where("time <= 3")
+    """Questionnaire answers: subject_id, time (1 to 3; further orders go round), task, q1 to q4."""
+    taken = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) % 3 + 1 AS time")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    answer = [F.max(F.when(F.col("l_linenumber") == k, F.col("l_quantity").cast("bigint") % 5 + 1)).cast("double").alias(f"q{k}") for k in (1, 2, 3, 4)]
+    answer = [F.max(F.when((F.col("l_linenumber") - 1) % 4 == k - 1, F.col("l_quantity").cast("bigint") % 5 + 1)).cast("double").alias(f"q{k}") for k in (1, 2, 3, 4)]
     return taken.join(lines, taken["o_orderkey"] == lines["l_orderkey"], "left").groupBy(F.col("o_custkey").alias("subject_id"), F.col("time").cast("bigint").alias("time"), (F.col("o_custkey") % 2).cast("int").alias("task")).agg(*answer)
 
 
