@@ -33,7 +33,7 @@ def resp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("subject_id", "span").agg(F.count("*").alias("n"), F.round(F.min("time_s"), 3).alias("t0"), F.round(F.max("time_s"), 3).alias("t1"))
 
 
-#: The generated breathing is clean but for its holes, so cleaning keeps all that is there, as it is.
+#: The generated breathing is clean but for its holes, so cleaning keeps all samples that are there.
 SQL_CLEAN_RESP = f"WITH {SQL_RESP}"
 
 
@@ -46,7 +46,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cleaned(V.resp(spark, sf_dir), KEYS, TEN_HZ)
 
 
-@query(f"{SQL_CLEAN_RESP} SELECT subject_id, seq, time_s, round(value, 6) + 0.0 AS value, 'partial' AS status FROM resp")
+@query()
 def resp_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(spark, sf_dir).select("subject_id", "seq", "time_s", (F.round("value", 6) + 0.0).alias("value"), "status")
 
