@@ -34,8 +34,10 @@ LONG_TOKENS, LONG_DOCS = 20, 2
 #: A line of fewer than MIN_TOKENS tokens, digits and all, recurs if so many documents hold it.
 SHORT_DOCS = 10
 SIMILARITY = 0.6
-#: Leaves (eight bytes each) that are sent to all executors; more are joined by a shuffle.
+#: Leaves, or frequent tokens, that are sent to all executors (tens of bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Distinct lines of a leaf with a token at one place, beyond which the token counts as frequent there.
+HOT_ROWS = 1000
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -73,9 +75,15 @@ def templates(lines: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
     texts = lines.select("leaf", "exact", "masked").distinct().withColumn("_tokens", _tokens(F.col("masked")))
     tokens = texts.join(kinds, ["leaf", "exact"]).select("leaf", "exact", "n", F.size("_tokens").alias("of"), F.posexplode("_tokens").alias("at", "token"))
     tokens = checkpoint(tokens.select("leaf", "exact", "n", "of", F.xxhash64("at", "token").alias("token")))
-    common = tokens.groupBy("leaf", "token").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs)
-    # a leaf's leading tokens stand in all of its lines: those are dealt to parts
-    marked = salted_join(tokens, common, ["leaf", "token"], "inner", ["exact"]).groupBy("leaf", "exact").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("_n", "token")), asc=False).alias("_held"))
+    common = checkpoint(tokens.groupBy("leaf", "token").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows")).where(F.col("_n") >= min_docs))
+    # a leaf's leading tokens stand in all of its lines: such tokens are sent to where the lines are
+    hot = common.where(F.col("_rows") > HOT_ROWS).drop("_rows")
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        others = tokens.join(F.broadcast(hot), ["leaf", "token"], "left_anti").join(common.where(F.col("_rows") <= HOT_ROWS).drop("_rows"), ["leaf", "token"])
+        held = tokens.join(F.broadcast(hot), ["leaf", "token"]).unionByName(others)
+    else:
+        held = salted_join(tokens, common.drop("_rows"), ["leaf", "token"], "inner", ["exact"])
+    marked = held.groupBy("leaf", "exact").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("_n", "token")), asc=False).alias("_held"))
     least = F.ceil(F.col("of") * F.lit(SIMILARITY) - 1e-9).cast("int")
     bound = F.element_at("_held", least)["_n"]
     found = marked.where(F.size("_held") >= least).withColumn("_bound", bound)

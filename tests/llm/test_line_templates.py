@@ -108,6 +108,7 @@ def left(text, gone, d):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_same_as_brute_force(documents, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "HOT_ROWS", 3)
     if not broadcast:
         monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
     rows = [(r.doc_id, r.text) for r in documents.collect()]
