@@ -58,11 +58,14 @@ def _tokens(line: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """KEY, line (from 0), short, leaf, exact (hash of the line with digits masked), same (hash of a long line as it is) and
     masked, for lines with tokens. A short line is its own leaf, digits and all."""
-    each = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("n", F.regexp_count("raw", F.lit(WORD))).where("n > 0")
-    each = each.withColumns({"short": F.col("n") < MIN_TOKENS, "masked": F.regexp_replace("raw", "[0-9]+", "0")})
-    head = F.regexp_extract("masked", rf"^{_BLANKS[:-1]}*((?:{WORD}{_BLANKS}){{{LEADING - 1}}}{WORD})", 1)
-    own = F.xxhash64("n", _tokens(F.col("raw")))
-    leaf = F.when(F.col("short"), own).otherwise(F.xxhash64("n", F.regexp_replace(head, _BLANKS, " ")))
+    each = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.col("raw").rlike(WORD[:-1]))
+    # most lines have single blanks only, and need no rewriting; tokens are counted by the blanks between them
+    each = each.withColumns({"plain": F.trim(F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace("raw", _BLANKS, " ")).otherwise(F.col("raw"))), "masked": F.regexp_replace("raw", "[0-9]+", "0")})
+    each = each.withColumn("n", F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1).withColumn("short", F.col("n") < MIN_TOKENS)
+    spaced = F.regexp_replace(F.regexp_extract("masked", rf"^{_BLANKS[:-1]}*((?:{WORD}{_BLANKS}){{{LEADING - 1}}}{WORD})", 1), _BLANKS, " ")
+    head = F.when(F.col("raw") == F.col("plain"), F.substring_index("masked", " ", LEADING)).otherwise(spaced)
+    own = F.xxhash64("n", F.split("plain", " "))
+    leaf = F.when(F.col("short"), own).otherwise(F.xxhash64("n", head))
     exact = F.when(F.col("short"), own).otherwise(F.xxhash64("masked"))
     same = F.when(F.col("n") >= LONG_TOKENS, F.xxhash64("raw", F.lit(1)))
     return each.select(*KEY, "line", "short", leaf.alias("leaf"), exact.alias("exact"), same.alias("same"), "masked")
