@@ -383,9 +383,10 @@ def similar_links(marked: DataFrame, keyed: DataFrame, keys: list[str], similari
     shared = checkpoint(each.withColumns({"m": F.count("*").over(of), "low": F.min("id").over(of)}).where("m > 1"))
 
     def may(x: str, y: str) -> Column:
-        """Whether two sets with that shingle at those places can be similar: by sizes, and by what is before and after it."""
+        """Whether two sets whose first common shingle, in the order of all, stands at those places can be similar. Pairs with an
+        earlier one in common are found by that, so what stands before these places is not shared."""
         n = F.col(f"{x}.n") + F.col(f"{y}.n")
-        most = F.least(F.col(f"{x}.at"), F.col(f"{y}.at")) + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+        most = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
         return most >= F.lit(similarity / (1 + similarity)) * n - _EPS
 
     def pairs(left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
