@@ -1,18 +1,18 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader (operator 5).
 
 Words are runs of letters, digits and other non-ASCII bytes, or runs of punctuation. Features are hashes of
-words, of pairs of words, and of triples of word shapes (length, case, kind), each in 2^BITS buckets; pairs
-and triples that repeat a word count as one n-gram, whichever word it is; a
-document's value of a feature is its count over the square root of the number of its features. Training
-runs the updates (per-coordinate rates, L1 and L2) on shards of labelled documents, in several passes, and
-averages the shards' weights. A score is the logistic of a sparse dot product.
+words, of pairs and of triples of words, in 2^BITS buckets; pairs of a word and itself, and triples that begin
+and end with the same word, count as one n-gram each, whichever word it is. A document's value of a feature is
+its count over the square root of the number of its features. Training runs the updates (per-coordinate rates,
+L1 and L2) on shards of labelled documents, in several passes, and averages the shards' weights. A score is the logistic of a sparse dot product.
 
 The labelled rows learned from are a bounded sample: MOST_ROWS documents at most in expectation, drawn by
 a hash of doc_id. Everything else covers all rows. The model has 2^BITS weights whatever the input.
 
 Defined cases: null texts are empty; a text without words has the score of the bias alone; of several
-labels of a document their mean counts, null labels do not; of several rows with a doc_id the lowest text is learned from; documents without a doc_id are scored, never
-learned from; without labels every score is 0.5; repeated rows get equal scores.
+labels of a document their mean counts, null labels do not; of several rows with a doc_id the lowest text is
+learned from; documents without a doc_id are scored, never learned from; without labels every score is 0.5;
+repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -39,8 +39,6 @@ _CLASS = np.zeros(256, np.int8)
 _CLASS[33:] = 2  # punctuation
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _CLASS[_lo:_hi] = 1  # word bytes
-_UPPER = np.zeros(256, np.int32)
-_UPPER[65:91] = 1
 _ROLLING = Rolling(5)
 _REPEATED = mix64(np.array([1, 2], np.uint64))  # hashes of the n-grams that repeat a word
 
@@ -58,10 +56,6 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin, end = begin[word], end[word]
     first = np.searchsorted(begin, at)  # of each text's words
     h = _ROLLING.ranges(_ROLLING.sums(data), begin, end)
-    upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
-    caps, size = upper[end] - upper[begin], end - begin
-    shape = np.minimum(size, 12) * 4 + np.where(caps == 0, 0, np.where(caps == size, 3, 1 + (caps > 1)))
-    shape = np.where(kind[begin] == 2, 64 + data[begin], shape).astype(np.uint64)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
     parts, owners = [h], [owner]
     if len(h) > 1:
@@ -72,7 +66,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         owners.append(owner[1:][same])
     if len(h) > 2:
         same = owner[2:] == owner[:-2]
-        triple = mix64(((shape[:-2] << np.uint64(9)) | shape[1:-1]) << np.uint64(9) | shape[2:])
+        triple = mix64(mix64(h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(3) + h[2:])
         triple[h[:-2] == h[2:]] = _REPEATED[1]
         parts.append(triple[same])
         owners.append(owner[2:][same])
