@@ -14,40 +14,77 @@ from somaframe.functions.frames import spread
 
 BAND, ORDER = (5.0, 20.0), 3
 LEAST_SECONDS, PROMINENCE = 0.30, 0.20
+#: A chunk of a recording, and what it sees of its neighbours (the filter settles within one second).
+CHUNK_SECONDS, PAD_SECONDS = 600.0, 10.0
+RANGE_ACCURACY = 100_000
 
 
-def peaks(ecg: DataFrame, keys: Sequence[str] = ("subject_id",)) -> DataFrame:
-    """keys, t_s of the R peaks. One group is one recording of one subject."""
+def chunked(ecg: DataFrame, chunk: float = CHUNK_SECONDS, pad: float = PAD_SECONDS) -> DataFrame:
+    """The samples with _c, their chunk of the recording; those within pad of a border are in the neighbour as well."""
+    if not 0 < pad < chunk:
+        raise ValueError("0 < pad < chunk is asked for")
+    part = lambda shift: F.floor((F.col("time_s") + shift) / chunk)
+    return ecg.dropna(subset=["time_s", "value"]).withColumn("_c", F.explode(F.array_distinct(F.array(part(-pad), part(pad)))))
+
+
+def _steps(rows: DataFrame, keys: Sequence[str], chunk: float) -> DataFrame:
+    """A chunk's own samples with _d, the time since the sample before; null where there is none as far back as the chunk reaches."""
+    order = Window.partitionBy(*keys, "_c").orderBy("time_s")
+    return rows.withColumn("_d", F.col("time_s") - F.lag("time_s").over(order)).where(F.floor(F.col("time_s") / chunk) == F.col("_c"))
+
+
+def peaks(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), chunk: float = CHUNK_SECONDS, pad: float = PAD_SECONDS) -> DataFrame:
+    """keys, t_s of the R peaks. One group is one chunk of a subject's recording with its borders, so that a long recording
+    is dealt to many tasks; the sampling rate and the range of the filtered signal are the whole recording's."""
     kinds = {f.name: f.dataType.simpleString() for f in ecg.schema.fields}
+    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    # rounded, so that few different steps are counted
+    rows = chunked(ecg.select(*keys, "time_s", "value"), chunk, pad)
+    steps = _steps(rows, keys, chunk).where("_d > 0").groupBy(*keys).agg(F.percentile(F.round("_d", 9), F.lit(0.5)).alias("_step"))
+
+    def own(t: np.ndarray, c: int) -> np.ndarray:
+        return np.floor(t / chunk) == c
+
+    def head(series: pd.DataFrame, n: int) -> dict:
+        return {k: series[k].iloc[:1].repeat(n).to_numpy() for k in keys}
+
+    def filtered(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values(["time_s", "value"]).drop_duplicates("time_s")
+        t, v, rate = series["time_s"].to_numpy(float), series["value"].to_numpy(float), 1 / series["_step"].iloc[0]
+        high = min(BAND[1], 0.45 * rate)
+        try:
+            v = K.zero_phase(*K.band_pass(ORDER, min(BAND[0], high / 2), high, rate), v)
+        except ValueError:
+            pass  # under 22 samples: the raw signal
+        core = own(t, series["_c"].iloc[0])
+        return pd.DataFrame({**head(series, core.sum()), "time_s": t[core], "value": v[core], "_step": 1 / rate})
 
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.dropna(subset=["time_s", "value"]).sort_values("time_s").drop_duplicates("time_s")
-        t, v = series["time_s"].to_numpy(float), series["value"].to_numpy(float)
+    def found(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("time_s")
+        t, v, first = series["time_s"].to_numpy(float), series["value"].to_numpy(float), series.iloc[0]
         at = np.zeros(0)
-        if len(t) >= 5:
-            rate = 1 / np.median(np.diff(t))
-            high = min(BAND[1], 0.45 * rate)
-            try:
-                v = K.zero_phase(*K.band_pass(ORDER, min(BAND[0], high / 2), high, rate), v)
-            except ValueError:
-                pass  # under 22 samples: the raw signal
-            lo, hi = np.percentile(v, [1, 99])
-            at = t[K.peaks(v, max(1, round(LEAST_SECONDS * rate)), max(1e-3, PROMINENCE * (hi - lo)))]
-        return pd.DataFrame({**{k: series[k].iloc[0] if len(series) else None for k in keys}, "t_s": at})
+        if first["_n"] >= 5:
+            lo, hi = first["_range"]
+            at = t[K.peaks(v, max(1, round(LEAST_SECONDS / first["_step"])), max(1e-3, PROMINENCE * (hi - lo)))]
+            at = at[own(at, first["_c"])]
+        return pd.DataFrame({**head(series, len(at)), "t_s": at})
 
-    return spread(ecg.select(*keys, "time_s", "value"), *keys).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "t_s double"]))
+    smooth = spread(rows.join(steps, list(keys)), *keys, "_c").groupBy(*keys, "_c").applyInPandas(filtered, f"{named}, time_s double, value double, _step double")
+    range_ = smooth.groupBy(*keys).agg(F.percentile_approx("value", [0.01, 0.99], RANGE_ACCURACY).alias("_range"), F.count("*").alias("_n"))
+    again = spread(chunked(smooth, chunk, pad).join(range_, list(keys)), *keys, "_c")
+    return again.groupBy(*keys, "_c").applyInPandas(found, f"{named}, t_s double")
 
 
-def to_beats(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), gap_factor: float | None = 5.0) -> DataFrame:
+def to_beats(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), gap_factor: float | None = 5.0, chunk: float = CHUNK_SECONDS, pad: float = PAD_SECONDS) -> DataFrame:
     """keys, seq, t_s, rr_ms at the later peak. Intervals over a break in the recording (a step of gap_factor median
-    steps, a tenth of a second at least) are left out."""
+    steps, a tenth of a second at least; any of pad seconds) are left out."""
     order = Window.partitionBy(*keys).orderBy("t_s")
-    found = peaks(ecg, keys).withColumns({"_before": F.lag("t_s").over(order), "seq": F.row_number().over(order).cast("bigint")})
-    beats = found.where("_before IS NOT NULL").withColumn("rr_ms", (F.col("t_s") - F.col("_before")) * 1000)
+    beats = peaks(ecg, keys, chunk, pad).withColumns({"_before": F.lag("t_s").over(order), "seq": F.row_number().over(order).cast("bigint")})
+    beats = beats.where("_before IS NOT NULL").withColumn("rr_ms", (F.col("t_s") - F.col("_before")) * 1000)
     if gap_factor:
-        steps = ecg.dropna(subset=["time_s", "value"]).withColumn("_d", F.col("time_s") - F.lag("time_s").over(Window.partitionBy(*keys).orderBy("time_s")))
-        typical = steps.groupBy(*keys).agg(F.percentile("_d", F.lit(0.5)).alias("_dt"))
-        breaks = steps.join(typical, list(keys)).where(F.col("_d") > F.greatest(gap_factor * F.col("_dt"), F.lit(0.1)))
+        steps = _steps(chunked(ecg.select(*keys, "time_s", "value"), chunk, pad), keys, chunk)
+        typical = steps.groupBy(*keys).agg(F.percentile(F.round("_d", 9), F.lit(0.5)).alias("_dt"))
+        breaks = steps.join(typical, list(keys)).where(F.col("_d").isNull() | (F.col("_d") > F.greatest(gap_factor * F.col("_dt"), F.lit(0.1))))
         breaks = breaks.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("time_s").alias("_at"))
         beats = beats.join(breaks, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") > F.col("_before"), F.col("_at") <= F.col("t_s")], "left_anti")
     return beats.select(*keys, "seq", "t_s", "rr_ms")

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,21 @@ def test_plateaus():
     assert len(tops) == 2
 
 
+def test_long_ecg_in_chunks(spark):
+    """Chunks see enough of their neighbours: the beats of a recording are those of one chunk, breaks and repeated samples included."""
+    rng = np.random.default_rng(4)
+    beat = np.cumsum(rng.normal(0.8, 0.05, 330))
+    t = np.arange(0, 260, 0.01)
+    v = sum(np.exp(-0.5 * ((t - b) / 0.015) ** 2) for b in beat) + 0.3 * np.sin(2 * np.pi * 0.25 * t) + rng.normal(0, 0.02, len(t))
+    some = (t < 95.5) | (t > 131)
+    wave = pd.DataFrame({"subject_id": "a", "time_s": t[some], "value": v[some]})
+    ecg = spark.createDataFrame(pd.concat([wave, wave.iloc[500:520]]))
+    one, many = (E.to_beats(ecg, chunk=c).orderBy("seq").toPandas() for c in (1e6, 40.0))
+    assert many.t_s.between(39, 200).sum() > 100 and many.rr_ms.max() < 1100
+    assert many.t_s.tolist() == one.t_s.tolist() and many.rr_ms.tolist() == pytest.approx(one.rr_ms.tolist())
+    assert E.peaks(ecg, chunk=40.0).count() == len(beat[(beat < 95.5) | ((beat > 131) & (beat < 260))])
+
+
 def test_ecg_spikes_come_back(spark):
     at = np.cumsum(np.tile([80, 90, 85], 20))
     v = np.zeros(at[-1] + 60)
