@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, collision_counting, language_mixture, line_templates, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix, suffix_merge
+from somaframe.llm import chat_examples, collision_counting, fill_middle, language_mixture, line_templates, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix, suffix_merge
 from somaframe.llm._common import read
 
 
@@ -71,11 +71,17 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_counting.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op12_automaton_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.examples(read(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op4_suffix_merge, op5_quality_ftrl,
-        op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting,
+        op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting, op12_automaton_infill,
     )
 }
 
@@ -101,4 +107,28 @@ ORACLES = {
             CAST(sum(prefix) FILTER (WHERE role = 'assistant' OR n = most) AS BIGINT) AS formatted_chars
         FROM run GROUP BY conv_id
     """,
+    "op12_automaton_infill": r"""
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+                regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens
+            FROM documents
+        ), cut AS (
+            SELECT doc_id, text, tokens, CAST(len(tokens) AS BIGINT) AS n,
+                CAST('0x' || d[1:8] AS BIGINT) % (len(tokens) + 1) AS a, CAST('0x' || d[9:16] AS BIGINT) % (len(tokens) + 1) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || d[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+                     WHEN CAST('0x' || d[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ), parts AS (
+            SELECT doc_id, text, n, form, array_to_string(tokens[1:least(a, b)], '') AS prefix,
+                array_to_string(tokens[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(tokens[greatest(a, b) + 1:n], '') AS suffix
+            FROM cut
+        )
+        SELECT doc_id, n, form,
+            CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
