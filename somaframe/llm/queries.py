@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, collision_counting, fill_middle, language_mixture, line_templates, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix, suffix_merge
+from somaframe.llm import chat_examples, collision_counting, fill_middle, language_mixture, line_templates, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix, suffix_merge, whitening
 from somaframe.llm._common import read
 
 
@@ -77,11 +77,15 @@ def op12_automaton_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op13_rowmatrix_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op4_suffix_merge, op5_quality_ftrl,
-        op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting, op12_automaton_infill,
+        op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting, op12_automaton_infill, op13_rowmatrix_whitening,
     )
 }
 
