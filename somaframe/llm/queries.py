@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaframe.llm import chat_examples, collision_counting, fill_middle, language_mixture, line_templates, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix, suffix_merge, whitening
+from somaframe.llm import chat_examples, collision_counting, fill_middle, language_mixture, line_templates, quality_boosting, quality_ftrl, quartile_digest, sentencepiece_codec, simhash_trie, source_mix, suffix_merge, whitening
 from somaframe.llm._common import read
 
 
@@ -71,6 +71,12 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_counting.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = quality_boosting.rated(docs, quality_boosting.train(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", quality_ftrl.in_test_part(F.col("doc_id"), 4, 2).alias("held_out"))
+
+
 def op12_automaton_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle.examples(read(spark, sf_dir, "documents"))
     restored = fill_middle.restore(F.col("output"), F.col("form"))
@@ -85,7 +91,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sainte_lague, op2_sentencepiece, op3_quartile_digest, op4_suffix_merge, op5_quality_ftrl,
-        op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting, op12_automaton_infill, op13_rowmatrix_whitening,
+        op6_language_mixture, op7_simhash_trie, op8_line_templates, op9_prefix_targets, op10_collision_counting, op11_boosted_rules, op12_automaton_infill, op13_rowmatrix_whitening,
     )
 }
 
