@@ -1,50 +1,85 @@
 """Cleaning beat series: finding short runs of bad beats, and splitting, dropping or refilling them.
 
 Everything runs in the order of a subject's beats (t_s, then seq), so one shuffle by subject serves a chain of
-steps. Beats that a split adds have the seq of the beat they come from and `part` 1 to k.
+steps. For recordings too long for one task, `pieces` cuts a subject's beats (functions/pieces.py); results are the same. Beats that a split adds have the seq of the beat they come from and `part` 1 to k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from somaframe.config import BeatRules
+from somaframe.functions.folders import checkpoint
 from somaframe.functions.frames import SUBJECT, centred, in_time, islands, median
+from somaframe.functions.pieces import Pieces, done, first_after, last_before
 
 RULES = BeatRules()
 
 
-def rolling_median(value: str, rows: int = RULES.median_rows) -> Column:
+def rolling_median(value: str, rows: int = RULES.median_rows, order: WindowSpec | None = None) -> Column:
     """Centred, the row itself included; null unless max(3, rows // 2) values are there."""
-    frame = centred(in_time(), rows)
+    frame = centred(order or in_time(), rows)
     return F.when(F.count(value).over(frame) >= max(3, rows // 2), median(value).over(frame))
 
 
-def candidates(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
-    """beats with `median` and `candidate`: far from the local median, out of bounds, or a jump."""
+def _near(beats: DataFrame, reach: int, work: Callable[[DataFrame, WindowSpec], DataFrame], pieces: Pieces | None) -> DataFrame:
+    """work() over a subject's beats in their order: all at once, or in pieces that see `reach` rows of their neighbours."""
+    return work(beats, in_time()) if pieces is None else pieces.around(beats, reach, work)
+
+
+def _candidates(beats: DataFrame, order: WindowSpec, rules: BeatRules) -> DataFrame:
     rr = F.col("rr_ms")
-    marked = beats.withColumn("median", rolling_median("rr_ms", rules.median_rows))
+    marked = beats.withColumn("median", rolling_median("rr_ms", rules.median_rows, order))
     far = F.try_divide(F.abs(rr - F.col("median")), F.col("median")) > rules.relative
-    jump = F.abs(rr - F.lag(rr).over(in_time())) > rules.jump
+    jump = F.abs(rr - F.lag(rr).over(order)) > rules.jump
     none = F.lit(False)
     return marked.withColumn("candidate", F.coalesce(far, none) | F.coalesce((rr < rules.low) | (rr > rules.high), none) | F.coalesce(jump, none))
 
 
-def with_runs(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
-    """candidates() with `run` (its number, for runs of at most longest_run beats) and `run_beats`."""
-    found = islands(candidates(beats, rules), F.col("candidate"), in_time(), "_run")
-    n = F.count("*").over(Window.partitionBy(SUBJECT, "_run"))
-    found = found.withColumn("_n", F.when(F.col("_run").isNotNull(), n))
+def medians(beats: DataFrame, rules: BeatRules = RULES, pieces: Pieces | None = None) -> DataFrame:
+    """beats with `median`, their rolling_median()."""
+    return done(_near(beats, _sides(rules), lambda rows, order: rows.withColumn("median", rolling_median("rr_ms", rules.median_rows, order)), pieces))
+
+
+def candidates(beats: DataFrame, rules: BeatRules = RULES, pieces: Pieces | None = None) -> DataFrame:
+    """beats with `median` and `candidate`: far from the local median, out of bounds, or a jump."""
+    return done(_near(beats, _sides(rules), lambda rows, order: _candidates(rows, order, rules), pieces))
+
+
+def _sides(rules: BeatRules) -> int:
+    return max(1, rules.median_rows // 2)
+
+
+def with_runs(beats: DataFrame, rules: BeatRules = RULES, pieces: Pieces | None = None) -> DataFrame:
+    """candidates() with `run` (its number, for runs of at most longest_run beats) and `run_beats`.
+
+    A piece sees longest_run + 1 beats of its neighbours with their marks: what it sees of a run that is longer is too long, too.
+    Runs that begin in the pieces before are added to a run's number."""
+
+    def marked(rows: DataFrame, order: WindowSpec) -> DataFrame:
+        found = _candidates(rows, order, rules)
+        found = found.withColumn("_begin", F.when(F.col("candidate") & ~F.coalesce(F.lag("candidate").over(order), F.lit(False)), 1).otherwise(0))
+        found = found.withColumn("_island", F.when(F.col("candidate"), F.sum("_begin").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+        near = [SUBJECT] if pieces is None else [SUBJECT, "_at"]
+        return found.withColumn("_n", F.when(F.col("candidate"), F.count("*").over(Window.partitionBy(*near, "_island"))))
+
+    found = _near(beats, _sides(rules) + rules.longest_run + 1, marked, pieces)
+    if pieces is not None:
+        found = pieces.carried(found, {"_begun": F.sum("_begin")}, {"_earlier": lambda w: F.coalesce(F.sum("_begun").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+        own = F.sum("_begin").over(pieces.order().rowsBetween(Window.unboundedPreceding, 0))
+        found = found.withColumn("_island", F.when(F.col("candidate"), F.col("_earlier") + own)).drop("_earlier")
     short = F.col("_n") <= rules.longest_run
-    return found.withColumns({"run": F.when(short, F.col("_run")), "run_beats": F.when(short, F.col("_n"))}).drop("_run", "_n")
+    return done(found.withColumns({"run": F.when(short, F.col("_island")), "run_beats": F.when(short, F.col("_n"))}).drop("_begin", "_island", "_n"))
 
 
-def runs(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
+def runs(beats: DataFrame, rules: BeatRules = RULES, pieces: Pieces | None = None) -> DataFrame:
     """One row for each short run: beats, times, and whether neighbours compensate each other (half of the pairs
     of adjacent beats sum to about twice the local median)."""
     pair = Window.partitionBy(SUBJECT, "run").orderBy("t_s", "seq")
-    found = with_runs(beats, rules).where("run IS NOT NULL")
+    found = with_runs(beats, rules, pieces).where("run IS NOT NULL")
     twice = 2 * F.coalesce("median", "rr_ms")
     off = F.when(twice > 0, F.abs(F.col("rr_ms") + F.lead("rr_ms").over(pair) - twice) / twice < rules.pair_tolerance)
     found = found.withColumn("_ok", off)
@@ -54,15 +89,13 @@ def runs(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
     )
 
 
-def split_multiples(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
+def split_multiples(beats: DataFrame, rules: BeatRules = RULES, pieces: Pieces | None = None) -> DataFrame:
     """Long beats that are k local medians become k equal ones over the time since the beat before."""
-    order = in_time()
     rr, m = F.col("rr_ms"), F.col("_m")
     k = F.bround(F.try_divide(rr, m)).cast("int")
-    dt = F.col("t_s") - F.lag("t_s").over(order)
-    marked = beats.withColumn("_m", rolling_median("rr_ms", rules.median_rows)).withColumns({"_k": k, "_dt": dt})
+    marked = _near(beats, _sides(rules), lambda rows, order: rows.withColumn("_m", rolling_median("rr_ms", rules.median_rows, order)).withColumns({"_k": k, "_dt": F.col("t_s") - F.lag("t_s").over(order)}), pieces)
     fits = (rr >= rules.multiple_least) & F.col("_k").between(2, rules.multiple_most) & (F.abs(rr - F.col("_k") * m) / (F.col("_k") * m) < rules.multiple_tolerance) & (F.col("_dt") > 0)
-    marked = marked.withColumn("_k", F.when(F.coalesce(fits, F.lit(False)), F.col("_k")).otherwise(1))
+    marked = done(marked).withColumn("_k", F.when(F.coalesce(fits, F.lit(False)), F.col("_k")).otherwise(1))
     cut = marked.withColumn("part", F.explode(F.sequence(F.lit(1), "_k")))
     many = F.col("_k") > 1
     return cut.withColumns({
@@ -71,42 +104,44 @@ def split_multiples(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
     }).drop("_m", "_k", "_dt")
 
 
-def dropped(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
+def dropped(beats: DataFrame, rules: BeatRules = RULES, pieces: Pieces | None = None) -> DataFrame:
     """Beats outside short runs."""
-    return with_runs(beats, rules).where("run IS NULL").drop("median", "candidate", "run", "run_beats")
-
+    return with_runs(beats, rules, pieces).where("run IS NULL").drop("median", "candidate", "run", "run_beats")
 
-def _neighbours(order: Column | object, bad: Column) -> tuple[Column, Column, Column, Column]:
-    """Value and time of the last good beat before and the first good one after."""
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    v, t = F.when(~bad, F.col("rr_ms")), F.when(~bad, F.col("t_s"))
-    return F.last(v, True).over(before), F.last(t, True).over(before), F.first(v, True).over(after), F.first(t, True).over(after)
 
-
-def _line(bad: Column) -> Column:
-    """Linear in time between good neighbours; before the first and after the last, the nearest."""
-    v0, t0, v1, t1 = _neighbours(in_time(), bad)
-    line = v0 + (v1 - v0) * F.try_divide(F.col("t_s") - t0, t1 - t0)
-    return F.when(bad, F.coalesce(line, v0, v1)).otherwise(F.col("rr_ms"))
+def _between_good(rows: DataFrame, bad: Column, pieces: Pieces | None, **more: Column) -> DataFrame:
+    """rows with _v0 and _t0, value and time of the last good beat before, _v1 and _t1, of the first good one after, and the same of `more`."""
+    fields = {"_v": F.when(~bad, F.col("rr_ms")), "_t": F.when(~bad, F.col("t_s")), **more}
+    order = in_time()
+    if pieces is not None:
+        rows, order = pieces.ranked(rows), pieces.order()
+    rows = last_before(rows, order, {f"{n}0": c for n, c in fields.items()}, pieces)
+    return done(first_after(rows, order, {f"{n}1": c for n, c in fields.items()}, pieces))
 
 
-def linear_fill(beats: DataFrame, bad: str = "bad") -> DataFrame:
-    """beats with the values of bad rows interpolated in time."""
-    return beats.withColumn("_v", _line(F.coalesce(F.col(bad), F.lit(True)))).withColumn("rr_ms", F.col("_v")).drop("_v")
+def linear_fill(beats: DataFrame, bad: str = "bad", pieces: Pieces | None = None) -> DataFrame:
+    """beats with the values of bad rows interpolated linearly in time between good neighbours; before the first and after the last, the nearest."""
+    marked = F.coalesce(F.col(bad), F.lit(True))
+    rows = _between_good(beats, marked, pieces)
+    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide(F.col("t_s") - F.col("_t0"), F.col("_t1") - F.col("_t0"))
+    filled = F.when(marked, F.coalesce(line, "_v0", "_v1")).otherwise(F.col("rr_ms"))
+    return rows.withColumn("rr_ms", filled).drop("_v0", "_t0", "_v1", "_t1")
 
 
-def cubic_fill(beats: DataFrame, bad: str = "bad") -> DataFrame:
+def cubic_fill(beats: DataFrame, bad: str = "bad", pieces: Pieces | None = None) -> DataFrame:
     """beats with bad rows filled by the monotone cubic through the good ones (Fritsch and Carlson), in time.
 
     Slopes at good beats come from windows over good beats only; a bad row takes values and slopes of its
     good neighbours. The ends take the nearest value. With fewer than two good beats, linear_fill()."""
-    order = in_time()
-    good = beats.where(~F.coalesce(F.col(bad), F.lit(True)))
-    h0, h1 = F.col("t_s") - F.lag("t_s").over(order), F.lead("t_s").over(order) - F.col("t_s")
-    d0 = F.try_divide(F.col("rr_ms") - F.lag("rr_ms").over(order), h0)
-    d1 = F.try_divide(F.lead("rr_ms").over(order) - F.col("rr_ms"), h1)
-    good = good.withColumns({"_h0": h0, "_h1": h1, "_d0": d0, "_d1": d1})
-    good = good.withColumns({"_dm": F.lag("_d0").over(order), "_hm": F.lag("_h0").over(order), "_dp": F.lead("_d1").over(order), "_hp": F.lead("_h1").over(order)})
+
+    def steps(rows: DataFrame, order: WindowSpec) -> DataFrame:
+        h0, h1 = F.col("t_s") - F.lag("t_s").over(order), F.lead("t_s").over(order) - F.col("t_s")
+        d0 = F.try_divide(F.col("rr_ms") - F.lag("rr_ms").over(order), h0)
+        d1 = F.try_divide(F.lead("rr_ms").over(order) - F.col("rr_ms"), h1)
+        rows = rows.withColumns({"_h0": h0, "_h1": h1, "_d0": d0, "_d1": d1})
+        return rows.withColumns({"_dm": F.lag("_d0").over(order), "_hm": F.lag("_h0").over(order), "_dp": F.lead("_d1").over(order), "_hp": F.lead("_h1").over(order)})
+
+    good = _near(beats.where(~F.coalesce(F.col(bad), F.lit(True))), 2, steps, pieces)
 
     def end(h: Column, d: Column, h2: Column, d2: Column) -> Column:
         """Three-point slope at an end, kept monotone."""
@@ -119,10 +154,7 @@ def cubic_fill(beats: DataFrame, bad: str = "bad") -> DataFrame:
     slope = F.when(F.col("_d0").isNull(), end(F.col("_h1"), F.col("_d1"), F.col("_hp"), F.col("_dp"))).when(F.col("_d1").isNull(), end(F.col("_h0"), F.col("_d0"), F.col("_hm"), F.col("_dm"))).otherwise(inner)
     sloped = good.select(SUBJECT, "t_s", "seq", slope.alias("_slope"))
     rows = beats.join(sloped, [SUBJECT, "t_s", "seq"], "left").withColumn("_bad", F.coalesce(F.col(bad), F.lit(True)))
-    v0, t0, v1, t1 = _neighbours(order, F.col("_bad"))
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    m0, m1 = F.last("_slope", True).over(before), F.first("_slope", True).over(after)
-    rows = rows.withColumns({"_v0": v0, "_t0": t0, "_v1": v1, "_t1": t1, "_m0": m0, "_m1": m1})
+    rows = _between_good(rows, F.col("_bad"), pieces, _m=F.col("_slope"))
     h = F.col("_t1") - F.col("_t0")
     s = F.try_divide(F.col("t_s") - F.col("_t0"), h)
     cubic = (2 * s**3 - 3 * s**2 + 1) * F.col("_v0") + (s**3 - 2 * s**2 + s) * h * F.col("_m0") + (-2 * s**3 + 3 * s**2) * F.col("_v1") + (s**3 - s**2) * h * F.col("_m1")
@@ -131,29 +163,33 @@ def cubic_fill(beats: DataFrame, bad: str = "bad") -> DataFrame:
     return rows.withColumn("rr_ms", filled).drop("_slope", "_bad", "_v0", "_t0", "_v1", "_t1", "_m0", "_m1")
 
 
-def weighted_fill(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:
+def weighted_fill(beats: DataFrame, rules: BeatRules = RULES, pieces: Pieces | None = None) -> DataFrame:
     """Single bad beats become the mean of their neighbours, weighted by nearness in time; longer runs are left."""
-    order = in_time()
-    found = with_runs(beats, rules)
-    before, after = F.col("t_s") - F.lag("t_s").over(order), F.lead("t_s").over(order) - F.col("t_s")
-    mean = (F.lag("rr_ms").over(order) * after + F.lead("rr_ms").over(order) * before) / (before + after)
-    fits = (F.col("run_beats") == 1) & (before > 0) & (after > 0)
+
+    def beside(rows: DataFrame, order: WindowSpec) -> DataFrame:
+        return rows.withColumns({"_a": F.lag("rr_ms").over(order), "_c": F.lead("rr_ms").over(order), "_da": F.col("t_s") - F.lag("t_s").over(order), "_dc": F.lead("t_s").over(order) - F.col("t_s")})
+
+    found = with_runs(done(_near(beats, 1, beside, pieces)), rules, pieces)
+    mean = (F.col("_a") * F.col("_dc") + F.col("_c") * F.col("_da")) / (F.col("_da") + F.col("_dc"))
+    fits = (F.col("run_beats") == 1) & (F.col("_da") > 0) & (F.col("_dc") > 0)
     found = found.withColumn("_v", F.when(fits, mean))
-    return found.withColumns({"rr_ms": F.coalesce("_v", "rr_ms"), "bad": F.col("run").isNotNull() & F.col("_v").isNull()}).drop("_v", "median", "candidate", "run", "run_beats")
+    return found.withColumns({"rr_ms": F.coalesce("_v", "rr_ms"), "bad": F.col("run").isNotNull() & F.col("_v").isNull()}).drop("_v", "_a", "_c", "_da", "_dc", "median", "candidate", "run", "run_beats")
 
 
-def cleaned(beats: DataFrame, methods: tuple[str, ...] = ("split", "interp"), rules: BeatRules = RULES, fill: str = "pchip") -> DataFrame:
-    """The steps in order, split always first; each finds bad beats anew."""
-    out = split_multiples(beats, rules).drop("part") if "split" in methods else beats
+def cleaned(beats: DataFrame, methods: tuple[str, ...] = ("split", "interp"), rules: BeatRules = RULES, fill: str = "pchip", pieces: Pieces | None = None) -> DataFrame:
+    """The steps in order, split always first; each finds bad beats anew. In pieces, each reads its input several times, so
+    marks and the results of steps are written to the checkpoint folder on the way."""
+    kept = checkpoint if pieces is not None else lambda df: df
+    out = kept(split_multiples(beats, rules, pieces).drop("part")) if "split" in methods else beats
     filler = cubic_fill if fill == "pchip" else linear_fill
     for method in methods:
         if method == "interp":
-            marked = with_runs(out, rules).withColumn("bad", F.col("run").isNotNull())
-            out = filler(marked).select(*out.columns)
+            marked = kept(with_runs(out, rules, pieces).withColumn("bad", F.col("run").isNotNull()))
+            out = kept(filler(marked, pieces=pieces).select(*out.columns))
         elif method == "delete":
-            out = dropped(out, rules).select(*out.columns)
+            out = kept(dropped(out, rules, pieces).select(*out.columns))
         elif method == "fill":
-            out = filler(weighted_fill(out, rules)).select(*out.columns)
+            out = kept(filler(kept(weighted_fill(out, rules, pieces)), pieces=pieces).select(*out.columns))
         elif method != "split":
             raise ValueError(f"unknown method {method}")
     return out
@@ -195,29 +231,40 @@ def merged_intervals(intervals: DataFrame, start: str = "start", end: str = "end
     return grouped.groupBy(SUBJECT, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
-def ecg_marks(beats: DataFrame, rules: BeatRules = RULES, low_share: float = 0.9) -> DataFrame:
+def ecg_marks(beats: DataFrame, rules: BeatRules = RULES, low_share: float = 0.9, pieces: Pieces | None = None) -> DataFrame:
     """beats with `bad` and `low` marks for series from an ECG: out of bounds, a relative jump, far from the median
     of five (edges repeated), and short beats below a share of it."""
-    order = in_time()
     value = F.col("rr_ms")
-    first = F.first("rr_ms").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last("rr_ms").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    five = F.array(*(F.coalesce(F.lag("rr_ms", k).over(order), first) for k in (2, 1)), value, *(F.coalesce(F.lead("rr_ms", k).over(order), last) for k in (1, 2)))
-    marked = beats.withColumn("median5", F.element_at(F.sort_array(five), 3))
-    jump = F.abs(value - F.lag("rr_ms").over(order)) / F.lag("rr_ms").over(order) > rules.relative
+    if pieces is None:
+        whole = in_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        beats = beats.withColumns({"_first": F.first("rr_ms").over(whole), "_last": F.last("rr_ms").over(whole)})
+    else:
+        whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ends = {"_first": lambda w: F.first("_f").over(whole(w)), "_last": lambda w: F.last("_l").over(whole(w))}
+        beats = done(pieces.carried(pieces.ranked(beats), {"_f": F.min_by("rr_ms", "_rank"), "_l": F.max_by("rr_ms", "_rank")}, ends))
+
+    def five(rows: DataFrame, order: WindowSpec) -> DataFrame:
+        near = F.array(*(F.coalesce(F.lag("rr_ms", k).over(order), "_first") for k in (2, 1)), value, *(F.coalesce(F.lead("rr_ms", k).over(order), "_last") for k in (1, 2)))
+        return rows.withColumns({"median5": F.element_at(F.sort_array(near), 3), "_before": F.lag("rr_ms").over(order)})
+
+    marked = done(_near(beats, 2, five, pieces))
+    jump = F.abs(value - F.col("_before")) / F.col("_before") > rules.relative
     off = F.abs(value - F.col("median5")) / F.col("median5") > rules.relative
     none = F.lit(False)
     bad = (value < rules.low) | (value > rules.high) | F.coalesce(jump, none) | F.coalesce(off, none)
-    return marked.withColumns({"bad": F.coalesce(bad, none), "low": F.coalesce(value < low_share * F.col("median5"), none)})
+    return marked.withColumns({"bad": F.coalesce(bad, none), "low": F.coalesce(value < low_share * F.col("median5"), none)}).drop("_first", "_last", "_before")
 
 
-def smoothed_near(beats: DataFrame, near: str = "near") -> DataFrame:
+def smoothed_near(beats: DataFrame, near: str = "near", pieces: Pieces | None = None) -> DataFrame:
     """The median of three on marked beats and their direct neighbours; a subject's ends stay."""
-    order = in_time()
-    close = F.coalesce(F.col(near), F.lit(False)) | F.coalesce(F.lag(near).over(order), F.lit(False)) | F.coalesce(F.lead(near).over(order), F.lit(False))
-    a, b, c = F.lag("rr_ms").over(order), F.col("rr_ms"), F.lead("rr_ms").over(order)
-    mid = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
-    return beats.withColumn("_v", F.when(close & a.isNotNull() & c.isNotNull(), mid).otherwise(b)).withColumn("rr_ms", F.col("_v")).drop("_v")
+
+    def work(rows: DataFrame, order: WindowSpec) -> DataFrame:
+        close = F.coalesce(F.col(near), F.lit(False)) | F.coalesce(F.lag(near).over(order), F.lit(False)) | F.coalesce(F.lead(near).over(order), F.lit(False))
+        a, b, c = F.lag("rr_ms").over(order), F.col("rr_ms"), F.lead("rr_ms").over(order)
+        mid = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+        return rows.withColumn("_v", F.when(close & a.isNotNull() & c.isNotNull(), mid).otherwise(b))
+
+    return done(_near(beats, 1, work, pieces)).withColumn("rr_ms", F.col("_v")).drop("_v")
 
 
 def cleaned_ecg(beats: DataFrame, rules: BeatRules = RULES) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somaframe.functions.folders import checkpoint
+from somaframe.functions.pieces import Pieces
 from somaframe.operators import beats as B
 from somaframe.operators import cleaning as C
 from somaframe.operators import time_domain as T
 from somaframe.operators import windows as W
-from somaframe.plans.registry import query
+from somaframe.plans.registry import ORACLES, query
 from somaframe.plans.window_queries import DAY, SQL_DAYS, day_windows
 from somaframe.sources import sample_views as V
 
@@ -335,3 +337,67 @@ def clean_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT subject_id, bool_or(d > 0.15) AS both_bad FROM de GROUP BY 1""")
 def both_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.both_bad(V.beats(spark, sf_dir), V.beats2(spark, sf_dir), reach=100000.0)
+
+
+# --- the same in pieces of a subject's beats: results, and so the SQL, are those of one window over all of them ---
+
+#: A user of the sample tables has some dozens of beats, hours apart.
+CUT = Pieces(rows=20, seconds=5 * DAY)
+
+
+@query(ORACLES["rolling_median"])
+def rolling_median_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.medians(V.beats(spark, sf_dir), pieces=CUT), "median").select("subject_id", "seq", "median")
+
+
+@query(ORACLES["spike_candidates"])
+def spike_candidates_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.candidates(V.beats(spark, sf_dir), pieces=CUT).select("subject_id", "seq", "candidate")
+
+
+@query(ORACLES["spike_runs"])
+def spike_runs_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.runs(V.beats(spark, sf_dir), pieces=CUT), "t_start", "t_end", digits=3).select("subject_id", "n_beats", "t_start", "t_end")
+
+
+@query(ORACLES["compensation"])
+def compensation_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.runs(V.beats(spark, sf_dir), pieces=CUT), "t_start", digits=3).select("subject_id", "t_start", "compensation")
+
+
+@query(ORACLES["split_multiples"])
+def split_multiples_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.split_multiples(V.beats(spark, sf_dir), pieces=CUT), "t_s", "rr_ms", digits=3).select("subject_id", "seq", "part", "t_s", "rr_ms")
+
+
+@query(ORACLES["repair_delete"])
+def repair_delete_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.dropped(V.beats(spark, sf_dir), pieces=CUT), "rr_ms").select("subject_id", "seq", "rr_ms")
+
+
+@query(ORACLES["repair_fill"])
+def repair_fill_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.weighted_fill(V.beats(spark, sf_dir), pieces=CUT), "rr_ms").select("subject_id", "seq", "rr_ms", "bad")
+
+
+@query(ORACLES["repair_linear"])
+def repair_linear_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = C.with_runs(V.beats(spark, sf_dir), pieces=CUT).withColumn("bad", F.col("run").isNotNull())
+    return rounded(C.linear_fill(marked, pieces=CUT), "rr_ms").select("subject_id", "seq", "rr_ms")
+
+
+@query(ORACLES["repair_pchip"])
+def repair_pchip_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = checkpoint(C.with_runs(V.beats(spark, sf_dir), pieces=CUT).withColumn("bad", F.col("run").isNotNull()))
+    return rounded(C.cubic_fill(marked, pieces=CUT), "rr_ms", digits=4).select("subject_id", "seq", "rr_ms")
+
+
+@query(ORACLES["ecg_marks"])
+def ecg_marks_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.ecg_marks(V.beats(spark, sf_dir), pieces=CUT).select("subject_id", "seq", "bad", "low")
+
+
+@query(ORACLES["median3_smooth"])
+def median3_smooth_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats = V.beats(spark, sf_dir).withColumn("near", F.col("seq") % 11 == 0)
+    return rounded(C.smoothed_near(beats, pieces=CUT), "rr_ms").select("subject_id", "seq", "rr_ms")

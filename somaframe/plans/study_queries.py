@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from somaframe.functions import names as N
+from somaframe.functions.folders import new
 from somaframe.operators import beats as B
 from somaframe.operators import cleaning as C
 from somaframe.operators import ingest as I
@@ -34,17 +31,9 @@ from somaframe.sources import sample_views as V
 # --- sources: tables are written to a new shared folder and read back ---
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder: below spark.checkpoint.dir, which driver and executors share; on one machine without it, a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not re.match(r"local(\\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-    return f"{shared or tempfile.mkdtemp(prefix='somaframe-')}/tables-{uuid.uuid4().hex}"
-
-
 @query("SELECT o_orderkey AS id, o_orderpriority AS priority, o_totalprice AS price FROM orders")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
+    path = new(spark)
     X.write_csv(V.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), path)
     return X.read_csv(spark, path).select(F.col("o_orderkey").cast("bigint").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").cast("double").alias("price"))
 
@@ -52,14 +41,14 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS id, c_mktsegment AS segment FROM customer")
 def csv_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by semicolons are told from the first line."""
-    path = folder(spark)
+    path = new(spark)
     V.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").write.csv(path, header=True, sep=";")
     return X.read_csv(spark, path).select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_mktsegment").alias("segment"))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark)}.parquet"
+    path = f"{new(spark)}.parquet"
     X.write_parquet(V.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, ["o_orderstatus"])
     return X.read_table(spark, path).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
@@ -67,14 +56,14 @@ def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS subject_id, true AS absent FROM customer")
 def table_if_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = X.read_table(spark, f"{sf_dir}/customer.parquet", {"c_custkey": "subject_id"})
-    return found.select("subject_id", F.lit(X.read_table(spark, f"{folder(spark)}.parquet") is None).alias("absent"))
+    return found.select("subject_id", F.lit(X.read_table(spark, f"{new(spark)}.parquet") is None).alias("absent"))
 
 
 @query("SELECT user_id AS subject_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def first_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first table lacks a column, the second has no time that is a number, the third has all."""
     rows = V.table(spark, sf_dir, "events").select("user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("time_s"))
-    paths = [f"{folder(spark)}.parquet", folder(spark), f"{folder(spark)}.parquet"]
+    paths = [f"{new(spark)}.parquet", new(spark), f"{new(spark)}.parquet"]
     X.write_parquet(rows.select("user_id", "value"), paths[0])
     X.write_csv(rows.withColumn("time_s", F.lit("none")), paths[1])
     X.write_parquet(rows, paths[2])
@@ -83,7 +72,7 @@ def first_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT 'rec' || (event_id % 3) AS name, event_id AS i, value AS v FROM events) SELECT name, signal, round(i / 250.0::DOUBLE, 6) AS time_s, round(CASE signal WHEN 'ecg' THEN v ELSE -v END, 6) AS value, 250.0::DOUBLE AS fs_hz FROM r CROSS JOIN (VALUES ('ecg'), ('resp')) s(signal)""")
 def records_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark)}.parquet"
+    path = f"{new(spark)}.parquet"
     X.write_parquet(V.table(spark, sf_dir, "events").select(F.concat(F.lit("rec"), F.col("event_id") % 3).alias("name"), F.col("event_id").alias("i"), F.col("value").alias("ECG II"), (-F.col("value")).alias("RESP belt")), path)
     return rounded(X.load("records", spark, folder=path, rate=250.0), "time_s", "value")
 
