@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from somaframe.config import BreathRules
 from somaframe.functions import kernels as K
 from somaframe.functions.frames import islands, median, spread
+from somaframe.functions.sweep import inside
 from somaframe.operators.time_domain import KEY
 
 RULES = BreathRules()
@@ -257,39 +258,39 @@ def breaths(peaks: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RU
     return runs.join(best, [*keys, "span", "_run"]).select(*keys, "span", F.col("t_peak").alias("t0"), F.col("_next").alias("t1"))
 
 
-def sinus_arrhythmia(breaths: DataFrame, beats: DataFrame, resp: DataFrame | None = None, keys: Sequence[str] = KEY, rules: BreathRules = RULES) -> DataFrame:
+def _ranges(breaths: DataFrame, points: DataFrame, time: str, value: str, keys: Sequence[str], seconds: float | None) -> DataFrame:
+    """keys, span, t0, _range (highest less lowest value in the breath) and _n, of the breaths that hold any point."""
+    found = inside(breaths.select(*keys, "span", "t0", "t1"), points.select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v")), "_t", keys, seconds)
+    return found.groupBy(*keys, "span", "t0").agg((F.max("_v") - F.min("_v")).alias("_range"), F.count("*").alias("_n"))
+
+
+def sinus_arrhythmia(breaths: DataFrame, beats: DataFrame, resp: DataFrame | None = None, keys: Sequence[str] = KEY, rules: BreathRules = RULES, seconds: float | None = None) -> DataFrame:
     """keys, rsa_ms (mean over breaths of the range of beats in one), rsa_log_ms, resp_rate_bpm, n_breaths_used, and with
-    resp its amplitude. Breaths need least_beats beats, windows least_breaths breaths. Times of both share an origin."""
-    own = beats.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("t_s").alias("_t"), "rr_ms")
-    inside = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_t") >= F.col("t0"), F.col("_t") < F.col("t1")]
-    each = breaths.join(own, inside).groupBy(*keys, "span", "t0").agg((F.max("rr_ms") - F.min("rr_ms")).alias("_range"), F.count("*").alias("_n")).where(F.col("_n") >= rules.least_beats)
+    resp its amplitude. Breaths need least_beats beats, windows least_breaths breaths. Times of both share an origin.
+    seconds: the width of the cells that a long window is cut into (functions/sweep.py)."""
+    each = _ranges(breaths, beats, "t_s", "rr_ms", keys, seconds).where(F.col("_n") >= rules.least_beats)
     rsa = each.groupBy(*keys).agg(F.avg("_range").alias("rsa_ms"), F.count("*").alias("n_breaths_used")).where(F.col("n_breaths_used") >= rules.least_breaths)
     rate = breaths.groupBy(*keys).agg((60 / median(F.col("t1") - F.col("t0"))).alias("resp_rate_bpm"))
     out = rate.join(rsa, list(keys), "left").withColumn("rsa_log_ms", F.when(F.col("rsa_ms") > 0, F.ln("rsa_ms")))
     if resp is not None:
-        wave = resp.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("time_s").alias("_t"), F.col("value").alias("_v"))
-        depth = breaths.join(wave, inside).groupBy(*keys, "span", "t0").agg((F.max("_v") - F.min("_v")).alias("_ptp"))
-        depth = depth.groupBy(*keys).agg(F.avg("_ptp").alias("resp_amp"))
+        depth = _ranges(breaths, resp, "time_s", "value", keys, seconds).groupBy(*keys).agg(F.avg("_range").alias("resp_amp"))
         out = out.join(depth, list(keys), "left").withColumn("resp_log_amp", F.when(F.col("resp_amp") > 0, F.ln("resp_amp")))
     return out
 
 
-def window_arrhythmia(breaths: DataFrame, beats: DataFrame, resp: DataFrame | None = None, keys: Sequence[str] = KEY, rules: BreathRules = RULES) -> DataFrame:
+def window_arrhythmia(breaths: DataFrame, beats: DataFrame, resp: DataFrame | None = None, keys: Sequence[str] = KEY, rules: BreathRules = RULES, seconds: float | None = None) -> DataFrame:
     """keys, rsa_ms, rsa_log_ms, resp_amp, resp_log_amp, resp_rate_bpm, n_breaths_used, rsa_method: spans rolled up to windows.
 
     A span needs least_breaths breaths with least_beats beats each. The window has the mean of its spans' means of ranges (and
     of depths), and the median of their rates; without such a span it is unavailable."""
-    own = beats.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("t_s").alias("_t"), "rr_ms")
-    inside = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_t") >= F.col("t0"), F.col("_t") < F.col("t1")]
-    each = breaths.join(own, inside).groupBy(*keys, "span", "t0").agg((F.max("rr_ms") - F.min("rr_ms")).alias("_range"), F.count("*").alias("_n")).where(F.col("_n") >= rules.least_beats)
+    each = _ranges(breaths, beats, "t_s", "rr_ms", keys, seconds).where(F.col("_n") >= rules.least_beats)
     spans = each.groupBy(*keys, "span").agg(F.avg("_range").alias("_rsa"), F.count("*").alias("_k")).where(F.col("_k") >= rules.least_breaths)
     spans = spans.join(breaths.groupBy(*keys, "span").agg((60 / median(F.col("t1") - F.col("t0"))).alias("_rate")), [*keys, "span"])
     if resp is None:
         spans = spans.withColumn("_amp", F.lit(None).cast("double"))
     else:
-        wave = resp.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("time_s").alias("_t"), F.col("value").alias("_v"))
-        depth = breaths.join(wave, inside).groupBy(*keys, "span", "t0").agg((F.max("_v") - F.min("_v")).alias("_ptp"))
-        spans = spans.join(depth.groupBy(*keys, "span").agg(F.avg("_ptp").alias("_amp")), [*keys, "span"], "left")
+        depth = _ranges(breaths, resp, "time_s", "value", keys, seconds)
+        spans = spans.join(depth.groupBy(*keys, "span").agg(F.avg("_range").alias("_amp")), [*keys, "span"], "left")
     rolled = spans.groupBy(*keys).agg(F.avg("_rsa").alias("rsa_ms"), F.avg("_amp").alias("resp_amp"), median("_rate").alias("resp_rate_bpm"), F.sum("_k").alias("_used"))
     found = breaths.select(*keys).distinct().join(rolled, list(keys), "left")
     log = lambda c: F.when(F.col(c) > 0, F.ln(c)).alias(c.replace("_ms", "").replace("_amp", "") + ("_log_ms" if c.endswith("_ms") else "_log_amp"))

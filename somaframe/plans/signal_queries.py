@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from somaframe.config import BreathRules
@@ -12,7 +12,7 @@ from somaframe.operators import mixed_model as M
 from somaframe.operators import respiration as R
 from somaframe.plans.beat_queries import rounded
 from somaframe.plans.frequency_queries import SQL_RESP
-from somaframe.plans.registry import query
+from somaframe.plans.registry import ORACLES, query
 from somaframe.sources import sample_views as V
 from somaframe.streaming import windows as ST
 
@@ -73,8 +73,6 @@ PEAK_STEP = "4 + (seq % 5) * 1.5"
 def spaced_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breath peaks laid out from beats: gaps of 4 to 10 seconds, every thirteenth 12."""
     gap = F.when(F.col("seq") % 13 == 0, 12.0).otherwise(4 + (F.col("seq") % 5) * 1.5)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("subject_id").orderBy("t_s", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return V.beats(spark, sf_dir).select("subject_id", F.lit(1).alias("span"), F.sum(gap).over(order).alias("t_peak"))
 
@@ -91,25 +89,32 @@ def longest_valid_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.breaths(spaced_peaks(spark, sf_dir), KEYS), "t0", "t1", digits=3).select("subject_id", "t0", "t1")
 
 
+def summed_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats at the running sum of their intervals."""
+    order = Window.partitionBy("subject_id").orderBy("t_s", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return V.beats(spark, sf_dir).withColumn("t_s", F.sum("rr_ms").over(order) / 1000)
+
+
 @query(f"""{SQL_PEAKS}, bt AS (SELECT subject_id, rr_ms, sum(rr_ms) OVER (PARTITION BY subject_id ORDER BY t_s, seq ROWS UNBOUNDED PRECEDING) / 1000 AS t FROM beats),
     ea AS (SELECT bre.subject_id, bre.t0, max(rr_ms) - min(rr_ms) AS r FROM bre JOIN bt ON bt.subject_id = bre.subject_id AND t >= t0 AND t < t1 GROUP BY 1, 2 HAVING count(*) >= 2),
     rs AS (SELECT subject_id, avg(r) AS rsa, count(*) AS nb FROM ea GROUP BY 1 HAVING count(*) >= 2), rt AS (SELECT subject_id, 60 / median(t1 - t0) AS rate FROM bre GROUP BY 1)
     SELECT rt.subject_id, round(rsa, 6) AS rsa_ms, round(ln(rsa), 6) AS rsa_log_ms, round(rate, 6) AS resp_rate_bpm, nb::DOUBLE AS n_breaths_used FROM rt LEFT JOIN rs ON rs.subject_id = rt.subject_id""")
 def rsa_per_breath(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("subject_id").orderBy("t_s", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    beats = V.beats(spark, sf_dir).withColumn("t_s", F.sum("rr_ms").over(order) / 1000)
+    beats = summed_beats(spark, sf_dir)
     found = R.sinus_arrhythmia(R.breaths(spaced_peaks(spark, sf_dir), KEYS), beats, keys=KEYS)
     return rounded(found, "rsa_ms", "rsa_log_ms", "resp_rate_bpm").select("subject_id", "rsa_ms", "rsa_log_ms", "resp_rate_bpm", F.col("n_breaths_used").cast("double").alias("n_breaths_used"))
 
 
+@query(ORACLES["rsa_per_breath"])
+def rsa_per_breath_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a user's time cut into cells of 20 seconds, about three breaths."""
+    found = R.sinus_arrhythmia(R.breaths(spaced_peaks(spark, sf_dir), KEYS), summed_beats(spark, sf_dir), keys=KEYS, seconds=20.0)
+    return rounded(found, "rsa_ms", "rsa_log_ms", "resp_rate_bpm").select("subject_id", "rsa_ms", "rsa_log_ms", "resp_rate_bpm", F.col("n_breaths_used").cast("double").alias("n_breaths_used"))
+
+
 @query()
 def rsa_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("subject_id").orderBy("t_s", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    beats = V.beats(spark, sf_dir).withColumn("t_s", F.sum("rr_ms").over(order) / 1000)
+    beats = summed_beats(spark, sf_dir)
     resp = V.resp(spark, sf_dir)
     return R.sinus_arrhythmia(R.breaths(R.breath_peaks(resp, KEYS, TEN_HZ), KEYS), beats, resp, KEYS)
 
