@@ -6,6 +6,8 @@ Each works on one series that a Spark group holds; none keeps state or reads fil
 from __future__ import annotations
 
 import math
+from decimal import Decimal, localcontext
+from functools import lru_cache
 
 import numpy as np
 
@@ -36,9 +38,7 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct form II, transposed; sample by sample, as powers of the recursion lose all digits at low bands."""
-    if len(b) == 7:
-        return _run_seven(b.tolist(), a.tolist(), x.tolist(), state.tolist())
+    """Direct form II, transposed, sample by sample: what Modes gives block by block."""
     b0, bs, as_, z = float(b[0]), b[1:].tolist(), a[1:].tolist(), [*state.tolist(), 0.0]
     out, n = [], len(bs)
     for v in x.tolist():
@@ -49,21 +49,89 @@ def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -
     return np.array(out)
 
 
-def _run_seven(b: list[float], a: list[float], x: list[float], state: list[float]) -> np.ndarray:
-    """run_filter() for third-order band-passes, without an inner loop."""
-    b0, b1, b2, b3, b4, b5, b6 = b
-    _, a1, a2, a3, a4, a5, a6 = a
-    z1, z2, z3, z4, z5, z6 = state
-    out = [0.0] * len(x)
-    for i, v in enumerate(x):
-        out[i] = y = b0 * v + z1
-        z1 = z2 + b1 * v - a1 * y
-        z2 = z3 + b2 * v - a2 * y
-        z3 = z4 + b3 * v - a3 * y
-        z4 = z5 + b4 * v - a4 * y
-        z5 = z6 + b5 * v - a5 * y
-        z6 = b6 * v - a6 * y
-    return np.array(out)
+#: Samples of a block, decimal digits in which a filter is taken apart, and how near to each other its poles may be.
+BLOCK, DIGITS, NEAREST = 256, 80, 1e-7
+
+
+class Modes:
+    """A filter as a sum of one-pole recursions, run a block of samples at a time.
+
+    A block's output is a matrix product of its samples (the impulse response) and one of the states before it (powers of the
+    poles); the states behind it are those before, times the poles to the power of the block, and a third product. The state
+    transition is diagonal, so its powers keep all digits, at low bands too, where those of the direct form lose them. Poles and
+    residues are found in DIGITS decimal digits, as low bands have poles so near to each other that doubles would blur them."""
+
+    def __init__(self, b: np.ndarray, a: np.ndarray):
+        poles, residues = _taken_apart(tuple(b.tolist()), tuple(a.tolist()))
+        self.poles, self.residues = np.array(poles), np.array(residues)
+        powers = self.poles[None] ** np.arange(BLOCK + 1)[:, None]  # row n: poles to the power n
+        response = (powers[:-1] * self.residues).sum(axis=1).real
+        response[0] = b[0]
+        lag = np.arange(BLOCK)[None] - np.arange(BLOCK)[:, None]
+        self._own = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)  # sample i to output j
+        out, into = powers[1:] * self.residues, powers[-2::-1]
+        self._from_states = np.vstack([out.real.T, -out.imag.T])
+        self._into_states = np.hstack([into.real, into.imag])
+        self._ahead = powers[-1]
+
+    def steady(self, level: float) -> np.ndarray:
+        """States under a constant input."""
+        return level / (1 - self.poles)
+
+    def run(self, x: np.ndarray, states: np.ndarray) -> np.ndarray:
+        blocks = np.zeros((-(-len(x) // BLOCK), BLOCK))
+        blocks.ravel()[: len(x)] = x
+        gained = blocks @ self._into_states
+        gained = gained[:, : len(self.poles)] + 1j * gained[:, len(self.poles) :]
+        before = np.empty_like(gained)
+        for i in range(len(blocks)):
+            before[i] = states
+            states = states * self._ahead + gained[i]
+        out = blocks @ self._own + np.hstack([before.real, before.imag]) @ self._from_states
+        return out.ravel()[: len(x)]
+
+
+@lru_cache(maxsize=256)
+def _taken_apart(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[list[complex], list[complex]]:
+    """Poles p and residues r with b / a = b[0] + the sum of r * (p / z + (p / z)^2 + ...): Newton's steps from the roots
+    found in doubles, on the polynomial with exactly these coefficients."""
+    with localcontext() as context:
+        context.prec = DIGITS
+        times = lambda u, v: (u[0] * v[0] - u[1] * v[1], u[0] * v[1] + u[1] * v[0])
+        over = lambda u, v: tuple(part / (v[0] * v[0] + v[1] * v[1]) for part in times(u, (v[0], -v[1])))
+        minus = lambda u, v: (u[0] - v[0], u[1] - v[1])
+
+        def at(coefficients: list[Decimal], z: tuple) -> tuple:
+            value = (Decimal(0), Decimal(0))
+            for c in coefficients:
+                value = times(value, z)
+                value = (value[0] + c, value[1])
+            return value
+
+        lead = [Decimal(v) for v in a]
+        slope = [c * (len(lead) - 1 - i) for i, c in enumerate(lead[:-1])]
+        poles = []
+        for root in np.roots(a):
+            z = (Decimal(float(root.real)), Decimal(float(root.imag)))
+            for _ in range(60):
+                step = over(at(lead, z), at(slope, z))
+                z = minus(z, step)
+                if abs(step[0]) + abs(step[1]) < Decimal(10) ** (10 - DIGITS):
+                    break
+            poles.append(z)
+        numerator = [Decimal(v) for v in b]
+        # b(z) / a'(z) at the pole is the residue of the function of z; that of p / z + ... is it over p
+        residues = [over(over(at(numerator, z), at(slope, z)), z) for z in poles]
+        number = lambda z: complex(float(z[0]), float(z[1]))
+        return [number(z) for z in poles], [number(z) for z in residues]
+
+
+@lru_cache(maxsize=64)
+def _modes(b: tuple[float, ...], a: tuple[float, ...]) -> Modes | None:
+    """None where poles are so near to each other that the sum of one-pole recursions would lose digits."""
+    roots = np.roots(a)
+    apart = np.abs(roots[:, None] - roots[None]) + 2.0 * np.eye(len(roots))
+    return Modes(np.array(b), np.array(a)) if apart.min() > NEAREST and np.abs(roots).max() < 1 else None
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -72,9 +140,10 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     if len(x) <= pad:
         raise ValueError("series too short for the filter")
     long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    start = steady_state(b, a)
+    modes = _modes(tuple(b.tolist()), tuple(a.tolist()))
+    start = None if modes else steady_state(b, a)
     for _ in range(2):
-        long = run_filter(b, a, long, start * long[0])[::-1]
+        long = (modes.run(long, modes.steady(long[0])) if modes else run_filter(b, a, long, start * long[0]))[::-1]
     return long[pad:-pad]
 
 
@@ -126,17 +195,28 @@ def prominences(x: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.array([x[p] - max(_lowest_before_higher(x[p::-1], x[p]), _lowest_before_higher(x[p:], x[p])) for p in found])
 
 
+def densities(parts: np.ndarray, line: bool = False) -> np.ndarray:
+    """One-sided densities, at a rate of one, of the rows, freed of their mean or line and under a periodic Hann taper.
+    Holes (NaN) count as points on the mean or line."""
+    n, at = parts.shape[1], np.arange(parts.shape[1]) - (parts.shape[1] - 1) / 2
+    there = ~np.isnan(parts)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        count = there.sum(axis=1, keepdims=True)
+        flat = np.where(there, parts - np.nansum(parts, axis=1, keepdims=True) / count, 0.0)
+        if line and n > 1:
+            place = np.where(there, at - (there * at).sum(axis=1, keepdims=True) / count, 0.0)
+            flat = flat - (flat * place).sum(axis=1, keepdims=True) / (place * place).sum(axis=1, keepdims=True) * place
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    power = np.abs(np.fft.rfft(flat * taper)) ** 2 / np.sum(taper**2)
+    power[:, 1 : (power.shape[1] - 1 if n % 2 == 0 else None)] *= 2
+    return power
+
+
 def spectrum(x: np.ndarray, rate: float, segment: int) -> tuple[np.ndarray, np.ndarray]:
-    """Welch's averaged density: half-overlapping segments without their mean, periodic Hann taper."""
+    """Welch's averaged density over half-overlapping segments without their mean."""
     n = min(len(x), segment)
-    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    parts = []
-    for at in range(0, len(x) - n + 1, n - n // 2):
-        part = x[at : at + n]
-        parts.append(np.abs(np.fft.rfft((part - part.mean()) * taper)) ** 2)
-    power = np.mean(parts, axis=0) / (rate * np.sum(taper**2))
-    power[1 : (len(power) - 1 if n % 2 == 0 else None)] *= 2
-    return np.fft.rfftfreq(n, 1 / rate), power
+    parts = np.lib.stride_tricks.sliding_window_view(x, n)[:: n - n // 2]
+    return np.fft.rfftfreq(n, 1 / rate), densities(parts).mean(axis=0) / rate
 
 
 def monotone_cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

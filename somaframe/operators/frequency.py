@@ -1,19 +1,24 @@
-"""Per-window features in the frequency domain, as relational operations.
+"""Per-window features in the frequency domain.
 
 A window's beats become an evenly spaced tachogram (linear between beats), cut into half-overlapping
-segments; each is freed of its line, tapered (periodic Hann) and summed against cosines and sines of the bins
-below 0.5 Hz. A window has few grid points and about 30 bins, and all of it is grouped by (subject, window).
+segments; each is freed of its line, tapered (periodic Hann) and transformed. Everything but the transform is
+relational, grouped by (subject, window) or by segment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from somaframe.config import SpectrumRules
+from somaframe.functions import kernels as K
 from somaframe.functions.frames import median
+from somaframe.functions.shipping import ship
 from somaframe.operators.time_domain import KEY
 
 RULES = SpectrumRules()
@@ -38,7 +43,11 @@ def tachogram(cut: DataFrame, rules: SpectrumRules = RULES, keys: Sequence[str]
 
 
 def spectrum(grid: DataFrame, rate: float = RULES.rate, segment: int = RULES.segment, line: bool = True, keys: Sequence[str] = KEY, top: float = TOP_HZ) -> DataFrame:
-    """keys, k, hz, power (density) of bins up to `top`: Welch's average over segments. line: remove a line, else the mean."""
+    """keys, k, hz, power (density) of bins up to `top`: Welch's average over segments. line: remove a line, else the mean.
+
+    A point goes to the one or two segments that hold it, whose values are gathered into an array of `segment` numbers at
+    most; all arrays of a batch are transformed at once, and one row for each bin of a segment goes on."""
+    ship(grid.sparkSession)
     whole = Window.partitionBy(*keys)
     sized = grid.withColumn("_all", F.count("*").over(whole)).withColumn("_size", F.least("_all", F.lit(segment)).cast("bigint"))
     hop = F.col("_size") - F.floor(F.col("_size") / 2)
@@ -47,18 +56,25 @@ def spectrum(grid: DataFrame, rate: float = RULES.rate, segment: int = RULES.seg
     last = F.floor(F.col("n") / F.col("_hop"))
     member = sized.withColumn("_s", F.explode(F.array(last - 1, last))).withColumn("_i", F.col("n") - F.col("_s") * F.col("_hop"))
     member = member.where("_s >= 0 AND _s < _segments AND _i < _size")
-    one = [*keys, "_s"]
-    trend = member.groupBy(*one).agg(F.regr_slope("x", F.col("_i").cast("double")).alias("_b"), F.regr_intercept("x", F.col("_i").cast("double")).alias("_a"), F.avg("x").alias("_m"))
-    flat = member.join(trend, one).withColumn("_y", F.col("x") - (F.col("_a") + F.col("_b") * F.col("_i") if line else F.col("_m")))
-    taper = 0.5 - 0.5 * F.cos(2 * F.pi() * F.col("_i") / F.col("_size"))
-    flat = flat.withColumn("_w", taper).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.lit(top) * F.col("_size") / rate))))
-    turn = 2 * F.pi() * F.pmod(F.col("k") * F.col("_i"), F.col("_size")) / F.col("_size")
-    sums = flat.groupBy(*one, "k").agg(
-        F.sum(F.col("_y") * F.col("_w") * F.cos(turn)).alias("_re"), F.sum(F.col("_y") * F.col("_w") * F.sin(turn)).alias("_im"), F.sum(F.col("_w") * F.col("_w")).alias("_ww"), F.first("_size").alias("_size")
-    )
-    twice = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("_size")), 1.0).otherwise(2.0)
-    density = twice * (F.col("_re") ** 2 + F.col("_im") ** 2) / (rate * F.col("_ww"))
-    return sums.groupBy(*keys, "k").agg(F.avg(density).alias("power"), F.first(F.col("k") * rate / F.col("_size")).alias("hz")).select(*keys, "k", "hz", "power")
+    values = F.transform(F.sort_array(F.collect_list(F.struct("_i", "x"))), lambda p: p.x)
+    arrays = member.groupBy(*keys, "_s").agg(values.alias("_x"))
+    bins = F.floor(F.lit(top) * F.size("_x") / rate) + 1
+    found = arrays.select(*keys, F.size("_x").alias("_size"), F.posexplode(F.slice(_densities("_x", F.lit(line)), F.lit(1), bins.cast("int"))).alias("k", "_p"))
+    mean = found.groupBy(*keys, "k").agg((F.avg("_p") / rate).alias("power"), F.first(F.col("k") * rate / F.col("_size")).alias("hz"))
+    return mean.select(*keys, F.col("k").cast("bigint").alias("k"), "hz", "power")
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _densities(x: pa.Array, line: pa.Array) -> pa.Array:
+    """One-sided densities at a rate of one of each array, freed of its line or mean and tapered; arrays of a length are one matrix."""
+    offsets, values = x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)
+    sizes, out = np.diff(offsets), [None] * len(x)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == size)
+        power = K.densities(values[offsets[own][:, None] + np.arange(size)], line[0].as_py())
+        for i, row in zip(own.tolist(), power, strict=True):
+            out[i] = row
+    return pa.array(out, pa.list_(pa.float64()), from_pandas=True)
 
 
 def area(low: Column | float, high: Column | float) -> Column:
