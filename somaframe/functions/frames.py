@@ -29,6 +29,7 @@ def islands(df: DataFrame, flag: Column, order: WindowSpec, name: str = "island"
 
 
 def median(value: Column | str) -> Column:
+    """Exact, from all values of a window at once; for groups that grow with a recording there is selection.percentiles()."""
     return F.percentile(value, F.lit(0.5))
 
 

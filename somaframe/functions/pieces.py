@@ -45,9 +45,9 @@ class Pieces:
         at = F.array_distinct(F.array(F.floor((F.col("_rank") - reach) / self.rows), "_piece", F.floor((F.col("_rank") + reach) / self.rows)))
         return ranked.withColumn("_at", F.explode(F.filter(at, lambda p: p >= 0)))
 
-    def around(self, df: DataFrame, reach: int, work: Callable[[DataFrame, WindowSpec], DataFrame], keys: Sequence[str] = (SUBJECT,)) -> DataFrame:
+    def around(self, df: DataFrame, reach: int, work: Callable[[DataFrame, WindowSpec], DataFrame], keys: Sequence[str] = (SUBJECT,), time: str = "t_s", tie: Sequence[str] = ("seq",)) -> DataFrame:
         """work(rows, order) over pieces with their borders; of its result the rows that a piece owns, still with _rank and _piece."""
-        return work(self.bordered(self.ranked(df, keys), reach), self.order(keys, "_at")).where("_at = _piece").drop("_at")
+        return work(self.bordered(self.ranked(df, keys, time, tie), reach), self.order(keys, "_at")).where("_at = _piece").drop("_at")
 
     @staticmethod
     def order(keys: Sequence[str] = (SUBJECT,), piece: str = "_piece") -> WindowSpec:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from somaframe.config import BeatRules, ScoreRules
 from somaframe.functions.frames import SUBJECT, in_time
+from somaframe.functions.selection import percentiles
 
 RULES, SCORES = BeatRules(), ScoreRules()
 
@@ -92,7 +93,8 @@ def activity(acc: DataFrame) -> DataFrame:
     seconds, unscaled. subject_id, second, activity."""
     size = F.sqrt(F.col("value_x") ** 2 + F.col("value_y") ** 2 + F.col("value_z") ** 2)
     each = acc.groupBy(SUBJECT, F.floor("time_s").alias("second")).agg(F.avg(F.abs(size)).alias("_v"))
-    known = each.groupBy(F.col(SUBJECT).alias("_s")).agg(F.percentile("_v", F.lit(0.05)).alias("_lo"), F.percentile("_v", F.lit(0.95)).alias("_hi"), F.count("_v").alias("_n"))
+    seconds = each.groupBy(SUBJECT).agg(F.count("_v").alias("_n"))
+    known = seconds.join(percentiles(each, "_v", (0.05, 0.95), ("_lo", "_hi"), [SUBJECT]), SUBJECT, "left").withColumnRenamed(SUBJECT, "_s")
     scaled = F.least(F.greatest(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0))
     joined = each.join(known, F.col(SUBJECT) == F.col("_s"))
     return joined.select(SUBJECT, "second", F.when(F.col("_n") < 3, F.col("_v")).otherwise(scaled).alias("activity"))

@@ -1,4 +1,4 @@
-"""Beats from an ECG: zero-phase band-pass, R peaks, intervals between them."""
+"""Beats from an ECG: zero-phase band-pass, R peaks, intervals between them; and recordings laid on an even grid."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from somaframe.functions import kernels as K
 from somaframe.functions.frames import spread
+from somaframe.functions.pieces import Pieces, done, same
+from somaframe.functions.selection import percentiles
 
 BAND, ORDER = (5.0, 20.0), 3
 LEAST_SECONDS, PROMINENCE = 0.30, 0.20
@@ -88,3 +90,41 @@ def to_beats(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), gap_factor:
         breaks = breaks.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("time_s").alias("_at"))
         beats = beats.join(breaks, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") > F.col("_before"), F.col("_at") <= F.col("t_s")], "left_anti")
     return beats.select(*keys, "seq", "t_s", "rr_ms")
+
+
+#: Bounds of the rate of an even grid; and how many of its points one row is blown up to at once.
+LEAST_RATE, MOST_RATE = 50.0, 2000.0
+GRID_BLOCK = 10_000
+
+
+def resampled(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), pieces: Pieces | None = None) -> DataFrame:
+    """keys, n, time_s, value, fs_hz: recordings on an even grid from their first sample on, linear between samples; the rate is
+    one over the median step, a whole number within bounds. Recordings of under five samples are left out.
+
+    A sample and the one after it give the grid points between them, so nothing is ordered but for that one step; a long break
+    is filled in blocks of points. Of samples at one time the lowest counts for what comes before, the highest for what follows."""
+    rows = ecg.select(*keys, "time_s", "value").dropna().where(~F.isnan("time_s") & ~F.isnan("value"))
+    follow = lambda df, order: df.withColumns({"_t1": F.lead("time_s").over(order), "_v1": F.lead("value").over(order)})
+    if pieces is None:
+        rows = follow(rows, Window.partitionBy(*keys).orderBy("time_s", "value"))
+    else:
+        rows = done(pieces.around(rows, 1, follow, keys, "time_s", ("value",)))
+    steps = percentiles(rows.withColumn("_d", F.col("_t1") - F.col("time_s")).where("_d > 0"), "_d", (0.5,), ("_step",), keys)
+    rate = F.greatest(F.lit(LEAST_RATE), F.least(F.lit(MOST_RATE), F.bround(1 / F.col("_step"), 0)))
+    known = same(rows.groupBy(*keys).agg(F.min("time_s").alias("_t0"), F.count("*").alias("_n")).where("_n >= 5"), steps, keys).select(*keys, "_t0", rate.alias("fs_hz"))
+    rows = same(rows.where("_t1 IS NOT NULL"), known, keys)
+    place = lambda t: F.ceil((F.col(t) - F.col("_t0")) * F.col("fs_hz"))
+    rows = rows.withColumns({"_a": place("time_s"), "_b": place("_t1") - 1}).where("_b >= _a")
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_a") / GRID_BLOCK), F.floor(F.col("_b") / GRID_BLOCK))))
+    first = F.col("_block") * GRID_BLOCK
+    rows = rows.withColumn("n", F.explode(F.sequence(F.greatest("_a", first), F.least("_b", first + (GRID_BLOCK - 1)))))
+    at = F.col("_t0") + F.col("n") / F.col("fs_hz")
+    value = F.col("value") + (F.col("_v1") - F.col("value")) * (at - F.col("time_s")) / (F.col("_t1") - F.col("time_s"))
+    return rows.select(*keys, "n", at.alias("time_s"), value.alias("value"), "fs_hz")
+
+
+def quick_beats(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), pieces: Pieces | None = None) -> DataFrame:
+    """keys, seq, t_s, rr_ms from the recording on an even grid, breaks bridged: what a device's beats are held against. A
+    recording of under three peaks has none."""
+    beats = to_beats(resampled(ecg, keys, pieces), keys, gap_factor=None)
+    return beats.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n >= 2").drop("_n")

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from somaframe.functions.frames import SUBJECT, centred, in_time, median
+from somaframe.functions.selection import percentiles
 
 
 def robust_scaled(rows: DataFrame, value: str, keys: Sequence[str] = (SUBJECT,)) -> DataFrame:
     """rows with `scaled`: cut at the 1st and 99th percentile, then 0 to 1; constant series give zeros."""
-    known = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.percentile(value, F.lit(0.01)).alias("_lo"), F.percentile(value, F.lit(0.99)).alias("_hi"))
+    known = percentiles(rows, value, (0.01, 0.99), ("_lo", "_hi"), keys)
+    known = rows.select(*keys).distinct().join(known, list(keys), "left").withColumnsRenamed({k: f"_{k}" for k in keys})
     cut = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
     scaled = F.when(F.col("_hi") > F.col("_lo"), (cut - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-12)).when(F.col(value).isNotNull(), 0.0)
     return rows.join(known, [F.col(k) == F.col(f"_{k}") for k in keys]).withColumn("scaled", scaled).drop(*(f"_{k}" for k in keys), "_lo", "_hi")

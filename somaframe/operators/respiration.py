@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from somaframe.config import BreathRules
 from somaframe.functions import kernels as K
 from somaframe.functions.frames import islands, median, spread
+from somaframe.functions.pieces import Pieces, same
+from somaframe.functions.selection import percentiles
+from somaframe.functions.shipping import ship
 from somaframe.functions.sweep import inside
 from somaframe.operators.time_domain import KEY
 
@@ -341,21 +344,36 @@ def full_report(resp: DataFrame, cleaned: DataFrame, expected: DataFrame | None
     return out.join(ends, list(keys)).withColumns({"dropped_spans": dropped, "kept_dur_s": seconds, "kept_cycles": F.when(F.col("status") == "reject", 0).otherwise(F.coalesce("cycles", F.lit(0.0))).cast("long")}).drop("_t0", "_t1")
 
 
-def rate_series(resp: DataFrame, keys: Sequence[str] = ("subject_id",), hz: float = 5.0, smooth: int = 5) -> DataFrame:
-    """keys, t, bpm: breathing rate between peaks of the thinned (medians of 1 / hz seconds), smoothed signal."""
-    thin = spread(resp.where("value IS NOT NULL"), *keys).groupBy(*keys, F.floor(F.col("time_s") * hz).alias("seq")).agg(median("value").alias("v"))
-    order = Window.partitionBy(*keys).orderBy("seq")
-    thin = thin.withColumn("v", median("v").over(order.rowsBetween(-2, 2)))
-    thin = thin.withColumn("v", F.avg("v").over(order.rowsBetween(-(smooth // 2), (smooth - 1) // 2)))
+#: Pieces of a thinned recording (an hour at 5 Hz), and what each sees of its neighbours (a minute).
+RATE_PIECES, RATE_REACH = Pieces(rows=18_000, seconds=3_600.0), 300
+
+
+def rate_series(resp: DataFrame, keys: Sequence[str] = ("subject_id",), hz: float = 5.0, smooth: int = 5, pieces: Pieces = RATE_PIECES, reach: int = RATE_REACH) -> DataFrame:
+    """keys, t, bpm: breathing rate between peaks of the thinned (medians of 1 / hz seconds), smoothed signal.
+
+    The range that sets the least prominence is the whole recording's; smoothing and peaks are found in pieces of the
+    thinned recording, with borders of `reach` rows."""
+    ship(resp.sparkSession)
+    thin = resp.where("value IS NOT NULL").groupBy(*keys, F.floor(F.col("time_s") * hz).alias("seq")).agg(median("value").alias("v"))
+    thin = thin.withColumn("t_s", F.col("seq") / hz)
+
+    def smoothed(rows: DataFrame, order: Window) -> DataFrame:
+        rows = rows.withColumn("v", median("v").over(order.rowsBetween(-2, 2)))
+        return rows.withColumn("v", F.avg("v").over(order.rowsBetween(-(smooth // 2), (smooth - 1) // 2)))
+
+    smoother = pieces.around(thin, 2 + smooth // 2, smoothed, keys)
+    span = percentiles(smoother, "v", (0.01, 0.99), ("_lo", "_hi"), keys)
+    rows = pieces.bordered(same(smoother, span, keys), reach)
     kinds = {f.name: f.dataType.simpleString() for f in thin.schema.fields}
 
     def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("seq")
-        v = series["v"].to_numpy(float)
-        lo, hi = np.percentile(v, [1, 99])
-        at = series["seq"].to_numpy(float)[K.peaks(v, int(np.ceil(hz * 2 * 0.9)), 0.15 * (hi - lo))] / hz
-        gap = np.diff(at)
-        return pd.DataFrame({**{k: series[k].iloc[0] for k in keys}, "t": (at[1:] + at[:-1]) / 2, "bpm": 60 / gap})
-
-    found = thin.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "t double, bpm double"]))
-    return found.withColumn("bpm", median("bpm").over(Window.partitionBy(*keys).orderBy("t").rowsBetween(-1, 1)))
+        series = series.sort_values("_rank")
+        first, own = series.iloc[0], (series["_piece"] == series["_at"]).to_numpy()
+        found = K.peaks(series["v"].to_numpy(float), int(np.ceil(hz * 2 * 0.9)), max(1e-6, 0.15 * (first["_hi"] - first["_lo"])))
+        at = series["seq"].to_numpy(float)[found[own[found]]] / hz
+        return pd.DataFrame({**{k: [first[k]] * len(at) for k in keys}, "t": at})
+
+    peaks = rows.repartition(*keys, "_at").groupBy(*keys, "_at").applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "t double"]))
+    order = Window.partitionBy(*keys).orderBy("t")
+    found = peaks.withColumn("_before", F.lag("t").over(order)).where("_before IS NOT NULL").select(*keys, ((F.col("t") + F.col("_before")) / 2).alias("t"), (60 / (F.col("t") - F.col("_before"))).alias("bpm"))
+    return found.withColumn("bpm", median("bpm").over(order.rowsBetween(-1, 1)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somaframe.functions.frames import SUBJECT
+from somaframe.functions.selection import percentiles
 
 
 def described(rows: DataFrame, value: str, keys: Sequence[str] = (SUBJECT,)) -> DataFrame:
@@ -58,10 +59,9 @@ def rounded(df: DataFrame, digits: int = 3) -> DataFrame:
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row for each column: count, mean, std, min, exact quartiles, max."""
     narrow = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("_x")).select("_x.*")
-    return narrow.groupBy("name").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-        *(F.percentile("v", F.lit(q)).alias(f"q{round(100 * q)}") for q in (0.25, 0.5, 0.75)), F.max("v").alias("max"),
-    )
+    figures = narrow.groupBy("name").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    quartiles = percentiles(narrow, "v", (0.25, 0.5, 0.75), ("q25", "q50", "q75"), ["name"])
+    return figures.join(quartiles, "name", "left").select("name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(rows: DataFrame, value: str, group: str, bins: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somaframe.functions.frames import SUBJECT, median
+from somaframe.functions.selection import percentiles
 
 KEY = [SUBJECT, "w_id"]
 
@@ -99,7 +100,9 @@ def motion(acc: DataFrame, threshold: float) -> DataFrame:
     the median suggests, distinct rounded values, and the spread of sampling steps."""
     order = Window.partitionBy(SUBJECT).orderBy("time_s")
     own = acc.select(SUBJECT, magnitude().alias("vm"), "value_x", (F.col("time_s") - F.lag("time_s").over(order)).alias("dt"))
-    centre = own.groupBy(SUBJECT).agg(median("vm").alias("median_vm"), median("dt").alias("median_dt"), F.stddev_samp("dt").alias("jitter"), F.count_distinct(F.round("value_x", 6)).alias("distinct_x"))
+    centre = own.groupBy(SUBJECT).agg(F.stddev_samp("dt").alias("jitter"), F.count_distinct(F.round("value_x", 6)).alias("distinct_x"))
+    for name in ("vm", "dt"):
+        centre = centre.join(percentiles(own, name, (0.5,), (f"median_{name}",), [SUBJECT]), SUBJECT, "left")
     share = own.join(centre.select(SUBJECT, "median_vm"), SUBJECT).groupBy(SUBJECT).agg(F.avg(F.when(F.col("vm") - F.col("median_vm") > threshold, 1.0).otherwise(0.0)).alias("motion_frac"))
     unit = F.when(F.col("median_vm") > 100, "mg").when(F.col("median_vm") > 5, "m/s2").otherwise("g")
     return centre.join(share, SUBJECT).withColumn("unit", unit)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from somaframe.config import BreathRules
+from somaframe.functions.pieces import Pieces
 from somaframe.operators import ecg as E
 from somaframe.operators import mixed_model as M
 from somaframe.operators import respiration as R
@@ -142,6 +143,33 @@ def ecg_to_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.to_beats(spiked_ecg(spark, sf_dir)), "t_s", "rr_ms", digits=3)
 
 
+#: Samples 5 to 11 ms apart, with a break of 90 ms now and then, from the measured prices of a supplier's lines.
+SQL_UNEVEN = """uneven AS (SELECT subject_id, sum(step) OVER w / 1000.0::DOUBLE AS time_s, value FROM (SELECT l_suppkey AS subject_id, l_extendedprice AS value, CASE WHEN l_partkey % 40 = 0 THEN 90 ELSE 5 + CAST(l_quantity AS BIGINT) % 7 END AS step, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem)
+    WINDOW w AS (PARTITION BY subject_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, value ROWS UNBOUNDED PRECEDING))"""
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = V.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS subject_id", "l_extendedprice AS value", "CASE WHEN l_partkey % 40 = 0 THEN 90 ELSE 5 + CAST(l_quantity AS BIGINT) % 7 END AS step", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    order = Window.partitionBy("subject_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "value").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.select("subject_id", (F.sum("step").over(order) / 1000.0).alias("time_s"), "value")
+
+
+@query(f"""WITH {SQL_UNEVEN}, nx AS (SELECT *, lead(time_s) OVER w AS t1, lead(value) OVER w AS v1 FROM uneven WINDOW w AS (PARTITION BY subject_id ORDER BY time_s)),
+    kn AS (SELECT subject_id, min(time_s) AS t0, greatest(50.0::DOUBLE, least(2000.0::DOUBLE, round_even(1 / median(t1 - time_s), 0))) AS fs FROM nx GROUP BY 1),
+    pl AS (SELECT nx.*, t0, fs, CAST(ceil((time_s - t0) * fs) AS BIGINT) AS a, CAST(ceil((t1 - t0) * fs) AS BIGINT) AS b FROM nx JOIN kn ON kn.subject_id = nx.subject_id WHERE t1 IS NOT NULL),
+    gr AS (SELECT *, unnest(range(a, b)) AS n FROM pl WHERE b > a)
+    SELECT subject_id, n, round(t0 + n / fs, 6) AS time_s, round(value + (v1 - value) * (t0 + n / fs - time_s) / (t1 - time_s), 4) AS value, fs AS fs_hz FROM gr""")
+def ecg_even_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.resampled(uneven(spark, sf_dir))
+    return found.withColumns({"time_s": F.round("time_s", 6), "value": F.round("value", 4)})
+
+
+@query(ORACLES["ecg_even_grid"])
+def ecg_even_grid_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.resampled(uneven(spark, sf_dir), pieces=Pieces(rows=400, seconds=2.0))
+    return found.withColumns({"time_s": F.round("time_s", 6), "value": F.round("value", 4)})
+
+
 # --- mixed model ---
 
 CELLS = [(c, t) for c in (0, 1) for t in (1, 2, 3)]

@@ -24,8 +24,9 @@ from somaframe.plans.ingest_queries import SQL_NAMES, SQL_SID, file_names, sids
 from somaframe.plans.registry import query
 from somaframe.plans.signal_queries import KEYS, TEN_HZ, cleaned
 from somaframe.plans.table_queries import CALM, FOCUS, ITEMS, METRICS, SCALES, SQL_Z, items
-from somaframe.plans.window_queries import day_windows
+from somaframe.plans.window_queries import SQL_DAYS, day_windows
 from somaframe.sources import files as X
+from somaframe.sources import records as RC
 from somaframe.sources import sample_views as V
 
 # --- sources: tables are written to a new shared folder and read back ---
@@ -77,6 +78,35 @@ def records_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.load("records", spark, folder=path, rate=250.0), "time_s", "value")
 
 
+#: Measured values as two channels, one event in fifty missing; a record is a user's events in their order.
+SQL_SAMPLES = "sm AS (SELECT 'r' || user_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CASE WHEN event_id % 50 <> 0 THEN value END AS v FROM events)"
+
+
+@query(f"""WITH {SQL_SAMPLES}, fm AS (SELECT * FROM (VALUES (16, 32.0::DOUBLE), (212, 2.0::DOUBLE)) t(bits, gain)), ch AS (SELECT * FROM (VALUES ('ecg', 1), ('resp', -1)) t(signal, sgn))
+    SELECT CAST(bits AS INTEGER) AS bits, name, signal, i, round(i / 250.0::DOUBLE, 6) AS time_s, round_even(sgn * v * gain, 0) / gain + 0.0 AS value, 250.0::DOUBLE AS fs_hz FROM sm CROSS JOIN fm CROSS JOIN ch""")
+def binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as bytes of both formats, and read back by the data source, in parts of a few frames."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    value = F.when(F.col("event_id") % 50 != 0, F.col("value"))
+    samples = V.table(spark, sf_dir, "events").select(F.concat(F.lit("r"), "user_id").alias("name"), (F.row_number().over(order) - 1).cast("bigint").alias("i"), value.alias("ECG II"), (-value).alias("RESP belt"))
+    parts = []
+    for bits, gain in ((16, 32.0), (212, 2.0)):
+        path = new(spark)
+        RC.write_records(samples, path, 250.0, bits, gain, ["ECG II", "RESP belt"]).agg(F.sum("frames")).first()
+        parts.append(X.load("binary_records", spark, folder=path, part_frames=30).withColumn("bits", F.lit(bits)))
+    return rounded(parts[0].unionByName(parts[1]), "time_s").select("bits", "name", "signal", "i", "time_s", "value", "fs_hz")
+
+
+@query(f"WITH {SQL_DAYS} SELECT subject_id, w_id, CAST(2 AS INTEGER) AS level, CAST(3 AS INTEGER) AS next_level FROM wins WHERE w_id % 2 = 0")
+def level_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as level 1, every other one as level 2; level 2 is read alone."""
+    base = new(spark)
+    days = day_windows(spark, sf_dir).select("subject_id", "w_id")
+    X.write_level(days, base)
+    X.write_level(days.where("w_id % 2 = 0"), base)
+    return X.read_levels(spark, base, [2]).select("subject_id", "w_id", "level", F.lit(X.levels(spark, base)[-1] + 1).alias("next_level"))
+
+
 @query(f"""WITH {SQL_NAMES}, k AS (SELECT id, name, lower(name) AS n, p_size FROM names), s AS (SELECT *, CASE WHEN contains(n, 'ecg') THEN 'ecg' WHEN contains(n, 'rr') THEN 'rr' WHEN contains(n, 'heart_rate') THEN 'hr' WHEN contains(n, 'resp') THEN 'resp' WHEN contains(n, 'ppg') THEN 'ppg' WHEN contains(n, 'acc') THEN 'acc' WHEN contains(n, 'markers') THEN 'events' END AS kind FROM k)
     SELECT name, kind || CASE WHEN kind IN ('hr', 'acc') AND contains(n, 'h10') THEN 'h' WHEN kind IN ('hr', 'acc') AND contains(n, 'verity') THEN 'v' ELSE '' END AS signal, CASE WHEN kind IS NULL OR starts_with(n, 'plain') AND NOT regexp_matches(n, '[0-9]') THEN 'skip' ELSE 'found' END AS status, CAST(p_size AS BIGINT) AS bytes FROM s""")
 def files_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,30 @@ def records(spark: SparkSession, folder: str, rate: float, signals: Sequence[str
 def subjects(files: DataFrame) -> DataFrame:
     """Distinct ids before the first underscore of file names."""
     return files.select(matched("name", r"^([^_]+)").alias("subject_id")).distinct()
+
+
+# --- levels of windows: a folder with one subfolder for each level, told by its partition column ---
+
+
+def levels(spark: SparkSession, base: str) -> list[int]:
+    """Levels below a folder, from its subfolders' names alone; none if it is not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(place) if s.isDirectory()] if store.exists(place) else []
+    return sorted(int(n.removeprefix("level=")) for n in names if n.removeprefix("level=").isdigit() and n.startswith("level="))
+
+
+def write_level(df: DataFrame, base: str, level: int | None = None) -> int:
+    """Writes df (but its column level) as a level of its own, by default the one after the highest; a level that is there is an error."""
+    there = levels(df.sparkSession, base)
+    own = max(there, default=0) + 1 if level is None else level
+    if own in there:
+        raise ValueError(f"level {own} is there already")
+    df.drop("level").write.parquet(f"{base.rstrip('/')}/level={own}")
+    return own
+
+
+def read_levels(spark: SparkSession, base: str, only: Sequence[int] | None = None) -> DataFrame:
+    """All levels with their number as column level. A condition on it, as `only` sets one, leaves other folders unread."""
+    df = spark.read.option("basePath", base).option("mergeSchema", "true").parquet(base).withColumn("level", F.col("level").cast("int"))
+    return df if only is None else df.where(F.col("level").isin([int(x) for x in only]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from somaframe.config import BreathRules, WindowDef
 from somaframe.functions import kernels as K
 from somaframe.functions import names as N
+from somaframe.functions.pieces import Pieces
 from somaframe.operators import beats as B
 from somaframe.operators import cleaning as C
 from somaframe.operators import ecg as E
@@ -251,3 +252,48 @@ def test_records(spark, tmp_path):
     got = files.load("records", spark, folder=str(tmp_path / "r"), rate=250.0)
     assert got.count() == 10
     assert got.agg(F.max("time_s")).first()[0] == pytest.approx(4 / 250)
+
+
+def test_breathing_rates_in_pieces(spark):
+    """Pieces of 40 seconds give what one piece of all gives; a hole, and breaths that slow down."""
+    t = np.arange(0, 900, 0.1)
+    phase = 2 * np.pi * np.cumsum(0.25 + 0.05 * np.sin(t / 70)) / 10
+    rows = [(1, float(x), float(100 * np.sin(p) + 8 * np.sin(7 * p))) for x, p in zip(t, phase, strict=True) if not 300 < x < 330] + [(2, float(x), 5.0) for x in t[:40]]
+    df = spark.createDataFrame(rows, "subject_id int, time_s double, value double").withColumn("seq", F.col("time_s"))
+    whole = R.rate_series(df, pieces=Pieces(10**6, 10**6), reach=300).orderBy("t").collect()
+    assert len(whole) > 180 and all(10 < r.bpm < 20 for r in whole if not 295 < r.t < 335)
+    for pieces in (Pieces(200, 30.0), Pieces(317, 1000.0)):
+        assert R.rate_series(df, pieces=pieces, reach=150).orderBy("t").collect() == whole
+
+
+def test_even_grid_is_interpolation(spark):
+    """np.interp on the grid, with samples at one time, a break that is filled in blocks, and rates at both bounds."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for subject, step, n in (("fast", 1e-5, 400), ("slow", 0.5, 60), ("usual", 0.007, 500)):
+        t = np.round(np.cumsum(rng.choice([step, step, 2 * step], n)), 6)
+        t[n // 2 :] += 40.0 if subject == "usual" else 0.0
+        rows += [(subject, float(x), float(v)) for x, v in zip(t, rng.normal(size=n), strict=True)]
+    rows += [("few", float(i), 1.0) for i in range(4)] + [("usual", None, 1.0), ("usual", 1.0, None)]
+    df = spark.createDataFrame(rows, "subject_id string, time_s double, value double")
+    for pieces in (None, Pieces(50, 0.5)):
+        got = E.resampled(df, pieces=pieces).toPandas()
+        assert set(got.subject_id) == {"fast", "slow", "usual"}
+        for subject, own in got.groupby("subject_id"):
+            t, v = (np.array(c) for c in zip(*sorted((x, y) for s, x, y in rows if s == subject and x is not None and y is not None), strict=True))
+            rate = min(2000.0, max(50.0, np.round(1 / np.median(np.diff(t)))))
+            own = own.sort_values("n")
+            grid = t[0] + np.arange(np.ceil((t[-1] - t[0]) * rate)) / rate
+            assert own.fs_hz.unique().tolist() == [rate] and np.allclose(own.time_s, grid, atol=1e-9)
+            assert np.allclose(own.value, np.interp(grid, t, v), atol=1e-7)
+
+
+def test_quick_beats(spark):
+    """Spikes in samples 4 to 12 ms apart come back at their times; two peaks are too few."""
+    rng = np.random.default_rng(6)
+    t = np.cumsum(rng.choice([0.004, 0.008, 0.012], 2500))
+    value = sum(np.exp(-(((t - 0.5 - 0.8 * k) / 0.015) ** 2)) for k in range(24))
+    rows = [(1, float(x), float(v)) for x, v in zip(t, value, strict=True)] + [(2, float(x), float(v)) for x, v in zip(t, value, strict=True) if x < 1.8]
+    got = E.quick_beats(spark.createDataFrame(rows, "subject_id int, time_s double, value double")).toPandas()
+    assert set(got.subject_id) == {1}
+    assert len(got) == 23 and (abs(got.rr_ms - 800) <= 17).all() and abs(got.t_s.iloc[0] - 1.3) < 0.02
