@@ -1,14 +1,17 @@
 """Random-intercept linear mixed models by maximum likelihood, from sufficient statistics.
 
-Cells are combinations of condition and time. A subject enters through its size and its cells' counts and sums
-only; subjects of one size add up, so Spark returns one row for each size, however many subjects there are.
-The driver then maximises the likelihood in one number, the ratio of the variances.
+Cells are combinations of condition and time. A subject enters through its size (its number of rows) and its cells' counts and
+sums only, and subjects of one size add up. One aggregation gives these sums for all dependent variables, sizes, cells and pairs of
+cells at once, in long form. The driver then maximises each likelihood in one number, the ratio of the variances.
+
+Sums over sizes are all that the likelihood at a given ratio needs. Where there are more numbers than the driver should
+take (very many different sizes), Spark adds up those sums for a grid of ratios of each variable, and the grid narrows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,37 +19,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from somaframe.functions.folders import checkpoint
 from somaframe.functions.frames import SUBJECT
 from somaframe.functions.kernels import chi2_tail, normal_tail
 
-MOST_CELLS = 64
-#: Subjects' sizes are few: rows times columns of the statistics that the driver takes at most.
+#: Numbers of the statistics that the driver takes at once; beyond, sums over sizes stay in Spark.
 MOST_NUMBERS = 5_000_000
+#: Logarithms of the ratios that are tried first, and how many points each narrower grid has.
+FIRST_GRID, GRID = np.linspace(-20.0, 20.0, 81), 41
+_SUMS = ("subjects", "yy", "y2", "c", "s", "cy", "cc")
+
+
+def cell_sums(rows: DataFrame, values: Sequence[str], condition: str = "task", time: str = "t_id") -> DataFrame:
+    """dv, n (size), a and b (cells, null where a sum is not of one), and the sums _SUMS over the subjects of that size: how many, sums of
+    squares and squares of sums (no cell); count, sum, and count times the subject's sum (cell a); products of counts (cells a, b)."""
+    long = rows.select(SUBJECT, F.struct(F.col(condition).alias("condition"), F.col(time).alias("time")).alias("cell"), F.explode(F.array(*(F.struct(F.lit(v).alias("dv"), F.col(v).cast("double").alias("y")) for v in values))).alias("_x"))
+    used = long.select(SUBJECT, "cell", "_x.*").where("y IS NOT NULL AND cell.condition IS NOT NULL AND cell.time IS NOT NULL")
+    each = used.groupBy("dv", SUBJECT, "cell").agg(F.count("*").cast("double").alias("c"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    own = each.groupBy("dv", SUBJECT).agg(F.collect_list(F.struct("cell", "c", "s")).alias("cells"), F.sum("c").cast("long").alias("n"), F.sum("s").alias("y"), F.sum("q").alias("yy"))
+    none, zero = F.lit(None).cast(used.schema["cell"].dataType), F.lit(0.0)
+    sums = lambda a, b, **known: F.struct(a.alias("a"), b.alias("b"), *(known.get(name, zero).cast("double").alias(name) for name in _SUMS))
+    whole = F.array(sums(none, none, subjects=F.lit(1.0), yy=F.col("yy"), y2=F.col("y") * F.col("y")))
+    cells = F.transform("cells", lambda x: sums(x.cell, none, c=x.c, s=x.s, cy=x.c * F.col("y")))
+    pairs = F.flatten(F.transform("cells", lambda x: F.transform(F.filter("cells", lambda z: z.cell >= x.cell), lambda z: sums(x.cell, z.cell, cc=x.c * z.c))))
+    parts = own.select("dv", "n", F.explode(F.concat(whole, cells, pairs)).alias("_s")).select("dv", "n", "_s.*")
+    return parts.groupBy("dv", "n", "a", "b").agg(*(F.sum(name).alias(name) for name in _SUMS))
 
 
 def statistics(rows: DataFrame, value: str, cells: Sequence[tuple], condition: str = "task", time: str = "t_id") -> DataFrame:
-    """One row for each number of rows per subject: subjects, and sums of products of the cells' counts and sums."""
-    at = lambda c: (F.col(condition) == c[0]) & (F.col(time) == c[1])
-    used = rows.where(F.col(value).isNotNull() & F.col(condition).isNotNull() & F.col(time).isNotNull())
-    each = used.groupBy(SUBJECT).agg(
-        F.count("*").alias("n"), F.sum(value).alias("y"), F.sum(F.col(value) * F.col(value)).alias("yy"),
-        *(F.count_if(at(c)).alias(f"c{i}") for i, c in enumerate(cells)), *(F.coalesce(F.sum(F.when(at(c), F.col(value))), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(cells)),
-    )
+    """cell_sums() of one variable, one row for each size, with a column for each sum of the given cells (by their place)."""
+    at = lambda c, cell: (F.col(f"{c}.condition") == cell[0]) & (F.col(f"{c}.time") == cell[1])
+    alone, single = F.col("a").isNull(), F.col("b").isNull()
+    pick = lambda when, name, alias: F.coalesce(F.max(F.when(when, F.col(name))), F.lit(0.0)).alias(alias)
     p = range(len(cells))
-    return each.groupBy("n").agg(
-        F.count("*").alias("subjects"), F.sum("yy").alias("yy"), F.sum(F.col("y") * F.col("y")).alias("y2"),
-        *(F.sum(f"c{i}").alias(f"c{i}") for i in p), *(F.sum(f"s{i}").alias(f"s{i}") for i in p), *(F.sum(F.col(f"c{i}") * F.col("y")).alias(f"cy{i}") for i in p),
-        *(F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"cc{i}_{j}") for i in p for j in p if j >= i),
+    return cell_sums(rows, [value], condition, time).groupBy("n").agg(
+        F.max(F.when(alone, F.col("subjects"))).cast("long").alias("subjects"), *(pick(alone, name, name) for name in ("yy", "y2")),
+        *(pick(single & at("a", c), "c", f"c{i}").cast("long").alias(f"c{i}") for i, c in enumerate(cells)), *(pick(single & at("a", c), "s", f"s{i}") for i, c in enumerate(cells)),
+        *(pick(single & at("a", c), "cy", f"cy{i}") for i, c in enumerate(cells)),
+        *(pick(F.col("b").isNotNull() & ((at("a", cells[i]) & at("b", cells[j])) | (at("a", cells[j]) & at("b", cells[i]))), "cc", f"cc{i}_{j}").cast("long").alias(f"cc{i}_{j}") for i in p for j in p if j >= i),
     )
 
 
-def cells_of(rows: DataFrame, condition: str = "task", time: str = "t_id") -> list[tuple]:
-    found = rows.select(condition, time).dropna().distinct().limit(MOST_CELLS + 1).collect()
-    if len(found) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells")
-    return sorted(tuple(r) for r in found)
-
-
 @dataclass
 class Fit:
     """Cell means and their covariance, variances, and the likelihood."""
@@ -148,43 +161,126 @@ def _pairs(names: Sequence[str], rows: np.ndarray, fit: Fit) -> pd.DataFrame:
     return out.assign(p_bonferroni=np.minimum(1, out["p"] * len(pairs)))
 
 
-def fit(rows: DataFrame, value: str, condition: str = "task", time: str = "t_id") -> Fit:
-    cells = cells_of(rows, condition, time)
-    found = statistics(rows, value, cells, condition, time)
-    most = MOST_NUMBERS // len(found.columns)
-    table = found.limit(most + 1).toPandas()
-    if len(table) > most:
-        raise ValueError("too many subject sizes")
-    p, n = len(cells), table["n"].to_numpy(float)
-    m = table["subjects"].to_numpy(float)
-    total = int((n * m).sum())
-    counts = np.stack([table[f"c{i}"] for i in range(p)], axis=1).astype(float)
-    sums = np.stack([table[f"s{i}"] for i in range(p)], axis=1).astype(float)
-    cy = np.stack([table[f"cy{i}"] for i in range(p)], axis=1).astype(float)
-    cc = np.array([[table[f"cc{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]).astype(float)
-
-    def solved(ratio: float) -> tuple[float, np.ndarray, np.ndarray, float]:
-        shrink = ratio / (1 + ratio * n)
-        a = np.diag(counts.sum(axis=0)) - cc @ shrink
-        b = sums.sum(axis=0) - shrink @ cy
-        q = table["yy"].sum() - shrink @ table["y2"].to_numpy(float)
+@dataclass
+class _Sums:
+    """Of one variable: its cells, and per weight function (row) the sums over sizes, weighted. Row 0 has weights of one."""
+
+    cells: list[tuple]
+    subjects: np.ndarray
+    yy: np.ndarray
+    y2: np.ndarray
+    c: np.ndarray
+    s: np.ndarray
+    cy: np.ndarray
+    cc: np.ndarray
+    log: np.ndarray  # of 1 + ratio * size, over subjects
+    rows: float
+
+    def solved(self, k: int) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """Likelihood, cell means, their covariance and the residual variance at the ratio of row k."""
+        a = np.diag(self.c[0]) - self.cc[k]
         inverse = np.linalg.inv(a)
-        beta = inverse @ b
-        s2 = max((q - beta @ b) / total, 1e-300)
-        return -0.5 * (total * math.log(2 * math.pi * s2) + m @ np.log1p(ratio * n) + total), beta, s2 * inverse, s2
-
-    lo, hi, golden = -20.0, 20.0, (math.sqrt(5) - 1) / 2
-    grid = np.linspace(lo, hi, 81)
-    best = int(np.argmax([solved(math.exp(g))[0] for g in grid]))
-    lo, hi = grid[max(0, best - 1)], grid[min(80, best + 1)]
+        beta = inverse @ (self.s[0] - self.cy[k])
+        s2 = max((self.yy[0] - self.y2[k] - beta @ (self.s[0] - self.cy[k])) / self.rows, 1e-300)
+        return -0.5 * (self.rows * math.log(2 * math.pi * s2) + self.log[k] + self.rows), beta, s2 * inverse, s2
+
+
+class _Table:
+    """The sums of one variable as arrays over its sizes."""
+
+    def __init__(self, table: pd.DataFrame):
+        cells = sorted({tuple(c) for c in table["a"] if c is not None})
+        place = {c: i for i, c in enumerate(cells)} | {None: -1}
+        at, to = (np.array([place[None if c is None else tuple(c)] for c in table[k]]) for k in ("a", "b"))
+        self.cells, (self.sizes, size), p = cells, np.unique(table["n"].to_numpy(float), return_inverse=True), len(cells)
+        alone, single, pair = at < 0, (at >= 0) & (to < 0), to >= 0
+        self.subjects, self.yy, self.y2 = (self._filled((), table[k].to_numpy(float)[alone], (size[alone],)) for k in ("subjects", "yy", "y2"))
+        self.c, self.s, self.cy = (self._filled((p,), table[k].to_numpy(float)[single], (size[single], at[single])) for k in ("c", "s", "cy"))
+        self.cc = self._filled((p, p), table["cc"].to_numpy(float)[pair], (size[pair], at[pair], to[pair]))
+        self.cc = np.maximum(self.cc, self.cc.transpose(0, 2, 1))  # each pair of cells was summed once; counts are not negative
+        self.rows = float(self.c.sum())
+
+    def _filled(self, shape: tuple[int, ...], values: np.ndarray, at: tuple) -> np.ndarray:
+        out = np.zeros((len(self.sizes), *shape))
+        out[at] = values
+        return out
+
+    def weighted(self, weights: np.ndarray, logs: np.ndarray, rows: float) -> _Sums:
+        """weights, logs: one row for each weight function, one column for each size."""
+        sums = {k: np.tensordot(weights, getattr(self, k), 1) for k in ("subjects", "yy", "y2", "c", "s", "cy", "cc")}
+        return _Sums(self.cells, **sums, log=logs @ self.subjects, rows=rows)
+
+
+def _best(at: Callable[[np.ndarray], _Sums]) -> Fit:
+    """The fit at the best ratio; at() gives the sums at ratios, the first of which is infinite (weights of one)."""
+    one = lambda g: at(np.array([math.exp(g)])).solved(1)[0]
+    tried = at(np.exp(FIRST_GRID))
+    best = int(np.argmax([tried.solved(k + 1)[0] for k in range(len(FIRST_GRID))]))
+    lo, hi, golden = FIRST_GRID[max(0, best - 1)], FIRST_GRID[min(len(FIRST_GRID) - 1, best + 1)], (math.sqrt(5) - 1) / 2
     for _ in range(80):
         x, y = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        lo, hi = (lo, y) if solved(math.exp(x))[0] > solved(math.exp(y))[0] else (x, hi)
-    ratio = math.exp((lo + hi) / 2)
-    if solved(0.0)[0] >= solved(ratio)[0]:
-        ratio = 0.0
-    loglik, beta, cov, s2 = solved(ratio)
-    return Fit(cells, beta, cov, s2, ratio * s2, loglik, total, int(m.sum()))
+        lo, hi = (lo, y) if one(x) > one(y) else (x, hi)
+    return _fit(at(np.array([0.0, math.exp((lo + hi) / 2)])), [0.0, math.exp((lo + hi) / 2)])
+
+
+def _fit(sums: _Sums, ratios: Sequence[float]) -> Fit:
+    """The fit at the best of the ratios, the first (none between subjects) if it is as good."""
+    found = [sums.solved(k + 1) for k in range(len(ratios))]
+    k = int(np.argmax([f[0] for f in found]))
+    loglik, beta, cov, s2 = found[k]
+    return Fit(sums.cells, beta, cov, s2, ratios[k] * s2, loglik, int(sums.rows), int(sums.subjects[0]))
+
+
+def _here(table: pd.DataFrame) -> Fit:
+    """From all sums of a variable, held on the driver."""
+    own = _Table(table)
+    n = own.sizes
+
+    def at(ratios: np.ndarray) -> _Sums:
+        r = np.asarray(ratios)[:, None]
+        return own.weighted(np.vstack([np.ones_like(n), r / (1 + r * n)]), np.vstack([np.zeros_like(n), np.log1p(r * n)]), own.rows)
+
+    return _best(at)
+
+
+def _there(sums: DataFrame, values: Sequence[str]) -> dict[str, Fit]:
+    """With sums over sizes in Spark: one aggregation for a grid of ratios of all variables; each grid spans the two steps around the
+    best ratio of the one before, until steps are under 1e-9."""
+    spark = sums.sparkSession
+    grids = {v: FIRST_GRID for v in values}
+    totals = {r.dv: r.rows for r in sums.groupBy("dv").agg(F.sum("c").alias("rows")).collect()}
+    fits: dict[str, Fit] = {}
+    while True:
+        tried = [(v, k, float(r)) for v, g in grids.items() if v in totals for k, r in enumerate([math.inf, 0.0, *np.exp(g)])]
+        weighted = sums.join(F.broadcast(spark.createDataFrame(tried, "dv string, k int, ratio double")), "dv")  # a grid for each variable
+        ratio, n = F.col("ratio"), F.col("n")
+        weight = F.when(ratio == math.inf, 1.0).otherwise(ratio / (1 + ratio * n))
+        log = F.when(ratio == math.inf, 0.0).otherwise(F.log1p(ratio * n))
+        added = weighted.groupBy("dv", "k", "a", "b").agg(*(F.sum(F.col(name) * weight).alias(name) for name in _SUMS), F.sum(F.col("subjects") * log).alias("log")).toPandas()
+        for v, table in added.groupby("dv"):
+            g = grids[v]
+            own = _Table(table.assign(n=table["k"]))  # weight functions take the place of sizes
+            joined = own.weighted(np.eye(len(g) + 2), np.zeros((len(g) + 2, len(g) + 2)), totals[v])
+            joined.log = table[table["a"].isna()].sort_values("k")["log"].to_numpy(float)
+            fits[v] = _fit(joined, [0.0, *np.exp(g)])
+            best = int(np.argmax([joined.solved(k + 2)[0] for k in range(len(g))]))
+            grids[v] = np.linspace(g[max(0, best - 1)], g[min(len(g) - 1, best + 1)], GRID)
+        if max((g[-1] - g[0] for g in grids.values()), default=0.0) < 1e-9:
+            return fits
+
+
+def fits(rows: DataFrame, values: Sequence[str], condition: str = "task", time: str = "t_id", most: int = MOST_NUMBERS) -> dict[str, Fit]:
+    """A model for each variable, from one aggregation over all of them; variables without a row that counts have none."""
+    sums = cell_sums(rows, values, condition, time)
+    most_rows = most // len(sums.columns)
+    table = sums.limit(most_rows + 1).toPandas()
+    if len(table) > most_rows:
+        return _there(checkpoint(sums), values)
+    return {v: _here(own.reset_index(drop=True)) for v, own in table.groupby("dv")}
+
+
+def fit(rows: DataFrame, value: str, condition: str = "task", time: str = "t_id") -> Fit:
+    return fits(rows, [value], condition, time)[value]
 
 
 def prepared(rows: DataFrame, values: Sequence[str], excluded: Sequence[str] = (), condition: str = "task", time: str = "t_id") -> DataFrame:
@@ -203,8 +299,10 @@ def all_tables(rows: DataFrame, values: Sequence[str], excluded: Sequence[str] =
     """The nine result tables over all dependent variables (column dv); variables that the table lacks are skipped."""
     used = prepared(rows, values, excluded, condition, time)
     parts: dict[str, list[pd.DataFrame]] = {t: [] for t in TABLES}
-    for value in (v for v in values if v in used.columns):
-        one = fit(used.select(SUBJECT, condition, time, value).dropna(), value, condition, time)
+    there = [v for v in values if v in used.columns]
+    found = fits(used, there, condition, time) if there else {}
+    for value in (v for v in there if v in found):
+        one = found[value]
         (by_condition, condition_pairs), (by_time, time_pairs) = one.marginal("condition"), one.marginal("time")
         results = (one.table(), one.effects(), by_condition, by_time, condition_pairs, time_pairs, one.simple("condition"), one.simple("time"), one.wald())
         for name, table in zip(TABLES, results, strict=True):

@@ -297,3 +297,34 @@ def test_quick_beats(spark):
     got = E.quick_beats(spark.createDataFrame(rows, "subject_id int, time_s double, value double")).toPandas()
     assert set(got.subject_id) == {1}
     assert len(got) == 23 and (abs(got.rr_ms - 800) <= 17).all() and abs(got.t_s.iloc[0] - 1.3) < 0.02
+
+
+def many_sizes(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for s in range(60):
+        u = rng.normal(0, 1.5)
+        for k in range(2 + s % 23):
+            c, t = s % 2, int(rng.integers(1, 4))
+            rows.append((f"s{s}", c, t, float(2 + t * c + u + rng.normal()), None if k % 3 == 0 else float(5 - t + rng.normal()), float(rng.normal() * 1e-3 + s)))
+    return spark.createDataFrame(rows, "subject_id string, task int, t_id int, y double, z double, w double")
+
+
+def test_many_variables_in_one_aggregation(spark):
+    df = many_sizes(spark)
+    together = M.fits(df, ["y", "z", "w"])
+    for v in ("y", "z", "w"):
+        alone = M.fit(df.where(F.col(v).isNotNull()), v)
+        assert together[v].cells == alone.cells and together[v].loglik == pytest.approx(alone.loglik)
+        assert together[v].means == pytest.approx(alone.means) and together[v].n_obs == df.where(F.col(v).isNotNull()).count()
+
+
+def test_sums_over_sizes_in_spark(spark):
+    """With a bound that no table meets, ratios are searched by aggregations: the same fits."""
+    df = many_sizes(spark)
+    here, there = M.fits(df, ["y", "z"]), M.fits(df, ["y", "z"], most=20)
+    for v in ("y", "z"):
+        assert there[v].loglik == pytest.approx(here[v].loglik, abs=1e-9)
+        assert there[v].means == pytest.approx(here[v].means, rel=1e-6) and there[v].covariance == pytest.approx(here[v].covariance, rel=1e-5)
+        assert (there[v].between, there[v].residual) == pytest.approx((here[v].between, here[v].residual), rel=1e-5, abs=1e-9)
+        assert (there[v].n_obs, there[v].n_groups) == (here[v].n_obs, here[v].n_groups)
