@@ -6,7 +6,7 @@ on as relations. A group is one window of one subject; longer recordings are cut
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -155,6 +155,51 @@ def canonical_plateaus(t: np.ndarray, v: np.ndarray, rules: BreathRules = RULES)
     return out
 
 
+def _windows(resp: DataFrame, keys: Sequence[str], rules: BreathRules, rate: float | None) -> tuple[DataFrame, dict[str, str], Callable[[pd.DataFrame], pd.DataFrame]]:
+    """The samples with their spans, the types of their columns, and what orders a window's samples and numbers its stretches."""
+    rows = split(resp, keys, rules).select(*keys, "seq", "time_s", "value", "span")
+
+    def numbered(window: pd.DataFrame) -> pd.DataFrame:
+        window = window.sort_values("seq").reset_index(drop=True)
+        window["stretch"] = _stretches(window, rate or rules.rate, rules)
+        return window
+
+    return rows, {f.name: f.dataType.simpleString() for f in rows.schema.fields}, numbered
+
+
+def filtered(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RULES, rate: float | None = None) -> DataFrame:
+    """keys, seq, time_s, stretch, y: stretches that are long and deep enough, less their median and band-passed without shift."""
+    rows, kinds, numbered = _windows(resp, keys, rules, rate)
+
+    def run(window: pd.DataFrame) -> pd.DataFrame:
+        window = numbered(window).assign(y=np.nan)
+        for _, part in window[window["stretch"] > 0].groupby("stretch"):
+            t, v = part["time_s"].to_numpy(float), part["value"].to_numpy(float)
+            if t[-1] - t[0] >= rules.least_seconds and np.percentile(v, 95) - np.percentile(v, 5) >= rules.least_raw:
+                window.loc[part.index, "y"] = K.zero_phase(*K.band_pass(3, *rules.band, 1 / np.median(np.diff(t))), v - np.median(v))
+        return window.loc[window["y"].notna(), [*keys, "seq", "time_s", "stretch", "y"]]
+
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, "seq")), "time_s double, stretch long, y double"]))
+
+
+FIGURES = ("peak_hz", "ratio", "prominence", "cv", "cycles", "bpm")
+
+
+def judged(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RULES, rate: float | None = None) -> DataFrame:
+    """keys, stretch, verdict (ok, or the first test that it fails), and the figures measured up to that test."""
+    rows, kinds, numbered = _windows(resp, keys, rules, rate)
+
+    def run(window: pd.DataFrame) -> pd.DataFrame:
+        window, found = numbered(window), []
+        for number, part in window[window["stretch"] > 0].groupby("stretch"):
+            verdict, figures = _gate(part["time_s"].to_numpy(float), part["value"].to_numpy(float), rules)
+            found.append({**{k: window[k].iloc[0] for k in keys}, "stretch": number, "verdict": verdict, **{f: figures.get(f) for f in FIGURES}})
+        out = pd.DataFrame(found, columns=[*keys, "stretch", "verdict", *FIGURES])
+        return out.astype(dict.fromkeys(FIGURES, float))
+
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "stretch long, verdict string", *(f"{f} double" for f in FIGURES)]))
+
+
 REPORT = "status string, reason string, peak_hz double, ratio double, prominence double, cv double, cycles double, bpm double"
 
 
@@ -165,18 +210,14 @@ def cleaned(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RUL
     is rejected and all null; from kept_share on it is ok, below partial."""
     if policy not in ("multi", "longest"):
         raise ValueError("policy is multi or longest")
-    rows = split(resp, keys, rules).select(*keys, "seq", "time_s", "value", "span")
-    rate = rate or rules.rate
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    rows, kinds, numbered = _windows(resp, keys, rules, rate)
 
     def run(window: pd.DataFrame) -> pd.DataFrame:
-        window = window.sort_values("seq").reset_index(drop=True)
-        window["stretch"] = _stretches(window, rate, rules)
-        kept, tried, reasons = [], [], []
+        window = numbered(window)
+        kept, tried = [], []
         for number, part in window[window["stretch"] > 0].groupby("stretch"):
             t, v = part["time_s"].to_numpy(float), part["value"].to_numpy(float)
             reason, found = _gate(t, v, rules)
-            reasons.append(reason)
             if reason == "ok":
                 kept.append((number, t[-1] - t[0]))
                 tried.append(found)
@@ -198,9 +239,9 @@ def cleaned(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RUL
                 at = (window["stretch"] == number).to_numpy()
                 value.loc[at] = canonical_plateaus(window["time_s"].to_numpy(float)[at], value.to_numpy()[at], rules)
         out = window.drop(columns="value").assign(value=value, status=status, reason=reason or None)
-        for name in ("peak_hz", "ratio", "prominence", "cv", "cycles", "bpm"):
+        for name in FIGURES:
             out[name] = float(np.median([f[name] for f in tried])) if tried else None
-        return out[[*keys, "seq", "time_s", "value", "stretch", "status", "reason", "peak_hz", "ratio", "prominence", "cv", "cycles", "bpm"]]
+        return out[[*keys, "seq", "time_s", "value", "stretch", "status", "reason", *FIGURES]]
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*keys, "seq")), "time_s double, value double, stretch long", REPORT])
     return rows.groupBy(*keys).applyInPandas(run, schema)
@@ -208,7 +249,7 @@ def cleaned(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules = RUL
 
 def report(cleaned: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """One row per window: status, figures, share kept, and the kept spans as array<struct<t0, t1>>."""
-    names = ["status", "reason", "peak_hz", "ratio", "prominence", "cv", "cycles", "bpm"]
+    names = ["status", "reason", *FIGURES]
     there = F.col("value").isNotNull()
     # by stretch first, so that the grouped function before runs once
     parts = cleaned.groupBy(*keys, "stretch").agg(
@@ -241,7 +282,7 @@ def breath_peaks(resp: DataFrame, keys: Sequence[str] = KEY, rules: BreathRules
                 continue
             dt = float(np.median(np.diff(t)))
             n = max(1, round(rules.smooth_seconds / dt)) | 1
-            smooth = np.convolve(v, np.ones(n) / n, "same") if n <= len(v) else v
+            smooth = np.convolve(v, np.ones(n), "same") / n if n <= len(v) else v
             gap = max(1, int(60 / rules.most_bpm / dt * 0.8))
             best = max((K.peaks(s * smooth, gap, rules.prominence_share * iqr) for s in (1, -1)), key=len)
             parts.append(pd.DataFrame({**{k: window[k].iloc[0] for k in keys}, "span": number, "t_peak": t[best]}))
