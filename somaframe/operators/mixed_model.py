@@ -11,7 +11,7 @@ take (very many different sizes), Spark adds up those sums for a grid of ratios
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -211,18 +211,6 @@ class _Table:
         return _Sums(self.cells, **sums, log=logs @ self.subjects, rows=rows)
 
 
-def _best(at: Callable[[np.ndarray], _Sums]) -> Fit:
-    """The fit at the best ratio; at() gives the sums at ratios, the first of which is infinite (weights of one)."""
-    one = lambda g: at(np.array([math.exp(g)])).solved(1)[0]
-    tried = at(np.exp(FIRST_GRID))
-    best = int(np.argmax([tried.solved(k + 1)[0] for k in range(len(FIRST_GRID))]))
-    lo, hi, golden = FIRST_GRID[max(0, best - 1)], FIRST_GRID[min(len(FIRST_GRID) - 1, best + 1)], (math.sqrt(5) - 1) / 2
-    for _ in range(80):
-        x, y = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        lo, hi = (lo, y) if one(x) > one(y) else (x, hi)
-    return _fit(at(np.array([0.0, math.exp((lo + hi) / 2)])), [0.0, math.exp((lo + hi) / 2)])
-
-
 def _fit(sums: _Sums, ratios: Sequence[float]) -> Fit:
     """The fit at the best of the ratios, the first (none between subjects) if it is as good."""
     found = [sums.solved(k + 1) for k in range(len(ratios))]
@@ -232,15 +220,30 @@ def _fit(sums: _Sums, ratios: Sequence[float]) -> Fit:
 
 
 def _here(table: pd.DataFrame) -> Fit:
-    """From all sums of a variable, held on the driver."""
+    """From all sums of a variable, held on the driver: the best of the first grid, then the root of the slope next to it."""
     own = _Table(table)
     n = own.sizes
 
-    def at(ratios: np.ndarray) -> _Sums:
+    def at(ratios: Sequence[float]) -> _Sums:
         r = np.asarray(ratios)[:, None]
         return own.weighted(np.vstack([np.ones_like(n), r / (1 + r * n)]), np.vstack([np.zeros_like(n), np.log1p(r * n)]), own.rows)
 
-    return _best(at)
+    def slope(g: float) -> float:
+        """Of the likelihood in the ratio; residual sums of squares fall by the squares of subjects' summed residuals over (1 + ratio * n)^2."""
+        ratio = math.exp(g)
+        _, beta, _, s2 = at([ratio]).solved(1)
+        w = 1 / (1 + ratio * n)
+        summed = own.y2 - 2 * own.cy @ beta + np.einsum("kij,i,j->k", own.cc, beta, beta)
+        return float(-0.5 * (own.subjects * n) @ w + 0.5 * (w * w) @ summed / s2)
+
+    tried = at(np.exp(FIRST_GRID))
+    best = int(np.argmax([tried.solved(k + 1)[0] for k in range(len(FIRST_GRID))]))
+    lo, hi = FIRST_GRID[max(0, best - 1)], FIRST_GRID[min(len(FIRST_GRID) - 1, best + 1)]
+    for _ in range(60):
+        middle = (lo + hi) / 2
+        lo, hi = (middle, hi) if slope(middle) > 0 else (lo, middle)
+    ratios = [0.0, math.exp((lo + hi) / 2)]
+    return _fit(at(ratios), ratios)
 
 
 def _there(sums: DataFrame, values: Sequence[str]) -> dict[str, Fit]:

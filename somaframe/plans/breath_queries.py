@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from somaframe.config import BreathRules
 from somaframe.functions import kernels as K
+from somaframe.functions.pieces import Pieces
 from somaframe.operators import respiration as R
 from somaframe.plans.beat_queries import rounded
 from somaframe.plans.registry import query
@@ -170,3 +171,61 @@ SQL_BREATHS = f"""{SQL_STRETCHES}, sq AS (SELECT subject_id, span, quantile_cont
 @query(f"WITH {SQL_BREATHS} SELECT pk.subject_id, pk.span::BIGINT AS span, p / 8.0::DOUBLE AS t_peak FROM pk JOIN ns ON ns.subject_id = pk.subject_id AND ns.span = pk.span AND ns.side = pk.side")
 def breath_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.breath_peaks(breathing(spark, sf_dir), KEYS, RULES).select("subject_id", "span", "t_peak")
+
+
+def three_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three beats for each breath, their intervals from its event's value."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id"), "value", (F.row_number().over(order) - 1).cast("bigint").alias("k"), (24 + 8 * (F.col("user_id") % 4)).alias("p"))
+    rows = events.withColumn("m", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    return rows.select("subject_id", (3 * F.col("k") + F.col("m")).alias("seq"), ((3 * F.col("k") + F.col("m")) * F.col("p") / 24).alias("t_s"), (500 + 5 * F.col("value") + 20 * F.col("m")).alias("rr_ms"))
+
+
+SQL_RSA = f"""WITH {SQL_BREATHS}, pt AS (SELECT pk.subject_id, pk.span, p / 8.0::DOUBLE AS t0 FROM pk JOIN ns ON ns.subject_id = pk.subject_id AND ns.span = pk.span AND ns.side = pk.side),
+    gp AS (SELECT *, t1 - t0 BETWEEN 2 AND 10 AS ok FROM (SELECT *, lead(t0) OVER (PARTITION BY subject_id, span ORDER BY t0) AS t1 FROM pt) WHERE t1 IS NOT NULL),
+    il AS (SELECT *, row_number() OVER (PARTITION BY subject_id, span ORDER BY t0) - row_number() OVER (PARTITION BY subject_id, span, ok ORDER BY t0) AS g FROM gp),
+    ln AS (SELECT subject_id, span, g, count(*) AS n, min(t0) AS a FROM il WHERE ok GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY subject_id, span ORDER BY count(*) DESC, min(t0)) = 1),
+    bre AS (SELECT il.subject_id, il.span, t0, t1 FROM il JOIN ln ON ln.subject_id = il.subject_id AND ln.span = il.span AND ln.g = il.g WHERE ok),
+    bt AS (SELECT subject_id, (3 * k + m) * p / 24.0::DOUBLE AS t, 500 + 5 * value + 20 * m AS rr FROM (SELECT *, unnest([0, 1, 2]) AS m FROM ev)),
+    ea AS (SELECT bre.subject_id, span, t0, max(rr) - min(rr) AS r FROM bre JOIN bt ON bt.subject_id = bre.subject_id AND t >= t0 AND t < t1 GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+    ra AS (SELECT subject_id, avg(r) AS rsa_ms, count(*) AS nb FROM ea GROUP BY 1 HAVING count(*) >= 2),
+    rt AS (SELECT subject_id, 60 / median(t1 - t0) AS rate FROM bre GROUP BY 1),
+    dp AS (SELECT bre.subject_id, span, t0, max(value) - min(value) AS d FROM bre JOIN resp ON resp.subject_id = bre.subject_id AND time_s >= t0 AND time_s < t1 GROUP BY 1, 2, 3),
+    da AS (SELECT subject_id, avg(d) AS amp FROM dp GROUP BY 1)"""
+
+
+@query(f"{SQL_RSA} SELECT rt.subject_id, round(rsa_ms, 6) AS rsa_ms, round(ln(rsa_ms), 6) AS rsa_log_ms, round(rate, 6) AS resp_rate_bpm, nb::DOUBLE AS n_breaths_used, round(amp, 6) AS resp_amp, round(ln(amp), 6) AS resp_log_amp FROM rt LEFT JOIN ra ON ra.subject_id = rt.subject_id LEFT JOIN da ON da.subject_id = rt.subject_id")
+def breath_rsa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the wave to sinus arrhythmia: peaks, breaths, the beats and the depth of each."""
+    resp = breathing(spark, sf_dir)
+    found = R.sinus_arrhythmia(R.breaths(R.breath_peaks(resp, KEYS, RULES), KEYS), three_beats(spark, sf_dir), resp, KEYS)
+    found = rounded(found, "rsa_ms", "rsa_log_ms", "resp_rate_bpm", "resp_amp", "resp_log_amp").withColumn("n_breaths_used", F.col("n_breaths_used").cast("double"))
+    return found.select("subject_id", "rsa_ms", "rsa_log_ms", "resp_rate_bpm", "n_breaths_used", "resp_amp", "resp_log_amp")
+
+
+#: Medians of fifths of a second, of five of them, their means; peaks at least nine apart, as prominent as 15 % of the recording's range.
+SQL_RATES = f"""WITH {SQL_BREATHING}, th AS (SELECT subject_id, CAST(floor(time_s * 5) AS BIGINT) AS q, median(value) AS v FROM resp WHERE value IS NOT NULL GROUP BY 1, 2),
+    m5 AS (SELECT subject_id, q, row_number() OVER w AS r, quantile_cont(v, 0.5) OVER (PARTITION BY subject_id ORDER BY q ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM th WINDOW w AS (PARTITION BY subject_id ORDER BY q)),
+    a5 AS (SELECT subject_id, q, r, avg(v) OVER (PARTITION BY subject_id ORDER BY q ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM m5),
+    rn AS (SELECT subject_id, greatest(1e-6, 0.15 * (quantile_cont(v, 0.99) - quantile_cont(v, 0.01))) AS least FROM a5 GROUP BY 1),
+    cg AS (SELECT *, sum(CASE WHEN v IS DISTINCT FROM pv THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(v) OVER (PARTITION BY subject_id ORDER BY r) AS pv FROM a5)),
+    ct AS (SELECT subject_id, g, any_value(v) AS v, min(r) AS a, max(r) AS b FROM cg GROUP BY 1, 2),
+    cp AS (SELECT subject_id, v, (a + b) // 2 AS p FROM ct WINDOW w AS (PARTITION BY subject_id ORDER BY g) QUALIFY v > lag(v) OVER w AND v > lead(v) OVER w),
+    kd AS (SELECT c.* FROM cp c WHERE NOT EXISTS (SELECT 1 FROM cp d WHERE d.subject_id = c.subject_id AND d.p <> c.p AND abs(d.p - c.p) < 9 AND (d.v > c.v OR (d.v = c.v AND d.p > c.p)))),
+    le AS (SELECT kd.subject_id, kd.p, any_value(kd.v) AS v, max(m.r) FILTER (WHERE m.r < kd.p AND m.v > kd.v) AS l, min(m.r) FILTER (WHERE m.r > kd.p AND m.v > kd.v) AS h FROM kd JOIN a5 m ON m.subject_id = kd.subject_id GROUP BY 1, 2),
+    pb AS (SELECT le.subject_id, le.p, any_value(le.v) - greatest(min(m.v) FILTER (WHERE m.r <= le.p AND m.r > coalesce(le.l, -1)), min(m.v) FILTER (WHERE m.r >= le.p AND m.r < coalesce(le.h, 1e12))) AS up FROM le JOIN a5 m ON m.subject_id = le.subject_id GROUP BY 1, 2),
+    pk AS (SELECT pb.subject_id, q / 5.0::DOUBLE AS t FROM pb JOIN rn ON rn.subject_id = pb.subject_id AND up >= least JOIN a5 ON a5.subject_id = pb.subject_id AND a5.r = pb.p),
+    ib AS (SELECT subject_id, (t + b) / 2 AS t, 60 / (t - b) AS bpm FROM (SELECT *, lag(t) OVER (PARTITION BY subject_id ORDER BY t) AS b FROM pk) WHERE b IS NOT NULL)
+    SELECT subject_id, round(t, 6) AS t, round(quantile_cont(bpm, 0.5) OVER (PARTITION BY subject_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS bpm FROM ib"""
+
+
+@query(SQL_RATES)
+def breath_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(R.rate_series(breathing(spark, sf_dir)), "t", "bpm").select("subject_id", "t", "bpm")
+
+
+@query(SQL_RATES)
+def breath_rates_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of 600 thinned samples that see a hundred of their neighbours."""
+    found = R.rate_series(breathing(spark, sf_dir), pieces=Pieces(rows=600, seconds=60.0), reach=100)
+    return rounded(found, "t", "bpm").select("subject_id", "t", "bpm")
