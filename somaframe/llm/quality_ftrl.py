@@ -1,15 +1,15 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader (operator 5).
 
 Words are runs of letters, digits and other non-ASCII bytes, or runs of punctuation. Features are hashes of
-words, of pairs and of triples of words, in 2^BITS buckets; pairs of a word and itself, and triples that begin
-and end with the same word, count as one n-gram each, whichever word it is. A document's value of a feature is
-its count over the square root of the number of its features. Training runs the updates (per-coordinate rates,
+words, of pairs and of triples of words, in 2^BITS buckets. A document's value of each bucket that it has is one over the square
+root of how many n-grams it has, repeats included: the more a text repeats itself, the smaller its values, and there is no constant that
+would speak for a text of which nothing is known. Training runs the updates (per-coordinate rates,
 L1 and L2) on shards of labelled documents, in several passes, and averages the shards' weights. A score is the logistic of a sparse dot product.
 
 The labelled rows learned from are a bounded sample: MOST_ROWS documents at most in expectation, drawn by
 a hash of doc_id. Everything else covers all rows. The model has 2^BITS weights whatever the input.
 
-Defined cases: null texts are empty; a text without words has the score of the bias alone; of several
+Defined cases: null texts are empty; a text without words has a score of 0.5; of several
 labels of a document their mean counts, null labels do not; of several rows with a doc_id the lowest text is
 learned from; documents without a doc_id are scored, never learned from; without labels every score is 0.5;
 repeated rows get equal scores.
@@ -28,23 +28,23 @@ from pyspark.sql import functions as F
 from somaframe.llm._common import Rolling, chunks, mix64, ship, text_bytes
 
 BITS = 18
+ORDERS = 3
 MOST_ROWS = 20_000
-SHARDS, PASSES = 8, 3
+#: Rows of a shard, whose updates follow each other, and how often each row is learned from.
+SHARD_ROWS, PASSES = 4_000, 5
 #: Learning rate, its smoothing, and the two penalties.
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.5, 1.0
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.1, 0.1
 THRESHOLD = 0.7
-BIAS = 1 << BITS  # index of the weight that every document has
 
 _CLASS = np.zeros(256, np.int8)
 _CLASS[33:] = 2  # punctuation
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _CLASS[_lo:_hi] = 1  # word bytes
 _ROLLING = Rolling(5)
-_REPEATED = mix64(np.array([1, 2], np.uint64))  # hashes of the n-grams that repeat a word
 
 
-def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of the texts, and where each text's begin and the last's end."""
+def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that each text has, in order; where each text's begin and the last's end; and how many n-grams each has."""
     n = len(data)
     kind = _CLASS[data]
     edge = np.ones(n + 1, bool)
@@ -54,33 +54,27 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin, end = cuts[:-1], cuts[1:]
     word = kind[begin] != 0 if n else np.zeros(0, bool)
     begin, end = begin[word], end[word]
-    first = np.searchsorted(begin, at)  # of each text's words
-    h = _ROLLING.ranges(_ROLLING.sums(data), begin, end)
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    parts, owners = [h], [owner]
-    if len(h) > 1:
-        same = owner[1:] == owner[:-1]
-        pair = mix64(h[:-1] * np.uint64(3) + h[1:])
-        pair[h[:-1] == h[1:]] = _REPEATED[0]
-        parts.append(pair[same])
-        owners.append(owner[1:][same])
-    if len(h) > 2:
-        same = owner[2:] == owner[:-2]
-        triple = mix64(mix64(h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(3) + h[2:])
-        triple[h[:-2] == h[2:]] = _REPEATED[1]
-        parts.append(triple[same])
-        owners.append(owner[2:][same])
-    bucket = (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int32)
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return bucket[order], np.searchsorted(owner[order], np.arange(len(at)))
+    words = np.diff(np.searchsorted(begin, at))
+    h = gram = _ROLLING.hashes(data, begin, end)
+    owner = np.repeat(np.arange(len(at) - 1), words)
+    keys = []
+    for order in range(1, ORDERS + 1):
+        if order > 1:
+            gram = mix64(gram[:-1] * np.uint64(3) + h[order - 1 :])
+        own = owner[order - 1 :]
+        same = own == owner[: len(own)]
+        keys.append(own[same] << BITS | (gram[same] >> np.uint64(64 - BITS)).astype(np.int64))
+        if order >= len(h):
+            break
+    key = np.unique(np.concatenate(keys))
+    total = sum(np.maximum(words - k, 0) for k in range(ORDERS))
+    return (key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key, np.arange(len(at)) << BITS), total
 
 
 def scores(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    bucket, first = features(data, at)
+    bucket, first, total = features(data, at)
     sums = np.concatenate([[0.0], np.cumsum(weights[bucket], dtype=np.float64)])
-    n = np.diff(first)
-    logit = weights[BIAS] + (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(n, 1))
+    logit = (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(total, 1))
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
@@ -88,16 +82,17 @@ class Leader:
     """Follow-the-regularised-leader state: sums of shifted and of squared gradients."""
 
     def __init__(self) -> None:
-        self.z, self.n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
+        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
     def weights(self, index: np.ndarray | slice = slice(None)) -> np.ndarray:
         z = self.z[index]
         shrunk = np.sign(z) * np.maximum(np.abs(z) - L1, 0)
         return -shrunk / ((BETA + np.sqrt(self.n[index])) / ALPHA + L2)
 
-    def learn(self, index: np.ndarray, value: np.ndarray, label: float) -> None:
+    def learn(self, index: np.ndarray, value: float, label: float) -> None:
+        """One document, whose features all have one value."""
         w = self.weights(index)
-        g = (1 / (1 + np.exp(-np.clip(w @ value, -30, 30))) - label) * value
+        g = (1 / (1 + np.exp(-np.clip(w.sum() * value, -30, 30))) - label) * value
         rate = (np.sqrt(self.n[index] + g * g) - np.sqrt(self.n[index])) / ALPHA
         self.z[index] += g - rate * w
         self.n[index] += g * g
@@ -109,7 +104,7 @@ def in_test_part(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> np.ndarray:
-    """2^BITS + 1 weights, from labelled documents outside the held-out part."""
+    """2^BITS weights, from labelled documents outside the held-out part."""
     spark = docs.sparkSession
     ship(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_test_part(F.col("doc_id"), 4, 2))
@@ -117,20 +112,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most_rows / max(1, n)))
     known = known.where(draw)
+    shards = -(-max(1, min(n, most_rows)) // SHARD_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # MOST_ROWS pairs of numbers
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("y").alias("y"))  # a doc_id may stand in very many rows
-    rows = rows.withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SHARDS)), "_h": F.xxhash64("doc_id", F.lit(7))})
+    rows = rows.withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(shards)), "_h": F.xxhash64("doc_id", F.lit(7))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list[tuple[np.ndarray, np.ndarray, float]]] = {}
+        held: dict[int, list[tuple[np.ndarray, float, float]]] = {}
         for batch in batches:
             for part in chunks(batch, "text"):
-                bucket, first = features(*text_bytes(part.column(1)))
+                bucket, first, total = features(*text_bytes(part.column(1)))
                 for i, (shard, y) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    own = bucket[first[i] : first[i + 1]]
-                    index, count = np.unique(own, return_counts=True)
-                    shards.setdefault(shard, []).append((np.append(index, BIAS), np.append(count / np.sqrt(max(1, len(own))), 1.0), y))
-        for rows in shards.values():
+                    own = bucket[first[i] : first[i + 1]].copy()
+                    held.setdefault(shard, []).append((own, 1 / np.sqrt(max(1, total[i])), y))
+        for rows in held.values():
             leader = Leader()
             for _ in range(PASSES):
                 for row in rows:
@@ -139,13 +134,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
             some = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(w[some], 1.0))], names=["index", "w"])
 
-    trained = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "_h", "text").select("shard", "text", "y").mapInArrow(run, "index long, w double")
+    trained = rows.repartition(shards, "shard").sortWithinPartitions("shard", "_h", "text").select("shard", "text", "y").mapInArrow(run, "index long, w double")
     found = trained.groupBy("index").agg(F.sum("w").alias("w")).toPandas()  # 2^BITS rows at most
-    w = np.zeros(BIAS + 1)
+    w = np.zeros(1 << BITS)
     if len(found):
-        shards = found.loc[found["index"] == -1, "w"].iloc[0]
+        trained_shards = found.loc[found["index"] == -1, "w"].iloc[0]
         found = found[found["index"] >= 0]
-        w[found["index"].to_numpy()] = found["w"].to_numpy() / shards
+        w[found["index"].to_numpy()] = found["w"].to_numpy() / trained_shards
     return w
 
 

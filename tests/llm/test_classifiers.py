@@ -20,20 +20,44 @@ def test_quality_on_held_out(spark, more):
     got = Q.classify(more, labels).where("held_out").join(labels, "doc_id").toPandas()
     rank, good = got.score.rank(), got.quality == 1
     auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
-    assert auc > 0.99
+    assert auc > 0.999
     assert (got.predicted == got.quality).mean() > 0.97
     assert got.score.between(0, 1).all()
 
 
-def test_quality_features_by_hand():
-    texts = ["Ab ab!! x", "", "go go"]
-    bucket, first = Q.features(*text_bytes(pa.array(texts)))
-    # four runs (Ab, ab, !!, x), three pairs, two triples; then none; then two words and their pair
-    assert first.tolist() == [0, 9, 9, 12]
-    w = np.zeros(Q.BIAS + 1)
-    w[bucket[0]] = 1.0
+def plain_features(text):
+    """Distinct buckets and the number of n-grams of one text: regular expressions, and the hash by its definition in whole numbers."""
+    import re
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 32
+        x = x * 0x9E3779B97F4A7C15 & mask
+        x ^= x >> 29
+        x = x * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    table, base = Q._ROLLING.words.tolist(), Q._ROLLING._base
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+", (text or "").encode())
+    h = [mix((sum(table[b] * pow(base, i, 1 << 64) for i, b in enumerate(w)) + len(w)) & mask) for w in words]
+    pairs = [mix((a * 3 + b) & mask) for a, b in zip(h, h[1:], strict=False)]
+    triples = [mix((a * 3 + b) & mask) for a, b in zip(pairs, h[2:], strict=False)]
+    every = h + pairs + triples
+    return {g >> (64 - Q.BITS) for g in every}, len(every)
+
+
+def test_quality_features_by_hand(documents):
+    texts = ["Ab ab!! x", "", "go go", "go go go go", "...", "x\x00y é!日本 a-b", None] + [r.text for r in documents.where("length(text) < 2000").orderBy("doc_id").limit(30).collect()]
+    bucket, first, total = Q.features(*text_bytes(pa.array(texts)))
+    for i, t in enumerate(texts):
+        want, n = plain_features(t)
+        assert set(bucket[first[i] : first[i + 1]].tolist()) == want and first[i + 1] - first[i] == len(want) and total[i] == n, t
+    assert total[:4].tolist() == [4 + 3 + 2, 0, 3, 4 + 3 + 2] and len(set(bucket[first[3] : first[4]].tolist())) == 3
+    w = np.random.default_rng(0).normal(size=1 << Q.BITS)
     alone = [Q.scores(*text_bytes(pa.array([t])), w)[0] for t in texts]
     assert Q.scores(*text_bytes(pa.array(texts)), w).tolist() == pytest.approx(alone)
+    assert alone[0] == pytest.approx(1 / (1 + np.exp(-sum(w[k] for k in plain_features(texts[0])[0]) / 3)))
 
 
 def plain_leader(rows, passes):
@@ -59,19 +83,17 @@ def plain_leader(rows, passes):
     return {i: weight(i) for i in z}
 
 
-def test_quality_same_as_plain_updates(spark, more, monkeypatch):
+def test_quality_same_as_plain_updates(spark, more):
     """One shard, so that the order of the updates is known: by the hash of doc_id."""
     import math
-    from collections import Counter
 
-    monkeypatch.setattr(Q, "SHARDS", 1)
-    docs = more.where("doc_id < 600").select("doc_id", "text")
-    labels = spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 600")
+    docs = more.where("doc_id < 400").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 400")
     known = labels.where("crc32(CAST(doc_id AS STRING)) % 4 <> 2").join(docs, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7))).collect()
     rows = []
     for r in known:
-        bucket, _ = Q.features(*text_bytes(pa.array([r.text or ""])))
-        rows.append(({i: c / math.sqrt(max(1, len(bucket))) for i, c in Counter(bucket.tolist()).items()} | {Q.BIAS: 1.0}, float(r.quality)))
+        buckets, n = plain_features(r.text)
+        rows.append((dict.fromkeys(buckets, 1 / math.sqrt(max(1, n))), float(r.quality)))
     want = plain_leader(rows, Q.PASSES)
     got = Q.train(docs.unionByName(docs), labels)  # every doc_id twice: one row of each is learned from
     assert len(rows) > 100 and any(want.values())
