@@ -55,7 +55,7 @@ def test_quality_features_by_hand(documents):
         assert set(bucket[first[i] : first[i + 1]].tolist()) == want and first[i + 1] - first[i] == len(want) and total[i] == n, t
     assert total[:4].tolist() == [4 + 3 + 2, 0, 3, 4 + 3 + 2] and len(set(bucket[first[3] : first[4]].tolist())) == 3
     w = np.random.default_rng(0).normal(size=1 << Q.BITS)
-    alone = [Q.scores(*text_bytes(pa.array([t])), w)[0] for t in texts]
+    alone = [Q.scores(*text_bytes(pa.array([t], pa.string())), w)[0] for t in texts]
     assert Q.scores(*text_bytes(pa.array(texts)), w).tolist() == pytest.approx(alone)
     assert alone[0] == pytest.approx(1 / (1 + np.exp(-sum(w[k] for k in plain_features(texts[0])[0]) / 3)))
 
