@@ -9,6 +9,11 @@ boilerplate: its lines are dropped from all documents but the first that holds i
 corpus of copies keeps one of each. So are lines of LONG_TOKENS tokens or more that LONG_DOCS documents hold
 as they are, and lines of fewer than MIN_TOKENS tokens (as they are, but for blanks) that SHORT_DOCS hold.
 
+How many documents are asked for grows with the corpus where a line is short: of `lines` lines of ordinary prose, about
+lines / 2^(BITS_PER_TOKEN * tokens) equal one given line by chance, so that many are asked for at least. For lines of four tokens that is
+over the constants above from some fifty million lines on, for lines of seven from 10^13 on; lines of one token have to stand in
+1.6 % as many documents as there are lines, lines of two in 0.02 %. So prose of BITS_PER_TOKEN bits a token or more stays at any size of the corpus.
+
 All of it is counting by key, combined before every shuffle; a leaf or a template, however frequent, is
 never gathered. Tokens are only exploded for leaves with several distinct lines, once per distinct line.
 
@@ -34,6 +39,8 @@ LONG_TOKENS, LONG_DOCS = 20, 2
 #: A line of fewer than MIN_TOKENS tokens, digits and all, recurs if so many documents hold it.
 SHORT_DOCS = 10
 SIMILARITY = 0.6
+#: Bits of information in a token of ordinary prose, low: what tells how often short lines recur by chance.
+BITS_PER_TOKEN = 6
 #: Leaves, or frequent tokens, that are sent to all executors (tens of bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Distinct lines of a leaf with a token at one place, beyond which the token counts as frequent there.
@@ -56,7 +63,7 @@ def _tokens(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """KEY, line (from 0), short, leaf, exact (hash of the line with digits masked), same (hash of a long line as it is) and
+    """KEY, line (from 0), short, n (tokens), leaf, exact (hash of the line with digits masked), same (hash of a long line as it is) and
     masked, for lines with tokens. A short line is its own leaf, digits and all."""
     each = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.col("raw").rlike(WORD[:-1]))
     # most lines have single blanks only, and need no rewriting; tokens are counted by the blanks between them
@@ -68,7 +75,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     leaf = F.when(F.col("short"), own).otherwise(F.xxhash64("n", head))
     exact = F.when(F.col("short"), own).otherwise(F.xxhash64("masked"))
     same = F.when(F.col("n") >= LONG_TOKENS, F.xxhash64("raw", F.lit(1)))
-    return each.select(*KEY, "line", "short", leaf.alias("leaf"), exact.alias("exact"), same.alias("same"), "masked")
+    return each.select(*KEY, "line", "short", "n", leaf.alias("leaf"), exact.alias("exact"), same.alias("same"), "masked")
 
 
 def templates(lines: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
@@ -96,9 +103,10 @@ def templates(lines: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """KEY and _lines (array of line numbers that go). docs: with the columns of KEY."""
     lines = lines_of(docs)
-    narrow = checkpoint(lines.drop("masked"))
+    narrow = checkpoint(lines.drop("masked"))  # a row for each line with tokens
     kinds = checkpoint(narrow.groupBy("leaf", "exact").agg(F.count("*").alias("n")))
-    enough = F.when(F.col("short"), max(min_docs, SHORT_DOCS)).otherwise(min_docs)
+    chance = F.ceil(F.lit(float(narrow.count())) / F.pow(F.lit(2.0), BITS_PER_TOKEN * F.col("n"))).cast("int")
+    enough = F.greatest(F.when(F.col("short"), max(min_docs, SHORT_DOCS)).otherwise(min_docs), chance)
     leaves = checkpoint(kinds.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("kinds")).where(F.col("lines") >= min_docs))
     several = checkpoint(leaves.where("kinds > 1").select("leaf"))
     if several.count() <= BROADCAST_ROWS:  # else all lines, with their texts, are shuffled
