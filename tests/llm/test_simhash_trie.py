@@ -5,7 +5,6 @@ import pytest
 import xxhash
 
 from somaframe.llm import simhash_trie as S
-from tests_llm_brute import check_kept
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -46,27 +45,6 @@ def test_documents(documents):
     assert [got[r.doc_id].component_id for r in rows] == [rows[k].doc_id for k in roots(fps)]
 
 
-def test_representatives(spark):
-    rng = np.random.default_rng(9)
-    rows, n = [], 0
-    for _ in range(25):
-        words = [f"w{k}" for k in rng.integers(0, 5000, 300)]
-        for copy in range(4):
-            own = list(words)
-            for k in rng.integers(0, 300, copy):  # 0 to 3 words are other ones
-                own[k] = f"x{n}"
-            rows.append((n, " ".join(own)))
-            n += 1
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in S.representatives(df).collect()}
-    check_kept(rows, kept)
-    assert kept == set(range(0, 100, 4))
-
-
-def test_bits_of_a_similarity():
-    assert S.most_bits(1.0) == 0 and S.most_bits(0.8) == 78 and S.most_bits(0.0) == 256
-
-
 @pytest.mark.parametrize("node_rows", [4096, 4])
 def test_links_connect_what_pairs_connect(spark, node_rows):
     rng, out = np.random.default_rng(0), []
@@ -107,6 +85,3 @@ def test_odd_rows(odd, empty):
     assert {(d, c) for d, f, c in got if f == "0" * 16} == {(-1, 1), (1, 1), (2, 1)}
     assert {c for d, _, c in got if d in (6, 7, 8)} == {6}
     assert S.classes(empty).count() == 0
-    assert S.representatives(odd).columns == odd.columns
-    assert S.representatives(odd).where("doc_id = 3").count() == 1 and S.representatives(odd).where("doc_id IN (6, 7, 8)").count() == 1
-    assert S.representatives(empty).count() == 0
