@@ -18,7 +18,7 @@ from somaframe.operators import stats as D
 from somaframe.operators import tables as T
 from somaframe.operators import time_domain as TD
 from somaframe.operators import windows as W
-from somaframe.plans.beat_queries import IN_TIME, rounded
+from somaframe.plans.beat_queries import IN_TIME, SQL_F, cut, rounded
 from somaframe.plans.frequency_queries import SQL_RESP
 from somaframe.plans.ingest_queries import SQL_NAMES, SQL_SID, file_names, sids
 from somaframe.plans.registry import query
@@ -119,22 +119,36 @@ def subjects_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.subjects(file_names(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('orders', 'o_orderkey', 'o_custkey'), ('region', 'r_regionkey', 'r_name')) t(name, time_column, value_column)")
+SQL_GUESS = "SELECT '{t}' AS name, '{a}' AS time_column, '{b}' AS value_column, sum(CAST({a} AS HUGEINT) % 1000003)::BIGINT AS times, CAST(count(DISTINCT {b}) AS BIGINT) AS n_values FROM {t}"
+
+
+@query(f"{SQL_GUESS.format(t='orders', a='o_orderkey', b='o_custkey')} UNION ALL {SQL_GUESS.format(t='region', a='r_regionkey', b='r_name')}")
 def guessed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time and value by position: the first two numeric columns, else the first two."""
-    found = [(t, *I.first_two_numeric(V.table(spark, sf_dir, t))) for t in ("orders", "region")]
-    return spark.createDataFrame(found, "name string, time_column string, value_column string")
+    """Time and value by position, the first two numeric columns, else the first two; and what is read by these names."""
+    parts = []
+    for name in ("orders", "region"):
+        rows = V.table(spark, sf_dir, name)
+        time, value = I.first_two_numeric(rows)
+        parts.append(rows.agg(F.lit(name).alias("name"), F.lit(time).alias("time_column"), F.lit(value).alias("value_column"), F.sum(F.col(time) % 1000003).cast("bigint").alias("times"), F.count_distinct(value).alias("n_values")))
+    return parts[0].unionByName(parts[1])
 
 
-@query("SELECT 'l_quantty' AS missing, 'l_quantity' AS suggestion")
+@query("SELECT l_suppkey AS subject_id, 'l_quantity' AS suggestion, round(sum(l_quantity), 3) AS total FROM lineitem GROUP BY 1")
 def suggested_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("l_quantty", I.suggested(V.table(spark, sf_dir, "lineitem").columns, "l_quantty")[0])], "missing string, suggestion string")
+    """A misspelt column, read by its suggestion."""
+    lines = V.table(spark, sf_dir, "lineitem")
+    name = I.suggested(lines.columns, "l_quantty")[0]
+    return lines.groupBy(F.col("l_suppkey").alias("subject_id")).agg(F.lit(name).alias("suggestion"), F.round(F.sum(name), 3).alias("total"))
 
 
-@query("SELECT unnest(['hr_bpm', 'hr_bpm_bs', 'hr_bpm_ws', 'rmssd_ms']) AS name")
+@query(f"""{SQL_F}, x AS (SELECT hr_bpm, hr_bpm - avg(hr_bpm) OVER p AS ws, avg(hr_bpm) OVER p AS bs, rmssd_ms FROM f WINDOW p AS (PARTITION BY subject_id)), y AS (SELECT unnest(['hr_bpm', 'hr_bpm_ws', 'hr_bpm_bs', 'rmssd_ms']) AS name, unnest([hr_bpm, ws, bs, rmssd_ms]) AS v FROM x)
+    SELECT name, count(v) AS n, round(avg(abs(v)), 6) AS mean FROM y GROUP BY 1""")
 def expanded_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["rmssd_ms", "hr_bpm_ws", "hr_bpm", "hr_bpm_bs", "sdnn_ms"]
-    return spark.createDataFrame([(c,) for c in T.expanded(["hr_bpm", "rmssd_ms", "absent"], columns)], "name string")
+    """The asked features of windows with their centred families, as far as the table has them."""
+    rows = TD.centred(TD.features(cut(spark, sf_dir), ["hr_bpm", "rmssd_ms", "sdnn_ms"]), ["hr_bpm"])
+    names = T.expanded(["hr_bpm", "rmssd_ms", "absent"], rows.columns)
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in names))).alias("x")).select("x.*")
+    return long.groupBy("name").agg(F.count("v").alias("n"), F.round(F.avg(F.abs("v")), 6).alias("mean"))
 
 
 @query("SELECT user_id AS subject_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 7 > 0 GROUP BY 1")
@@ -159,9 +173,9 @@ def excluded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.without(sids(spark, sf_dir), ["P003S001T002R001", "P007"], F.col("sid"), N.short_label(F.col("sid"))).select("sid")
 
 
-@query("SELECT 3 AS level")
+@query(f"WITH {SQL_DAYS} SELECT CAST(max(w_id % 4) + 1 AS INTEGER) AS level FROM wins")
 def next_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.next_level(W.numbered(day_windows(spark, sf_dir).withColumns({"meaning": F.lit("day"), "def_order": F.lit(0)}), level=2))
+    return W.next_level(day_windows(spark, sf_dir).withColumn("level", F.col("w_id") % 4))
 
 
 @query("SELECT l_suppkey AS subject_id, round(sum(sqrt(l_quantity ** 2 + (l_discount * 1000) ** 2)), 3) AS vm FROM lineitem GROUP BY 1")
@@ -219,10 +233,14 @@ def totals_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = {1: ["q1", "q2"], 2: ["q1"], 3: ["q1"]}
 
 
-@query("SELECT * FROM (VALUES ('time', '1'), ('time', '2'), ('time', '3'), ('repeated', 'q1'), ('all', 'q1'), ('all', 'q2')) t(kind, name)")
+@query(f"""{ITEMS}, s AS (SELECT * FROM (VALUES ('time', '1'), ('time', '2'), ('time', '3'), ('repeated', 'q1'), ('all', 'q1'), ('all', 'q2')) t(kind, name))
+    SELECT kind, name, (SELECT count(CASE WHEN kind = 'time' THEN CASE WHEN CAST(time AS VARCHAR) = name THEN 1 END ELSE CASE WHEN name = 'q1' THEN q1 ELSE q2 END END) FROM items) AS n FROM s""")
 def variable_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times, constructs asked for repeatedly, and all, each with how many answers the questionnaires have."""
     times, repeated, every = S.variable_sets(ASKED)
-    return spark.createDataFrame([*(("time", str(t)) for t in times), *(("repeated", n) for n in repeated), *(("all", n) for n in every)], "kind string, name string")
+    named = [*(("time", str(t), F.count_if(F.col("time") == t)) for t in times), *(("repeated", n, F.count(n)) for n in repeated), *(("all", n, F.count(n)) for n in every)]
+    counts = items(spark, sf_dir).agg(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), n.alias("n")) for kind, name, n in named)).alias("x"))
+    return counts.select(F.explode("x").alias("x")).select("x.*")
 
 
 SQL_AT = "max(CASE WHEN time = {t} THEN q1 END) OVER (PARTITION BY items.subject_id)"

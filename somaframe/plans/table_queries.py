@@ -177,11 +177,10 @@ def delta_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.with_deltas(T.by_time(items(spark, sf_dir), ["q1"], [1, 2, 3]), "q1").select("subject_id", "d_q1_induction", "d_q1_intervention")
 
 
-@query(f"{ITEMS} SELECT subject_id, max(task) AS task, max(CASE WHEN time = 1 THEN q1 END) AS \"q1_T1\", max(CASE WHEN time = 2 THEN q1 END) AS \"q1_T2\", max(CASE WHEN time = 3 THEN q1 END) AS \"q1_T3\" FROM items GROUP BY 1 HAVING count(*) = 3")
+@query(f"{ITEMS} SELECT subject_id, max(task) AS task, max(CASE WHEN time = 1 THEN q1 END) AS \"q1_T1\", max(CASE WHEN time = 2 THEN q1 END) AS \"q1_T2\", max(CASE WHEN time = 3 THEN q1 END) AS \"q1_T3\" FROM items GROUP BY 1")
 def collapsed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir)
-    full = rows.join(rows.groupBy("subject_id").count().where("count = 3"), "subject_id", "left_semi")
-    return T.collapsed(T.by_time(full, ["task", "q1"], [1, 2, 3]))
+    """The task is the same at all times that a subject has; some subjects lack one or two."""
+    return T.collapsed(T.by_time(items(spark, sf_dir), ["task", "q1"], [1, 2, 3]))
 
 
 @query(f"{SQL_FEATURES}, {V.SQL_ITEMS}, a AS (SELECT subject_id, avg(hr_bpm) AS hr FROM f GROUP BY 1), b AS (SELECT subject_id, avg(q1) AS q1 FROM items GROUP BY 1) SELECT a.subject_id, round(hr, 6) AS hr, round(q1, 6) AS q1 FROM a LEFT JOIN b ON a.subject_id = b.subject_id")
