@@ -180,10 +180,12 @@ class Codec:
                 hit = n, raw[at : at + n]
             steps.append((at, hit[1]))
             at += hit[0]
-        if self.trim:
-            begin = next((i for i, (_, p) in enumerate(steps) if p.strip(b" ")), len(steps))
+        first = 0
+        if self.trim:  # blanks in front go; a character that the map takes out ends them, and the mark in front begins there
+            begin = next((i for i, (_, p) in enumerate(steps) if p != b" "), len(steps))
             if begin == len(steps):
                 return "", np.array([len(raw)])
+            first = steps[begin][0]
             kept, blank = [], True
             for where, piece in steps[begin:]:
                 piece = piece.lstrip(b" ") if blank else piece
@@ -192,7 +194,7 @@ class Codec:
                     blank = piece.endswith(b" ")
             steps = kept
         if self.prefix:
-            put(b" ", steps[0][0] if steps else 0)
+            put(b" ", first)
         for where, piece in steps:
             put(piece, where)
         end = len(raw)
