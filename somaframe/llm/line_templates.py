@@ -43,6 +43,8 @@ SIMILARITY = 0.6
 BITS_PER_TOKEN = 6
 #: Leaves, or frequent tokens, that are sent to all executors (tens of bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Distinct lines whose texts are fetched by their places (some 60 bytes each, sent to all executors).
+FETCH_ROWS = 250_000
 #: Distinct lines of a leaf with a token at one place, beyond which the token counts as frequent there.
 HOT_ROWS = 1000
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -78,11 +80,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.select(*KEY, "line", "short", "n", leaf.alias("leaf"), exact.alias("exact"), same.alias("same"), "masked")
 
 
-def templates(lines: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
+def texts_of(docs: DataFrame, lines: DataFrame, narrow: DataFrame, several: DataFrame) -> DataFrame:
+    """leaf, exact, masked: the distinct lines of the leaves `several`.
+
+    One line of each kind is enough, so its place is looked up in the lines already told apart, and only the texts that hold such
+    places are split again. Where these are too many to be sent to all executors, all lines are told apart once more."""
+    few = several.count() <= BROADCAST_ROWS
+    held = narrow.join(F.broadcast(several), "leaf", "left_semi") if few else salted_join(narrow, several, ["leaf"], "left_semi", [*KEY, "line"])
+    places = checkpoint(held.groupBy("leaf", "exact").agg(F.min(F.struct(*KEY, "line")).alias("at")).select("leaf", "exact", "at.*"))
+    if places.count() <= FETCH_ROWS:
+        asked = places.groupBy(*(F.col(c).alias(f"_of{c}") for c in KEY)).agg(F.collect_list(F.struct("line", "leaf", "exact")).alias("_places"))
+        found = docs.select(*KEY, "text").join(F.broadcast(asked), [F.col(c) == F.col(f"_of{c}") for c in KEY])
+        found = found.select(F.split("text", "\n").alias("_split"), F.explode("_places").alias("at"))
+        # rows equal in doc_id and text give a line more than once
+        return found.select("at.leaf", "at.exact", F.regexp_replace(F.element_at("_split", F.col("at.line") + 1), "[0-9]+", "0").alias("masked")).distinct()
+    compared = lines.join(F.broadcast(several), "leaf", "left_semi") if few else salted_join(lines, several, ["leaf"], "left_semi", [*KEY, "line"])
+    return compared.select("leaf", "exact", "masked").distinct()
+
+
+def templates(texts: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
     """leaf, exact, template: for distinct lines of leaves that hold several; lines without enough constant tokens are missing.
 
-    lines: as lines_of() gives them, of those leaves only. kinds: leaf, exact and n (how many lines)."""
-    texts = lines.select("leaf", "exact", "masked").distinct().withColumn("_tokens", _tokens(F.col("masked")))
+    texts: as texts_of() gives them. kinds: leaf, exact and n (how many lines)."""
+    texts = texts.withColumn("_tokens", _tokens(F.col("masked")))
     tokens = texts.join(kinds, ["leaf", "exact"]).select("leaf", "exact", "n", F.size("_tokens").alias("of"), F.posexplode("_tokens").alias("at", "token"))
     tokens = checkpoint(tokens.select("leaf", "exact", "n", "of", F.xxhash64("at", "token").alias("token")))
     common = checkpoint(tokens.groupBy("leaf", "token").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows")).where(F.col("_n") >= min_docs))
@@ -109,11 +129,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     enough = F.greatest(F.when(F.col("short"), max(min_docs, SHORT_DOCS)).otherwise(min_docs), chance)
     leaves = checkpoint(kinds.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("kinds")).where(F.col("lines") >= min_docs))
     several = checkpoint(leaves.where("kinds > 1").select("leaf"))
-    if several.count() <= BROADCAST_ROWS:  # else all lines, with their texts, are shuffled
-        compared = lines.join(F.broadcast(several), "leaf", "left_semi")
-    else:
-        compared = salted_join(lines, several, ["leaf"], "left_semi", [*KEY, "line"])
-    general = templates(compared, kinds, min_docs)
+    general = templates(texts_of(docs, lines, narrow, several), kinds, min_docs)
     held = salted_join(narrow, leaves.select("leaf"), ["leaf"], "left_semi", [*KEY, "line"])
     held = salted_join(held, general, ["leaf", "exact"], "left", [*KEY, "line"])
     held = held.select(*KEY, "line", F.coalesce("template", F.xxhash64("leaf", "exact")).alias("template"), enough.alias("enough"))

@@ -112,6 +112,7 @@ def test_same_as_brute_force(documents, monkeypatch, broadcast):
     monkeypatch.setattr(S, "HOT_ROWS", 3)
     if not broadcast:
         monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(S, "FETCH_ROWS", 0)
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     gone = brute(rows)
     got = {r.doc_id: r for r in S.drop_boilerplate(documents).collect()}
