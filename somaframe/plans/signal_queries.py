@@ -158,16 +158,16 @@ def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
     kn AS (SELECT subject_id, min(time_s) AS t0, greatest(50.0::DOUBLE, least(2000.0::DOUBLE, round_even(1 / median(t1 - time_s), 0))) AS fs FROM nx GROUP BY 1),
     pl AS (SELECT nx.*, t0, fs, CAST(ceil((time_s - t0) * fs) AS BIGINT) AS a, CAST(ceil((t1 - t0) * fs) AS BIGINT) AS b FROM nx JOIN kn ON kn.subject_id = nx.subject_id WHERE t1 IS NOT NULL),
     gr AS (SELECT *, unnest(range(a, b)) AS n FROM pl WHERE b > a)
-    SELECT subject_id, n, round(t0 + n / fs, 6) AS time_s, round(value + (v1 - value) * (t0 + n / fs - time_s) / (t1 - time_s), 4) AS value, fs AS fs_hz FROM gr""")
+    SELECT subject_id, n, round(t0 + n / fs, 6) AS time_s, round(0.7390851332 * (value + (v1 - value) * (t0 + n / fs - time_s) / (t1 - time_s)), 3) AS value, fs AS fs_hz FROM gr""")
 def ecg_even_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.resampled(uneven(spark, sf_dir))
-    return found.withColumns({"time_s": F.round("time_s", 6), "value": F.round("value", 4)})
+    return found.withColumns({"time_s": F.round("time_s", 6), "value": F.round(0.7390851332 * F.col("value"), 3)})
 
 
 @query(ORACLES["ecg_even_grid"])
 def ecg_even_grid_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.resampled(uneven(spark, sf_dir), pieces=Pieces(rows=400, seconds=2.0))
-    return found.withColumns({"time_s": F.round("time_s", 6), "value": F.round("value", 4)})
+    return found.withColumns({"time_s": F.round("time_s", 6), "value": F.round(0.7390851332 * F.col("value"), 3)})
 
 
 # --- mixed model ---
