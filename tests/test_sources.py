@@ -35,8 +35,8 @@ def test_sixteen_bits():
 
 
 def test_headers():
-    h = R.parse_header("# a comment\nf1o01 2 250 1800000\nf1o01.dat 16 200(5)/mV 16 0 7 0 0 ECG lead II\nf1o01.dat 16 0 16 3 0 0 0 RESP\n")
-    assert (h.name, h.rate, h.frames) == ("f1o01", 250.0, 1800000)
+    h = R.parse_header("# a comment\nrec01 2 250 1800000\nrec01.dat 16 200(5)/mV 16 0 7 0 0 ECG lead II\nrec01.dat 16 0 16 3 0 0 0 RESP\n")
+    assert (h.name, h.rate, h.frames) == ("rec01", 250.0, 1800000)
     assert [(c.gain, c.baseline, c.label) for c in h.channels] == [(200.0, 5.0, "ECG lead II"), (200.0, 3.0, "RESP")]
     assert R.parse_header("x 1\nx.dat 212\n").rate == 250.0
     with pytest.raises(ValueError, match="not known"):
