@@ -2,13 +2,15 @@
 
 A header names the record, how many channels it has, its rate and length; a line for each channel names its file, format (16 or
 212), gain with baseline and unit, and what it measures. Channels of a file are interleaved. The data source plans
-partitions from the headers alone, PART_FRAMES frames of a record in each, and every task reads only its own bytes.
+partitions from the headers alone, PART_FRAMES frames of a record in each, and every task reads only its own bytes. Where there
+are very many short parts, a partition takes a run of them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from somaframe.functions.frames import spread
 from somaframe.functions.shipping import ship
 from somaframe.sources.files import loader
 
@@ -26,6 +29,9 @@ FORMAT = "somaframe_records"
 SCHEMA = "name string, signal string, i long, time_s double, value double, fs_hz double"
 #: Frames (one sample of each channel) that a task reads, and those decoded at once. Even, so that pairs of 12-bit samples stay whole.
 PART_FRAMES, BATCH_FRAMES = 4_000_000, 200_000
+#: Up to so many parts each is a partition; beyond, partitions hold runs of parts, where opening a file counts as OPEN_FRAMES frames. And
+#: how many headers are read at once.
+MOST_SINGLE, OPEN_FRAMES, READERS = 64, 20_000, 16
 #: Fixed values of the format: rate and gain where a header gives none, and the number that stands for a missing sample.
 DEFAULT_RATE, DEFAULT_GAIN = 250.0, 200.0
 MISSING = {16: -(1 << 15), 212: -(1 << 11)}
@@ -93,12 +99,29 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class Part(InputPartition):
+class Part:
     header: Header
     first: int
     frames: int
 
 
+@dataclass
+class Run(InputPartition):
+    parts: list[Part]
+
+
+def in_runs(parts: Sequence[Part]) -> list[Run]:
+    """One part each, or runs of parts of about equal work: as many as the work asks for, MOST_SINGLE at least."""
+    if len(parts) <= MOST_SINGLE:
+        return [Run([p]) for p in parts]
+    upto = np.cumsum([p.frames + OPEN_FRAMES for p in parts])
+    n = max(MOST_SINGLE, -(-int(upto[-1]) // PART_FRAMES))
+    runs: dict[int, list[Part]] = {}
+    for part, place in zip(parts, ((upto - 1) * n // upto[-1]).tolist(), strict=True):
+        runs.setdefault(place, []).append(part)
+    return [Run(r) for r in runs.values()]
+
+
 class RecordReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -108,30 +131,44 @@ class RecordReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         store, path = _store(self.path)
-        heads = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.is_file and f.extension == "hea")
-        parts = []
-        for head in heads:
-            if self.named and head.rsplit("/", 1)[-1][:-4] not in self.named:
-                continue
-            header = parse_header(store.open_input_stream(head).read().decode())
+        files = [f for f in store.get_file_info(fs.FileSelector(path)) if f.is_file]
+        heads, sizes = sorted(f.path for f in files if f.extension == "hea"), {f.path: f.size or 0 for f in files}
+        if self.named:
+            heads = [h for h in heads if h.rsplit("/", 1)[-1][:-4] in self.named]
+
+        def split(head: str) -> list[Part]:
+            with store.open_input_stream(head) as file:
+                header = parse_header(file.read().decode())
             if not header.channels:
-                continue
-            size = store.get_file_info(f"{path}/{header.channels[0].file}").size or 0
+                return []
+            size = sizes[f"{path}/{header.channels[0].file}"] if f"{path}/{header.channels[0].file}" in sizes else store.get_file_info(f"{path}/{header.channels[0].file}").size or 0
             there = size * (8 if header.channels[0].format == 16 else 16) // (16 if header.channels[0].format == 16 else 24) // len(header.channels)
             frames = min(there, header.frames) if header.frames else there
-            parts += [Part(header, at, min(self.part, frames - at)) for at in range(0, frames, self.part)]
-        return parts or [Part(Header("", DEFAULT_RATE, 0, ()), 0, 0)]
-
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        header, n = partition.header, len(partition.header.channels)
-        if not n:
-            return
+            return [Part(header, at, min(self.part, frames - at)) for at in range(0, frames, self.part)]
+
+        with ThreadPoolExecutor(READERS) as pool:
+            parts = [p for own in pool.map(split, heads) for p in own]
+        return in_runs(parts) or [Run([])]
+
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in (b for part in partition.parts for b in self._part(part)):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BATCH_FRAMES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _part(self, part: Part) -> Iterator[pa.RecordBatch]:
+        header, n = part.header, len(part.header.channels)
         picked = {s: next((k for k, c in enumerate(header.channels) if s in c.label.lower()), None) for s in self.signals}
         store, path = _store(self.path)
         kind = header.channels[0].format
         with store.open_input_file(f"{path}/{header.channels[0].file}") as file:
-            for at in range(partition.first, partition.first + partition.frames, BATCH_FRAMES):
-                frames = min(BATCH_FRAMES, partition.first + partition.frames - at)
+            for at in range(part.first, part.first + part.frames, BATCH_FRAMES):
+                frames = min(BATCH_FRAMES, part.first + part.frames - at)
                 bits = 16 if kind == 16 else 12
                 file.seek(at * n * bits // 8)
                 samples = decode(file.read(-(-frames * n * bits // 8)), kind)[: frames * n].reshape(frames, n)
@@ -184,4 +221,4 @@ def write_records(rows: DataFrame, folder: str, rate: float, kind: int = 16, gai
                 file.write(data)
         return pd.DataFrame({"name": [name], "frames": [len(record)]})
 
-    return rows.select("name", "i", *channels).groupBy("name").applyInPandas(run, "name string, frames long").orderBy(F.col("name"))
+    return spread(rows.select("name", "i", *channels), "name").groupBy("name").applyInPandas(run, "name string, frames long").orderBy(F.col("name"))

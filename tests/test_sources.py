@@ -63,6 +63,16 @@ def test_records_in_parts(spark, tmp_path, kind):
     assert X.load("binary_records", spark, folder=path, records=["none"]).count() == 0
 
 
+def test_many_short_records(spark, tmp_path):
+    """Partitions hold runs of parts, so that they do not grow with the number of records."""
+    rows = spark.range(6_000).select(F.concat(F.lit("r"), F.floor(F.col("id") / 10)).alias("name"), (F.col("id") % 10).alias("i"), (F.col("id") / 2).alias("ecg"))
+    path = str(tmp_path / "short")
+    assert R.write_records(rows, path, 50.0, 16, 2.0, ["ecg"]).count() == 600
+    got = X.load("binary_records", spark, folder=path, part_frames=4)
+    assert got.rdd.getNumPartitions() == R.MOST_SINGLE
+    assert {(r.name, r.i): r.value for r in got.collect()} == {(f"r{k // 10}", k % 10): k / 2 for k in range(6_000)}
+
+
 def test_levels_are_pruned(spark, tmp_path):
     base = str(tmp_path / "windows")
     assert X.levels(spark, base) == []
