@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from somaframe.functions.pieces import Pieces, done
 from somaframe.operators import cleaning as C
+from somaframe.operators import respiration as R
 
 KEY = ["subject_id", "t_s", "seq"]
 
@@ -94,3 +95,17 @@ def test_a_hot_subject_is_spread(hot):
 def test_reach_must_fit(hot):
     with pytest.raises(ValueError):
         Pieces(10, 60.0).bordered(Pieces(10, 60.0).ranked(hot), 11)
+
+
+def test_breathing_rates_read_their_input_once(spark):
+    """However often its results are needed, a recording is thinned once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        read.add(1)
+        return value
+
+    wave = spark.range(600).select(F.lit(1).alias("subject_id"), (F.col("id") / 10).alias("time_s"), F.sin(F.col("id") / 6).alias("value"))
+    rows = wave.withColumn("value", F.udf(seen, "double").asNondeterministic()("value"))
+    assert R.rate_series(rows).count() > 5
+    assert read.value == 600
