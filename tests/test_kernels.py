@@ -130,3 +130,8 @@ def test_densities_by_hand(line):
         for k in range(11):
             z = sum((row[i] - base[i]) * w[i] * np.exp(-2j * np.pi * k * i / 20) for i in at[there])
             assert power[k] == pytest.approx((1 if k in (0, 10) else 2) * abs(z) ** 2 / (w @ w), abs=1e-9)
+
+
+def test_a_filter_is_designed_once():
+    """Windows of one rate share it."""
+    assert K.band_pass(3, 0.1, 0.5, 8.0) is K.band_pass(3, 0.1, 0.5, 8.0)
