@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from somaframe.functions.folders import checkpoint
 from somaframe.functions.frames import SUBJECT
 from somaframe.functions.selection import percentiles
 
+#: Up to so many groups, a row of two numbers each goes to every task.
+FEW_GROUPS = 10_000
+
 
 def described(rows: DataFrame, value: str, keys: Sequence[str] = (SUBJECT,)) -> DataFrame:
     """keys, mean, std (0 for a single value), count, cv."""
@@ -92,8 +96,10 @@ def plane(rows: DataFrame, y: str, x: str, z: str, by: Sequence[str]) -> DataFra
 
 def adjusted(rows: DataFrame, y: str, x: str, z: str, by: Sequence[str]) -> DataFrame:
     """rows with {y}_adj: y less what the covariate z adds to it, against z's mean in the group."""
-    fit = plane(rows, y, x, z, by).select(*by, "b2").join(rows.dropna(subset=[y, x, z]).groupBy(*by).agg(F.avg(z).alias("_mz")), list(by))
-    return rows.join(fit, list(by)).withColumn(f"{y}_adj", F.col(y) - F.col("b2") * (F.col(z) - F.col("_mz"))).drop("b2", "_mz")
+    fit = checkpoint(plane(rows, y, x, z, by).select(*by, "b2").join(rows.dropna(subset=[y, x, z]).groupBy(*by).agg(F.avg(z).alias("_mz")), list(by)))
+    # few groups with many rows each would be few tasks' work in a shuffled join; counted first, they go to every task
+    few = fit.count() <= FEW_GROUPS
+    return rows.join(F.broadcast(fit) if few else fit, list(by)).withColumn(f"{y}_adj", F.col(y) - F.col("b2") * (F.col(z) - F.col("_mz"))).drop("b2", "_mz")
 
 
 def without(rows: DataFrame, ids: Sequence[str], subject: Column, short: Column) -> DataFrame:

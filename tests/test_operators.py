@@ -17,6 +17,7 @@ from somaframe.operators import frequency as Q
 from somaframe.operators import ingest as I
 from somaframe.operators import mixed_model as M
 from somaframe.operators import respiration as R
+from somaframe.operators import stats as D
 from somaframe.operators import tables as T
 from somaframe.operators import windows as W
 from somaframe.sources import files
@@ -328,3 +329,17 @@ def test_sums_over_sizes_in_spark(spark):
         assert there[v].means == pytest.approx(here[v].means, rel=1e-6) and there[v].covariance == pytest.approx(here[v].covariance, rel=1e-5)
         assert (there[v].between, there[v].residual) == pytest.approx((here[v].between, here[v].residual), rel=1e-5, abs=1e-9)
         assert (there[v].n_obs, there[v].n_groups) == (here[v].n_obs, here[v].n_groups)
+
+
+def test_few_large_groups_are_not_shuffled(spark):
+    """Rows of three groups stay where they are when each gets its group's fit."""
+    rows = spark.range(90).select((F.col("id") % 3).alias("g"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("z"), F.col("id").cast("double").alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = D.adjusted(rows, "y", "x", "z", ["g"])
+        assert found.count() == 90
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
