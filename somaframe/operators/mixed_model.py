@@ -189,9 +189,11 @@ class _Table:
     """The sums of one variable as arrays over its sizes."""
 
     def __init__(self, table: pd.DataFrame):
-        cells = sorted({tuple(c) for c in table["a"] if c is not None})
+        # rows of structs come as dicts where the session hands tables over in Arrow's form
+        cell = lambda c: None if c is None else tuple(c.values() if isinstance(c, dict) else c)
+        cells = sorted({cell(c) for c in table["a"]} - {None})
         place = {c: i for i, c in enumerate(cells)} | {None: -1}
-        at, to = (np.array([place[None if c is None else tuple(c)] for c in table[k]]) for k in ("a", "b"))
+        at, to = (np.array([place[cell(c)] for c in table[k]]) for k in ("a", "b"))
         self.cells, (self.sizes, size), p = cells, np.unique(table["n"].to_numpy(float), return_inverse=True), len(cells)
         alone, single, pair = at < 0, (at >= 0) & (to < 0), to >= 0
         self.subjects, self.yy, self.y2 = (self._filled((), table[k].to_numpy(float)[alone], (size[alone],)) for k in ("subjects", "yy", "y2"))

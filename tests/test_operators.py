@@ -343,3 +343,16 @@ def test_few_large_groups_are_not_shuffled(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_mixed_model_by_arrow(spark):
+    """How the session hands tables to the driver changes nothing."""
+    rows = spark.range(60).select((F.col("id") % 20).alias("subject_id"), (F.col("id") % 2).cast("int").alias("task"), F.floor(F.col("id") / 20).alias("t_id"), (F.col("id") * 37 % 11).cast("double").alias("y"))
+    plain = M.fit(rows, "y")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    try:
+        by_arrow = M.fit(rows, "y")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
+    assert by_arrow.cells == plain.cells and len(plain.cells) == 6
+    assert by_arrow.loglik == pytest.approx(plain.loglik, rel=1e-12)
