@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from somaframe.functions import names as N
 from somaframe.functions.folders import new
+from somaframe.functions.frames import in_time, running_total
 from somaframe.operators import beats as B
 from somaframe.operators import cleaning as C
 from somaframe.operators import ingest as I
@@ -301,8 +302,7 @@ def two_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ro AS (SELECT sp.subject_id, avg(rsa) AS rsa, median(rate) AS rate, sum(k) AS k FROM sp JOIN rt ON rt.subject_id = sp.subject_id AND rt.span = sp.span GROUP BY 1)
     SELECT su.subject_id, round(rsa, 6) AS rsa_ms, round(ln(rsa), 6) AS rsa_log_ms, round(rate, 6) AS resp_rate_bpm, CAST(coalesce(k, 0) AS BIGINT) AS n_breaths_used, CASE WHEN rsa IS NULL THEN 'unavailable' ELSE 'peak_to_valley' END AS rsa_method FROM (SELECT DISTINCT subject_id FROM bre) su LEFT JOIN ro ON ro.subject_id = su.subject_id""")
 def rsa_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("subject_id").orderBy("t_s", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    beats = V.beats(spark, sf_dir).withColumn("t_s", F.sum("rr_ms").over(order) / 1000)
+    beats = V.beats(spark, sf_dir).withColumn("t_s", running_total("rr_ms", in_time()) / 1000)
     found = R.window_arrhythmia(R.breaths(two_spans(spark, sf_dir), KEYS), beats, keys=KEYS)
     return rounded(found, "rsa_ms", "rsa_log_ms", "resp_rate_bpm").drop("resp_amp", "resp_log_amp")
 
