@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from somaframe.config import SpectrumRules
 from somaframe.functions import kernels as K
-from somaframe.functions.frames import median
+from somaframe.functions.frames import exact_total, median
 from somaframe.functions.shipping import ship
 from somaframe.operators.time_domain import KEY
 
@@ -28,16 +28,18 @@ TOP_HZ = 0.5
 def tachogram(cut: DataFrame, rules: SpectrumRules = RULES, keys: Sequence[str] = KEY) -> DataFrame:
     """keys, n (from 0), x: beats on the grid; time is the running sum of intervals, from the first beat's end.
 
-    Windows of under three beats, or of under least_points grid points, are left out."""
+    Windows of under three beats, or of under least_points grid points, are left out. A beat's place on the grid comes from exact sums, so
+    that a recording that ends on a grid point has no point behind its end; values between beats need no more digits than doubles have."""
     order = Window.partitionBy(*keys).orderBy("t_s", "seq")
     at = F.sum("rr_ms").over(order.rowsBetween(Window.unboundedPreceding, 0)) / 1000
-    run = cut.withColumn("_c", at)
+    run = cut.withColumns({"_c": at, "_exact": exact_total("rr_ms", order)})
     whole = Window.partitionBy(*keys)
-    run = run.withColumns({"_t": F.col("_c") - F.min("_c").over(whole), "_beats": F.count("*").over(whole)})
-    run = run.withColumns({"_next": F.lead("_t").over(order), "_value": F.lead("rr_ms").over(order), "_points": F.ceil((F.max("_t").over(whole)) * rules.rate).cast("bigint")})
+    run = run.withColumns({"_t": F.col("_c") - F.min("_c").over(whole), "_ms": (F.col("_exact") - F.min("_exact").over(whole)).cast("double"), "_beats": F.count("*").over(whole)})
+    place = F.coalesce(F.col("_ms") * rules.rate / 1000, F.col("_t") * rules.rate)
+    run = run.withColumn("_place", F.ceil(place).cast("bigint"))
+    run = run.withColumns({"_next": F.lead("_t").over(order), "_value": F.lead("rr_ms").over(order), "_after": F.lead("_place").over(order), "_points": F.max("_place").over(whole)})
     run = run.where((F.col("_beats") >= 3) & (F.col("_points") >= rules.least_points) & (F.col("_next") > F.col("_t")))
-    first, last = F.ceil(F.col("_t") * rules.rate).cast("bigint"), F.ceil(F.col("_next") * rules.rate).cast("bigint") - 1
-    grid = run.where(last >= first).withColumn("n", F.explode(F.sequence(first, last)))
+    grid = run.where("_after > _place").withColumn("n", F.explode(F.sequence(F.col("_place"), F.col("_after") - 1)))
     x = F.col("rr_ms") + (F.col("_value") - F.col("rr_ms")) * (F.col("n") / rules.rate - F.col("_t")) / (F.col("_next") - F.col("_t"))
     return grid.select(*keys, "n", x.alias("x"))
 

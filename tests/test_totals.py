@@ -2,7 +2,11 @@
 
 import math
 
+from pyspark.sql import functions as F
+
+from somaframe.config import SpectrumRules
 from somaframe.functions.frames import in_time, running_total
+from somaframe.operators import frequency as Q
 from somaframe.operators import respiration as R
 
 
@@ -27,3 +31,18 @@ def test_beat_on_a_border_is_the_next_breath(spark):
     breaths = spark.createDataFrame([("a", 1, 0.0, 6.0), ("a", 1, 6.0, 12.0)], "subject_id string, span int, t0 double, t1 double")
     got = {r.t0: r._n for r in R._ranges(breaths, beats, "t_s", "rr_ms", ["subject_id"], None).collect()}
     assert got == {0.0: 9, 6.0: 3}
+
+
+def test_recording_that_ends_on_a_grid_point_ends_there(spark):
+    """Its beats last 6.25 s exactly, 25 points at 4 Hz; a sum of doubles is 6.250000000000001 s, and a 26th point would change all of its spectrum."""
+    rr = [826.9, 579.65, 715.6, 941.7, 933.6500000000001, 658.15, 816.05, 542.05, 1063.15]
+    rows = spark.createDataFrame([("a", i, float(i), v) for i, v in enumerate(rr)], "subject_id string, seq long, t_s double, rr_ms double")
+    assert sorted(r.n for r in Q.tachogram(rows, keys=["subject_id"]).collect()) == list(range(25))
+
+
+def test_beats_too_long_for_decimals_are_laid_on_the_grid_all_the_same(spark):
+    rows = spark.createDataFrame([("a", i, float(i), v) for i, v in enumerate([1000.0, 1000.0, 3000.0, 1e12, 2000.0])], "subject_id string, seq long, t_s double, rr_ms double")
+    found = Q.tachogram(rows.where("seq < 3"), keys=["subject_id"], rules=SpectrumRules(least_points=1)).collect()
+    assert sorted(r.n for r in found) == list(range(16))
+    late = Q.tachogram(rows.withColumn("rr_ms", F.when(F.col("seq") == 3, 1e10).otherwise(F.col("rr_ms"))), keys=["subject_id"])
+    assert late.agg(F.count("*")).first()[0] == 4 * (1 + 3 + 10**7 + 2)
