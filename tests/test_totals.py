@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from somaframe.config import SpectrumRules
@@ -46,3 +47,11 @@ def test_beats_too_long_for_decimals_are_laid_on_the_grid_all_the_same(spark):
     assert sorted(r.n for r in found) == list(range(16))
     late = Q.tachogram(rows.withColumn("rr_ms", F.when(F.col("seq") == 3, 1e10).otherwise(F.col("rr_ms"))), keys=["subject_id"])
     assert late.agg(F.count("*")).first()[0] == 4 * (1 + 3 + 10**7 + 2)
+
+
+def test_variation_of_eighths_is_the_nearest_double():
+    """Nine periods of 6 s and one of 6.125 s vary by 0.0375 s exactly; from their mean it comes out as 0.0062499999999999995 of 6 s, which rounds down."""
+    assert R._variation(np.array([6.0] * 9 + [6.125]), 6.0) == 0.00625
+    v = np.random.default_rng(5).exponential(3, 200)
+    assert math.isclose(R._variation(v, np.median(v)), v.std() / np.median(v), rel_tol=1e-12)
+    assert R._variation(np.full(7, 0.1), 0.1) == 0.0
