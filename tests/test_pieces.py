@@ -109,3 +109,19 @@ def test_breathing_rates_read_their_input_once(spark):
     rows = wave.withColumn("value", F.udf(seen, "double").asNondeterministic()("value"))
     assert R.rate_series(rows).count() > 5
     assert read.value == 600
+
+
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_a_peak_beside_a_long_flat_stretch_stands_out_in_pieces_too(spark, mirrored):
+    """Half a minute without breath, longer than a piece sees of its neighbour: how deep the breaths are on its other side is known there only."""
+    i = np.arange(1200)
+    depth = np.where((i >= 450) & (i < 600), 0.0, np.where((i >= 600) & (i < 630), 60.0, 250.0))
+    wave = 512 + depth * np.sin(2 * np.pi * i / 30)
+    if mirrored:
+        wave = wave[::-1]
+    rows = [(s, k, k / 5, float(v)) for s in (1, 2) for k, v in enumerate(wave)]
+    df = spark.createDataFrame(rows, "subject_id long, seq int, time_s double, value double")
+    ordered = lambda found: found.orderBy("subject_id", "t").collect()
+    whole = ordered(R.rate_series(df, pieces=Pieces(10**6, 10**6), reach=300))
+    assert ordered(R.rate_series(df, pieces=Pieces(600, 60.0), reach=100)) == whole
+    assert ordered(R.rate_series(df, pieces=Pieces(100, 20.0), reach=40)) == whole
