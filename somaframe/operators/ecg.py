@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somaframe.functions import kernels as K
@@ -21,18 +21,28 @@ CHUNK_SECONDS, PAD_SECONDS = 600.0, 10.0
 RANGE_ACCURACY = 100_000
 
 
-def chunked(ecg: DataFrame, chunk: float = CHUNK_SECONDS, pad: float = PAD_SECONDS) -> DataFrame:
-    """The samples with _c, their chunk of the recording; those within pad of a border are in the neighbour as well."""
+def chunked(ecg: DataFrame, chunk: float = CHUNK_SECONDS, pad: float = PAD_SECONDS, within: tuple[str, str] | None = None) -> DataFrame:
+    """The samples with _c, their chunk of the recording; those within pad of a border are in the neighbour as well.
+    within: columns with the recording's first and last chunk, beyond which there is no neighbour."""
     if not 0 < pad < chunk:
         raise ValueError("0 < pad < chunk is asked for")
     part = lambda shift: F.floor((F.col("time_s") + shift) / chunk)
-    return ecg.dropna(subset=["time_s", "value"]).withColumn("_c", F.explode(F.array_distinct(F.array(part(-pad), part(pad)))))
+    parts = F.array_distinct(F.array(part(-pad), part(pad)))
+    if within:
+        parts = F.filter(parts, lambda c: c.between(F.col(within[0]), F.col(within[1])))
+    return ecg.dropna(subset=["time_s", "value"]).withColumn("_c", F.explode(parts))
 
 
-def _steps(rows: DataFrame, keys: Sequence[str], chunk: float) -> DataFrame:
-    """A chunk's own samples with _d, the time since the sample before; null where there is none as far back as the chunk reaches."""
+def _chunk(chunk: float) -> Column:
+    return F.floor(F.col("time_s") / chunk)
+
+
+def _steps(ecg: DataFrame, keys: Sequence[str], chunk: float, pad: float) -> DataFrame:
+    """The samples with their chunk and _d, the time since the sample before; null where there is none in the chunk or pad seconds before it."""
     order = Window.partitionBy(*keys, "_c").orderBy("time_s")
-    return rows.withColumn("_d", F.col("time_s") - F.lag("time_s").over(order)).where(F.floor(F.col("time_s") / chunk) == F.col("_c"))
+    ahead = F.array_distinct(F.array(_chunk(chunk), F.floor((F.col("time_s") + pad) / chunk)))
+    rows = ecg.dropna(subset=["time_s", "value"]).withColumn("_c", F.explode(ahead))
+    return rows.withColumn("_d", F.col("time_s") - F.lag("time_s").over(order)).where(_chunk(chunk) == F.col("_c"))
 
 
 def peaks(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), chunk: float = CHUNK_SECONDS, pad: float = PAD_SECONDS) -> DataFrame:
@@ -41,8 +51,10 @@ def peaks(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), chunk: float =
     kinds = {f.name: f.dataType.simpleString() for f in ecg.schema.fields}
     named = ", ".join(f"{k} {kinds[k]}" for k in keys)
     # rounded, so that few different steps are counted
-    rows = chunked(ecg.select(*keys, "time_s", "value"), chunk, pad)
-    steps = _steps(rows, keys, chunk).where("_d > 0").groupBy(*keys).agg(F.percentile(F.round("_d", 9), F.lit(0.5)).alias("_step"))
+    rows = ecg.select(*keys, "time_s", "value")
+    ends = (F.min(_chunk(chunk)).alias("_first"), F.max(_chunk(chunk)).alias("_last"))
+    typical = F.percentile(F.when(F.col("_d") > 0, F.round("_d", 9)), F.lit(0.5))
+    steps = _steps(rows, keys, chunk, pad).groupBy(*keys).agg(typical.alias("_step"), *ends).where("_step IS NOT NULL")
 
     def own(t: np.ndarray, c: int) -> np.ndarray:
         return np.floor(t / chunk) == c
@@ -71,9 +83,10 @@ def peaks(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), chunk: float =
             at = at[own(at, first["_c"])]
         return pd.DataFrame({**head(series, len(at)), "t_s": at})
 
-    smooth = spread(rows.join(steps, list(keys)), *keys, "_c").groupBy(*keys, "_c").applyInPandas(filtered, f"{named}, time_s double, value double, _step double")
-    range_ = smooth.groupBy(*keys).agg(F.percentile_approx("value", [0.01, 0.99], RANGE_ACCURACY).alias("_range"), F.count("*").alias("_n"))
-    again = spread(chunked(smooth, chunk, pad).join(range_, list(keys)), *keys, "_c")
+    within = ("_first", "_last")
+    smooth = spread(chunked(rows.join(steps, list(keys)), chunk, pad, within).drop(*within), *keys, "_c").groupBy(*keys, "_c").applyInPandas(filtered, f"{named}, time_s double, value double, _step double")
+    range_ = smooth.groupBy(*keys).agg(F.percentile_approx("value", [0.01, 0.99], RANGE_ACCURACY).alias("_range"), F.count("*").alias("_n"), *ends)
+    again = spread(chunked(smooth.join(range_, list(keys)), chunk, pad, within).drop(*within), *keys, "_c")
     return again.groupBy(*keys, "_c").applyInPandas(found, f"{named}, t_s double")
 
 
@@ -84,7 +97,7 @@ def to_beats(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), gap_factor:
     beats = peaks(ecg, keys, chunk, pad).withColumns({"_before": F.lag("t_s").over(order), "seq": F.row_number().over(order).cast("bigint")})
     beats = beats.where("_before IS NOT NULL").withColumn("rr_ms", (F.col("t_s") - F.col("_before")) * 1000)
     if gap_factor:
-        steps = _steps(chunked(ecg.select(*keys, "time_s", "value"), chunk, pad), keys, chunk)
+        steps = _steps(ecg.select(*keys, "time_s", "value"), keys, chunk, pad)
         typical = steps.groupBy(*keys).agg(F.percentile(F.round("_d", 9), F.lit(0.5)).alias("_dt"))
         breaks = steps.join(typical, list(keys)).where(F.col("_d").isNull() | (F.col("_d") > F.greatest(gap_factor * F.col("_dt"), F.lit(0.1))))
         breaks = breaks.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("time_s").alias("_at"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from somaframe.functions.pieces import Pieces, done
 from somaframe.operators import cleaning as C
+from somaframe.operators import ecg
 from somaframe.operators import respiration as R
 
 KEY = ["subject_id", "t_s", "seq"]
@@ -125,3 +126,12 @@ def test_a_peak_beside_a_long_flat_stretch_stands_out_in_pieces_too(spark, mirro
     whole = ordered(R.rate_series(df, pieces=Pieces(10**6, 10**6), reach=300))
     assert ordered(R.rate_series(df, pieces=Pieces(600, 60.0), reach=100)) == whole
     assert ordered(R.rate_series(df, pieces=Pieces(100, 20.0), reach=40)) == whole
+
+
+def test_no_chunk_beside_a_recording(spark):
+    """Samples near the border of a chunk that the recording does not reach are not dealt, filtered and searched twice."""
+    rows = [("short", i / 10, float(i)) for i in range(100)] + [("long", i / 10, float(i)) for i in range(500)]
+    ends = F.when(F.col("subject_id") == "long", 2).otherwise(0)
+    df = spark.createDataFrame(rows, "subject_id string, time_s double, value double").withColumns({"_first": F.lit(0), "_last": ends})
+    found = {(r.subject_id, r._c): r["count"] for r in ecg.chunked(df, 20.0, 5.0, ("_first", "_last")).groupBy("subject_id", "_c").count().collect()}
+    assert found == {("short", 0): 100, ("long", 0): 250, ("long", 1): 300, ("long", 2): 150}
