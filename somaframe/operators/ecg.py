@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,35 +59,42 @@ def peaks(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), chunk: float =
     def own(t: np.ndarray, c: int) -> np.ndarray:
         return np.floor(t / chunk) == c
 
-    def head(series: pd.DataFrame, n: int) -> dict:
-        return {k: series[k].iloc[:1].repeat(n).to_numpy() for k in keys}
+    def head(rows: pa.Table, n: int) -> dict:
+        return {k: pa.repeat(rows[k][0], n) for k in keys}
 
-    def filtered(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values(["time_s", "value"]).drop_duplicates("time_s")
-        t, v, rate = series["time_s"].to_numpy(float), series["value"].to_numpy(float), 1 / series["_step"].iloc[0]
+    def column(rows: pa.Table, name: str) -> np.ndarray:
+        return rows[name].to_numpy().astype(float)
+
+    # arrays, not tables: a table's own work on a short recording costs more than the filter does
+    def filtered(rows: pa.Table) -> pa.Table:
+        t, v, rate = column(rows, "time_s"), column(rows, "value"), 1 / rows["_step"][0].as_py()
+        order = np.lexsort((v, t))
+        t, v = t[order], v[order]
+        single = np.append(True, t[1:] != t[:-1])
+        t, v = t[single], v[single]
         high = min(BAND[1], 0.45 * rate)
         try:
             v = K.zero_phase(*K.band_pass(ORDER, min(BAND[0], high / 2), high, rate), v)
         except ValueError:
             pass  # under 22 samples: the raw signal
-        core = own(t, series["_c"].iloc[0])
-        return pd.DataFrame({**head(series, core.sum()), "time_s": t[core], "value": v[core], "_step": 1 / rate})
+        core = own(t, rows["_c"][0].as_py())
+        return pa.table({**head(rows, core.sum()), "time_s": t[core], "value": v[core], "_step": np.full(core.sum(), 1 / rate)})
 
-    def found(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("time_s")
-        t, v, first = series["time_s"].to_numpy(float), series["value"].to_numpy(float), series.iloc[0]
-        at = np.zeros(0)
+    def found(rows: pa.Table) -> pa.Table:
+        t, v, first = column(rows, "time_s"), column(rows, "value"), {c: rows[c][0].as_py() for c in ("_c", "_n", "_range", "_step")}
+        order = np.argsort(t, kind="stable")
+        t, v, at = t[order], v[order], np.zeros(0)
         if first["_n"] >= 5:
             lo, hi = first["_range"]
             at = t[K.peaks(v, max(1, round(LEAST_SECONDS / first["_step"])), max(1e-3, PROMINENCE * (hi - lo)))]
             at = at[own(at, first["_c"])]
-        return pd.DataFrame({**head(series, len(at)), "t_s": at})
+        return pa.table({**head(rows, len(at)), "t_s": at})
 
     within = ("_first", "_last")
-    smooth = spread(chunked(rows.join(steps, list(keys)), chunk, pad, within).drop(*within), *keys, "_c").groupBy(*keys, "_c").applyInPandas(filtered, f"{named}, time_s double, value double, _step double")
+    smooth = spread(chunked(rows.join(steps, list(keys)), chunk, pad, within).drop(*within), *keys, "_c").groupBy(*keys, "_c").applyInArrow(filtered, f"{named}, time_s double, value double, _step double")
     range_ = smooth.groupBy(*keys).agg(F.percentile_approx("value", [0.01, 0.99], RANGE_ACCURACY).alias("_range"), F.count("*").alias("_n"), *ends)
     again = spread(chunked(smooth.join(range_, list(keys)), chunk, pad, within).drop(*within), *keys, "_c")
-    return again.groupBy(*keys, "_c").applyInPandas(found, f"{named}, t_s double")
+    return again.groupBy(*keys, "_c").applyInArrow(found, f"{named}, t_s double")
 
 
 def to_beats(ecg: DataFrame, keys: Sequence[str] = ("subject_id",), gap_factor: float | None = 5.0, chunk: float = CHUNK_SECONDS, pad: float = PAD_SECONDS) -> DataFrame:
