@@ -34,3 +34,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a table in the shared folder and read again: a checkpoint that is compressed, and of which a reader takes only its columns."""
+    path = new(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

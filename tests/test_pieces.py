@@ -135,3 +135,49 @@ def test_no_chunk_beside_a_recording(spark):
     df = spark.createDataFrame(rows, "subject_id string, time_s double, value double").withColumns({"_first": F.lit(0), "_last": ends})
     found = {(r.subject_id, r._c): r["count"] for r in ecg.chunked(df, 20.0, 5.0, ("_first", "_last")).groupBy("subject_id", "_c").count().collect()}
     assert found == {("short", 0): 100, ("long", 0): 250, ("long", 1): 300, ("long", 2): 150}
+
+
+def test_rates_move_pieces_not_samples(spark):
+    """A recording is thinned where it is, and moved as a row for each cell or piece: a few bytes a sample (before: over 50)."""
+    from somaframe.functions.frames import spread
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    subjects = spread(spark.range(8).select(F.col("id").alias("subject_id")), "subject_id")
+    n = 40_000
+    resp = subjects.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("time_s", F.col("seq") / 8)
+    resp = resp.withColumn("value", F.round(500 + (60 + F.col("seq") % 97) * F.sin(F.col("seq") * (0.2 + F.col("subject_id") / 100))))
+    before = shuffled()
+    assert R.rate_series(resp, pieces=Pieces(600, 60.0), reach=100).count() > 1000
+    assert shuffled() - before < 16 * 8 * n
+
+
+def test_range_of_long_recordings(spark):
+    """Recordings over the bound are counted in two passes, with the same percentiles; medians and means of five as windows have them."""
+    rng = np.random.default_rng(5)
+    whole = {k: rng.integers(0, 900, size).astype(float) for k, size in ((1, 7), (2, 3000), (None, 500), (4, 1))}
+    rows = [(k, v[i : i + 200].tolist(), len(v[i : i + 200])) for k, v in whole.items() for i in range(0, len(v), 200)]
+    series = spark.createDataFrame(rows, "subject_id long, v array<double>, _n long")
+    told = [{r.subject_id: (r._lo, r._hi) for r in R._ranges_of(series, ["subject_id"], most=most).collect()} for most in (10**6, 400, 0)]
+    assert told[0] == told[1] == told[2]
+    assert told[0] == {k: pytest.approx(tuple(np.percentile(v, [1, 99])), rel=1e-12) for k, v in whole.items()}
+    for v in (whole[1], whole[2][:40], whole[4], whole[2][:2]):
+        five = [np.median(v[max(0, i - 2) : i + 3]) for i in range(len(v))]
+        assert R._smooth(v, 5).tolist() == pytest.approx([np.mean(five[max(0, i - 2) : i + 3]) for i in range(len(v))])
+
+
+def test_rates_of_sparse_recordings(spark):
+    """Places with holes between them, cells that are empty, and keys that are null, in pieces and in one."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in (None, 5):
+        t = np.sort(rng.choice(60_000, 9_000, replace=False)) / 10.0
+        t = t[(t % 1000) < 600]
+        rows += [(k, int(i), float(x), float(np.round(100 * np.sin(x)))) for i, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "subject_id long, seq long, time_s double, value double")
+    told = [sorted((r.subject_id or 0, r.t, r.bpm) for r in R.rate_series(df, pieces=p, reach=reach).collect()) for p, reach in ((Pieces(10**6, 10**6), 300), (Pieces(500, 30.0), 100))]
+    assert told[0] == told[1] and len(told[0]) > 100
