@@ -11,7 +11,7 @@ MOST_ROUNDS = 60
 
 
 def _lowest(links: DataFrame) -> DataFrame:
-    """Each node's lowest neighbour; a sum by key, so a hub's links are combined before the shuffle."""
+    """Each node's lowest neighbour below it; a sum by key, so a hub's links are combined before the shuffle."""
     return links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("low"))
 
 
@@ -24,10 +24,10 @@ def components(links: DataFrame) -> DataFrame:
     links = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     known = None
     for _ in range(MOST_ROUNDS):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = _lowest(both).select("u", F.least("u", "low").alias("low"))
+        # a is always above b, so a node's lowest neighbour is found from one side; if it has none below, it is the lowest itself
+        low = _lowest(links)
         # large star: a node hands its larger neighbours its lowest
-        large = both.where("b > a").join(low, F.col("a") == F.col("u")).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = links.join(low, F.col("b") == F.col("u"), "left").select("a", F.coalesce("low", "b").alias("b")).distinct()
         # small star: a node hands its smaller neighbours, and itself, the lowest of them
         low = _lowest(large)
         small = large.join(low, F.col("a") == F.col("u")).select("a", "b", "low")
